@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 
 from codexmill.llm.fold import collapsed_records, formatting_copies
+from codexmill.llm.similar import similar_classes, similar_pairs
 from codexmill.sources.tables import table
 
 
@@ -16,5 +19,19 @@ def p4_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return collapsed_records(table(spark, d, "source_records"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_collapsed)}
-ORACLES: dict[str, str] = {}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(*similar_classes(table(spark, d, "source_records"), width=3, threshold=Fraction(3, 5), min_words=30))
+
+
+_SIMILAR_SQL = """
+WITH w AS (SELECT row_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM source_records),
+s AS (SELECT DISTINCT row_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
+      FROM (SELECT row_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 30)),
+n AS (SELECT row_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.row_id AS a, b.row_id AS b, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.row_id < b.row_id GROUP BY 1, 2)
+SELECT a AS row_id_a, b AS row_id_b FROM o JOIN n x ON x.row_id = a JOIN n y ON y.row_id = b
+WHERE o * 5 >= 3 * (x.n + y.n - o)
+"""
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_collapsed, p5_found)}
+ORACLES = {"p5_found": _SIMILAR_SQL}
