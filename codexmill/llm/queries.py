@@ -7,6 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 
 from codexmill.llm.fold import collapsed_records, formatting_copies
+from codexmill.llm.sentences import split_sentences
 from codexmill.llm.similar import similar_classes, similar_pairs
 from codexmill.sources.tables import table
 
@@ -23,6 +24,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(*similar_classes(table(spark, d, "source_records"), width=3, threshold=Fraction(3, 5), min_words=30))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_sentences(table(spark, d, "documents"))
+
+
 _SIMILAR_SQL = """
 WITH w AS (SELECT row_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM source_records),
 s AS (SELECT DISTINCT row_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
@@ -33,5 +38,5 @@ SELECT a AS row_id_a, b AS row_id_b FROM o JOIN n x ON x.row_id = a JOIN n y ON
 WHERE o * 5 >= 3 * (x.n + y.n - o)
 """
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_collapsed, p5_found)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_collapsed, p5_found, p8_found)}
 ORACLES = {"p5_found": _SIMILAR_SQL}
