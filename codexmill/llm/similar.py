@@ -174,7 +174,7 @@ def _post(texts: DataFrame, width: int, min_words: int, t: Fraction, frequency,
                 if len(chunk):
                     sets, local = np.unique(owner[chunk], return_inverse=True)
                     rows.append((int(part[chunk[0]]), ids[sets].tobytes(), parity[sets].tobytes(), sizes[sets].astype(np.int32).tobytes(),
-                                 token[chunk].tobytes(), position[chunk].astype(np.int32).tobytes(), local.astype(np.int32).tobytes(), side[chunk].tobytes()))
+                                 (token[chunk] >> np.uint64(1)).astype(np.uint32).tobytes(), position[chunk].astype(np.int32).tobytes(), local.astype(np.int32).tobytes(), side[chunk].tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 8)]], names=names
             )
@@ -189,7 +189,7 @@ def _candidates(table: pa.Table, t: Fraction, at_once: int) -> Iterator[np.ndarr
     join = lambda c, k: np.concatenate([np.frombuffer(b, k) for b in blobs[c]])
     ids, sizes = join("ids", np.int64), join("sizes", np.int32).astype(np.int64)
     parity = join("parity", np.uint64).reshape(-1, PARITY)
-    token, position, side = join("tokens", np.uint64), join("positions", np.int32).astype(np.int64), join("sides", np.uint8)
+    token, position, side = join("tokens", np.uint32), join("positions", np.int32).astype(np.int64), join("sides", np.uint8)
     base = np.cumsum([0] + [len(b) // 8 for b in blobs["ids"]])
     owner = np.concatenate([np.frombuffer(b, np.int32) + at for b, at in zip(blobs["locals"], base)])
     size = sizes[owner]
@@ -227,18 +227,16 @@ def _candidates(table: pa.Table, t: Fraction, at_once: int) -> Iterator[np.ndarr
         yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
 
 
-def _candidate_pairs(postings: DataFrame, t: Fraction, at_once: int = 1 << 20) -> DataFrame:
-    """Distinct pairs (a, b) of class ids."""
+def _candidate_pairs(postings: DataFrame, t: Fraction, parts: int, at_once: int = 1 << 20) -> DataFrame:
+    """Distinct pairs (a, b) of class ids. Each part is a task; its size is bounded by their number."""
 
-    def run(table: pa.Table) -> pa.Table:
-        found = np.zeros((0, 2), np.int64)
-        for pairs in _candidates(table, t, at_once):
-            found = np.concatenate([found, pairs])
-        if len(found):
-            found = np.unique(found, axis=0)
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = list(batches)
+        if mine:
+            for found in _candidates(pa.Table.from_batches(mine), t, at_once):
+                yield pa.RecordBatch.from_arrays([_column(found[:, 0]), _column(found[:, 1])], names=["a", "b"])
 
-    return postings.groupBy("part").applyInArrow(run, "a long, b long").distinct()
+    return postings.repartitionById(parts, F.col("part")).mapInArrow(run, "a long, b long").distinct()
 
 
 # --------------------------------------------------------------------------- pass 3: members and families
@@ -374,7 +372,7 @@ def similar_classes(
     postings = classes.agg(F.sum(prefix)).first()[0] or 0
     counts = spark.sparkContext.broadcast(frequency)
     parts = max(1, math.ceil(postings / part_postings))
-    found = written(_candidate_pairs(_post(texts, width, min_words, threshold, counts, parts, crowd), threshold), "similar-candidates")
+    found = written(_candidate_pairs(_post(texts, width, min_words, threshold, counts, parts, crowd), threshold, parts), "similar-candidates")
     ids = classes.select("low", "kept")
     named = (
         found.join(ids.select(F.col("low").alias("a"), F.col("kept").alias("ka")), "a")
