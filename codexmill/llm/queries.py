@@ -7,6 +7,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 
 from codexmill.llm.fold import collapsed_records, formatting_copies
+from codexmill.llm.leaks import find_leaks
+from codexmill.llm.packing import pack_texts
 from codexmill.llm.sentences import split_sentences
 from codexmill.llm.similar import similar_classes, similar_pairs
 from codexmill.sources.tables import table
@@ -24,6 +26,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(*similar_classes(table(spark, d, "source_records"), width=3, threshold=Fraction(3, 5), min_words=30))
 
 
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return pack_texts(table(spark, d, "documents"), table(spark, d, "pack_budgets"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    found = find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), cosine=0.5, paraphrases=True)
+    return found.where("run_words = 0").select("doc_id", "item_id", "common_words")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(table(spark, d, "documents"))
 
@@ -38,5 +53,5 @@ SELECT a AS row_id_a, b AS row_id_b FROM o JOIN n x ON x.row_id = a JOIN n y ON
 WHERE o * 5 >= 3 * (x.n + y.n - o)
 """
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_collapsed, p5_found, p8_found)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_collapsed, p5_found, p6_pack, p7_found, p7_paraphrases, p8_found)}
 ORACLES = {"p5_found": _SIMILAR_SQL}
