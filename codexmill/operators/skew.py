@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def join_by_weight(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, most_hot: int = 4096) -> DataFrame:
@@ -21,3 +22,20 @@ def join_by_weight(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str
     hot = F.broadcast(hot)
     rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
     return rows.join(hot, on).unionByName(rest.join(keyed.where(F.col(weight) <= bound), on))
+
+
+def numbered_in_group(rows: DataFrame, group: list[str], ordinal: str, ties: list[str], number: str, total: str, block: int = 1_000_000) -> DataFrame:
+    """Adds each row's place in its group (from 0, by ``ordinal``, then ``ties``) and the group's size.
+
+    A group is cut into blocks of ordinals; the counts of its blocks give each block's first number,
+    and only a block is ever sorted by one task. A null in a group's column is a value.
+    """
+    keys = [f"__g{i}" for i in range(len(group))]
+    cut = rows.withColumns({k: F.struct(F.col(c)) for k, c in zip(keys, group)}).withColumn("__block", F.floor(F.col(ordinal) / block))
+    counts = cut.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(*keys)
+    first = F.coalesce(F.sum("__n").over(whole.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*keys, F.coalesce("__block", F.lit(-1)).alias("__block"), first.alias("__first"), F.sum("__n").over(whole).alias(total))
+    cut = cut.withColumn("__block", F.coalesce("__block", F.lit(-1)))
+    place = F.row_number().over(Window.partitionBy(*keys, "__block").orderBy(ordinal, *ties))
+    return cut.withColumn("__place", place).join(offsets, [*keys, "__block"]).withColumn(number, F.col("__first") + F.col("__place") - 1).drop(*keys, "__block", "__place", "__first")
