@@ -43,11 +43,9 @@ def payload_hash(artifact_type: str, body: Column) -> Column:
     """Address of a conclusion. ``body`` is a struct whose fields, and those of structs in it, are in
     alphabetical order; nulls are written, and control characters escaped in small letters."""
     text = F.to_json(F.struct(body.alias("p"), F.lit(artifact_type).alias("t")), {"ignoreNullFields": "false"})
-    small = F.regexp_replace(text, r"\\u00([01])([0-9A-F])", r"\\u00$1\x01$2\x02")
-    for c in "ABCDEF":
-        small = F.replace(small, F.lit(f"\x01{c}\x02"), F.lit(c.lower()))
-    small = F.regexp_replace(small, "\x01([0-9])\x02", "$1")
-    return F.concat(F.lit("pay:sha256:"), F.sha2(small, 256))
+    for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):  # those whose escape has a letter
+        text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u00{code:02X}", rf"$1\\u00{code:02x}")
+    return F.concat(F.lit("pay:sha256:"), F.sha2(text, 256))
 
 
 def source_identity_key(state: Column, corpus: Column, act_id: Column) -> Column:
