@@ -236,14 +236,34 @@ class Search:
             numbers = {i for w, i in items.vocabulary.items() if w.isdigit()}
             self.answers = [set(p[r].tolist()) - {self.pad} | (set(q) & numbers) for p, r, q in zip(items.passages, rare, lists)]
             self.lists = lists
-            self.has = self._presence(items.passages).T.copy()
+            # No passage with fewer of all answer words than the least that an item asks for is a paraphrase.
+            self.asked = np.zeros(self.pad + 1, np.int64)
+            self.asked[sorted(set().union(*self.answers))] = 1
+            self.least_asked = min(len(a) // 2 + 1 for a in self.answers)
+            self.place = (np.searchsorted(self.first, np.arange(len(lists)), "right") - 1).tolist()
+            self.has = self._presence(items.passages)
             # A common subsequence is no longer than the distinct words in common and one's own repeats.
-            self.least = np.array([math.ceil(subsequence * len(q)) - (len(q) - len(set(q))) for q in lists], np.float32)
+            self.least = np.array([math.ceil(subsequence * len(q)) - (len(q) - len(set(q))) for q in lists])
 
     def _presence(self, passages: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(passages), self.pad + 1), np.float32)
-        out[np.arange(len(passages))[:, None], passages] = 1
-        return out[:, : self.pad]
+        """The words of each passage as bits, in 64-bit parts."""
+        wide = -(-(self.pad + 1) // 64) * 64
+        there = np.zeros((len(passages), wide), np.uint8)
+        there[np.arange(len(passages))[:, None], passages] = 1
+        there[:, self.pad] = 0
+        return np.packbits(there, axis=1).view(np.uint64)
+
+    def _sharing(self, part: np.ndarray, cosine: np.ndarray) -> Iterator[tuple[int, int]]:
+        """The candidates (passage, item passage) that have enough distinct words in common."""
+        near = cosine >= self.cosine
+        rows = np.flatnonzero(near.any(axis=1))
+        bits = self._presence(part[rows])
+        a, b = np.nonzero(near[rows])
+        for i in range(0, len(a), 1 << 16):
+            x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+            common = np.bitwise_count(bits[x] & self.has[y]).sum(axis=1, dtype=np.int64)
+            ok = np.flatnonzero(common >= self.least[y])
+            yield from zip(rows[x[ok]].tolist(), y[ok].tolist())
 
     def passages(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Windows of all texts that have enough words of the items, and the places of their texts."""
@@ -254,7 +274,11 @@ class Search:
                 if int((words < self.pad).sum()) < self.shared:
                     continue
                 w = windows(words, self.pad, self.run)
-                w = w[(w < self.pad).sum(axis=1) >= self.shared]
+                known = (w < self.pad).sum(axis=1)
+                ok = known >= self.run
+                if self.subsequence is not None:
+                    ok |= (known >= self.shared) & (self.asked[w].sum(axis=1) >= self.least_asked)
+                w = w[ok]
                 if len(w):
                     cut.append(w)
                     owner.append(np.full(len(w), i))
@@ -279,9 +303,8 @@ class Search:
             for p, at in self._same_runs(part, nearest >= self.cosine):
                 keep(i + p, at, (self.run, 0, float(nearest[p, at])))
             if self.subsequence is not None:
-                near = (cosine >= self.cosine) & (self._presence(part) @ self.has >= self.least)
-                for p, q in np.argwhere(near).tolist():
-                    at = int(np.searchsorted(self.first, q, "right")) - 1
+                for p, q in self._sharing(part, cosine):
+                    at = self.place[q]
                     if n := self._subsequence(part[p], q):
                         keep(i + p, at, (0, n, float(cosine[p, q])))
         return [(t, i, c, n, m) for (t, i), (n, m, c) in best.items()]
@@ -355,7 +378,8 @@ def find_leaks(
         idf = np.append(1 + np.log((n + 1) / (seen + 1)) / np.log(n + 2), 0).astype(np.float32)
         basis = latent_basis(scanned.where("words IS NOT NULL").select("words"), known, idf, run)
         shared = spark.sparkContext.broadcast((known, idf, basis))
-        needed = run if not paraphrases else max(2, int(run * subsequence))
+        lengths = (known.passages < len(known.vocabulary)).sum(axis=1)
+        needed = run if not paraphrases else min(run, math.ceil(subsequence * int(lengths.min())))
 
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             task = Search(*shared.value, run, cosine, needed, subsequence if paraphrases else None)
