@@ -239,7 +239,12 @@ class Search:
             # No passage with fewer of all answer words than the least that an item asks for is a paraphrase.
             self.asked = np.zeros(self.pad + 1, np.int64)
             self.asked[sorted(set().union(*self.answers))] = 1
-            self.least_asked = min(len(a) // 2 + 1 for a in self.answers)
+            self.needs = np.array([len(a) // 2 + 1 for a in self.answers])
+            self.least_asked = int(self.needs.min())
+            # Which passages of the items ask for each word.
+            word, asker = np.array(sorted((w, q) for q, a in enumerate(self.answers) for w in a)).T
+            self.askers = asker
+            self.asker_at = np.searchsorted(word, np.arange(self.pad + 2))
             self.place = (np.searchsorted(self.first, np.arange(len(lists)), "right") - 1).tolist()
             self.has = self._presence(items.passages)
             # A common subsequence is no longer than the distinct words in common and one's own repeats.
@@ -254,16 +259,23 @@ class Search:
         return np.packbits(there, axis=1).view(np.uint64)
 
     def _sharing(self, part: np.ndarray, cosine: np.ndarray) -> Iterator[tuple[int, int]]:
-        """The candidates (passage, item passage) that have enough distinct words in common."""
-        near = cosine >= self.cosine
-        rows = np.flatnonzero(near.any(axis=1))
-        bits = self._presence(part[rows])
-        a, b = np.nonzero(near[rows])
+        """The candidates (passage, item passage) that have most answer words and enough distinct
+        words in common."""
+        words = np.sort(part, axis=1)
+        asked = self.asked[words] > 0
+        asked[:, 1:] &= words[:, 1:] != words[:, :-1]
+        row, at = np.nonzero(asked)
+        first = self.asker_at[words[row, at]]
+        n = self.asker_at[words[row, at] + 1] - first
+        asker = self.askers[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        answered = np.bincount(np.repeat(row, n) * len(self.needs) + asker, minlength=cosine.size).reshape(cosine.shape)
+        a, b = np.nonzero((answered >= self.needs) & (cosine >= self.cosine))
+        bits = self._presence(part)
         for i in range(0, len(a), 1 << 16):
             x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
             common = np.bitwise_count(bits[x] & self.has[y]).sum(axis=1, dtype=np.int64)
             ok = np.flatnonzero(common >= self.least[y])
-            yield from zip(rows[x[ok]].tolist(), y[ok].tolist())
+            yield from zip(x[ok].tolist(), y[ok].tolist())
 
     def passages(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Windows of all texts that have enough words of the items, and the places of their texts."""
@@ -322,12 +334,8 @@ class Search:
         return out
 
     def _subsequence(self, passage: np.ndarray, q: int) -> int:
-        """Length of the common subsequence with a passage of an item, or 0 if it is too short or
-        most words that carry the answer are missing."""
-        asked, words = self.answers[q], [w for w in passage.tolist() if w < self.pad]
-        if 2 * len(asked & set(words)) <= len(asked):
-            return 0
-        n = common_subsequence(self.lists[q], words)
+        """Length of the common subsequence with a passage of an item, or 0 if it is too short."""
+        n = common_subsequence(self.lists[q], [w for w in passage.tolist() if w < self.pad])
         return n if n >= self.subsequence * len(self.lists[q]) else 0
 
 
