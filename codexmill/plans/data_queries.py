@@ -110,5 +110,28 @@ SELECT s.version, o.act_id, 'removed' FROM steps s JOIN kept o ON o.snapshot_ver
 WHERE NOT EXISTS (SELECT 1 FROM kept n WHERE n.snapshot_version = s.version AND n.act_id = o.act_id)
 """
 
+_NODES_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_id, breadcrumb, display_path, json_valid(breadcrumb) AND json_type(breadcrumb) = 'ARRAY' AND json_array_length(breadcrumb) > 0
+    AND len(list_filter(from_json(breadcrumb, '["JSON"]'), lambda x: json_type(x) <> 'OBJECT')) = 0 AS ok
+  FROM (SELECT row_id, display_path, CASE WHEN json_valid(breadcrumb) THEN breadcrumb END AS breadcrumb FROM source_records)
+), t AS (SELECT v.row_id, j.id, j.parent, j.type, j.key FROM v, json_tree(v.breadcrumb) j WHERE v.ok),
+up AS (
+  SELECT row_id, id, parent AS above, CASE WHEN key IS NOT NULL AND NOT regexp_matches(key, '^[0-9]+$') THEN key END AS kind FROM t WHERE type = 'OBJECT'
+  UNION ALL
+  SELECT u.row_id, u.id, a.parent, coalesce(u.kind, CASE WHEN a.key IS NOT NULL AND NOT regexp_matches(a.key, '^[0-9]+$') THEN a.key END)
+  FROM up u JOIN t a ON a.row_id = u.row_id AND a.id = u.above WHERE a.type = 'ARRAY'
+), o AS (
+  SELECT u.row_id, u.id, u.above, u.kind, row_number() OVER (PARTITION BY u.row_id ORDER BY u.id) - 1 AS n
+  FROM up u LEFT JOIN t a ON a.row_id = u.row_id AND a.id = u.above WHERE a.type = 'OBJECT' OR u.above IS NULL
+), p AS (
+  SELECT o.row_id, o.n, CASE WHEN o.above IS NULL THEN coalesce(max(CASE WHEN o.above IS NULL THEN o.n END) OVER (PARTITION BY o.row_id ORDER BY o.n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) ELSE a.n END AS parent,
+    CASE WHEN o.above IS NULL THEN 'breadcrumb' ELSE o.kind END AS kind
+  FROM o LEFT JOIN o a ON a.row_id = o.row_id AND a.id = o.above
+), d AS (SELECT row_id, len(string_split(display_path, ' / ')) - 1 AS k FROM v WHERE ok IS NOT TRUE AND display_path IS NOT NULL)
+SELECT row_id, n::INTEGER AS item_no, parent::INTEGER AS parent_no, kind AS item_kind FROM p
+UNION ALL SELECT row_id, i::INTEGER, i::INTEGER - 1, 'display_path' FROM (SELECT row_id, unnest(range(k)) AS i FROM d)
+"""
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_nodes, p2_found, p2_metrics, p2_control_limits, p3_found)}
-ORACLES = {"p2_found": _profile_sql(), "p2_metrics": _metrics_sql(), "p3_found": _CHANGES_SQL}
+ORACLES = {"p1_found": _NODES_SQL, "p2_found": _profile_sql(), "p2_metrics": _metrics_sql(), "p3_found": _CHANGES_SQL}
