@@ -53,5 +53,26 @@ SELECT a AS row_id_a, b AS row_id_b FROM o JOIN n x ON x.row_id = a JOIN n y ON
 WHERE o * 5 >= 3 * (x.n + y.n - o)
 """
 
+_BARE = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+_END = "(\\r\\n|\\r|\\n)[ \\t\\f\\v]*(\\r\\n|\\r|\\n)"
+_COPIES_SQL = f"""
+WITH b AS (SELECT row_id, act_id, regexp_replace(text, '^\\s+', '') AS b FROM source_records WHERE len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) >= 30),
+h AS (SELECT *, CASE WHEN b LIKE '[%' AND contains(b, ']') THEN substring(b, 2, position(']' IN b) - 2)
+    WHEN regexp_matches(b, '(?i)^(authority|source|effective|agency)\\s*:') AND regexp_matches(b, '{_END}') THEN regexp_extract(b, '(?s)^(.*?){_END}', 1) END AS head,
+  CASE WHEN b LIKE '[%' THEN substring(b, position(']' IN b) + 1) ELSE regexp_replace(b, '(?s)^.*?{_END}', '') END AS rest FROM b),
+f AS (SELECT *, list_filter(regexp_split_to_array(head, '[|;\\r\\n]'), lambda x: trim(x) <> '') AS parts FROM h),
+g AS (SELECT row_id, {_BARE.format("coalesce(act_id, '')")} AS k, b, rest, parts,
+  len(parts) > 0 AND len(list_filter(parts, lambda x: NOT regexp_matches(x, '(?i)^\\s*(authority|source|effective|agency)\\s*:'))) = 0 AS ok FROM f),
+c AS (SELECT row_id, k, CASE WHEN ok THEN list_sort(list_transform(parts, lambda x: {_BARE.format("x")})) ELSE [] END AS fields, {_BARE.format("CASE WHEN ok THEN rest ELSE b END")} AS body FROM g)
+SELECT kept_row_id, row_id FROM (SELECT row_id, min(row_id) OVER (PARTITION BY k, fields, body) AS kept_row_id FROM c) WHERE row_id <> kept_row_id
+"""
+_HAN = "[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}]"
+_LEAKS_SQL = f"""
+WITH t AS (SELECT false AS held, doc_id AS id, text FROM documents UNION ALL SELECT true, item_id, text FROM eval_items),
+w AS (SELECT held, id, regexp_extract_all(regexp_replace(lower(text), '({_HAN})', ' \\1 ', 'g'), '{_HAN}|[\\p{{L}}\\p{{N}}]+') AS w FROM t WHERE text IS NOT NULL),
+g AS (SELECT held, id, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT held, id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13))
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.g = i.g WHERE NOT d.held AND i.held
+"""
+
 QUERIES = {f.__name__: f for f in (p4_found, p4_collapsed, p5_found, p6_pack, p7_found, p7_paraphrases, p8_found)}
-ORACLES = {"p5_found": _SIMILAR_SQL}
+ORACLES = {"p4_found": _COPIES_SQL, "p5_found": _SIMILAR_SQL, "p7_found": _LEAKS_SQL}
