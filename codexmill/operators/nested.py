@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codexmill.operators.batches import by_bytes
+
 #: Kinds of the nodes that no key names.
 TOP_KIND, PATH_KIND = "breadcrumb", "display_path"
 
@@ -184,7 +186,7 @@ def nested_nodes(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             keys, take = batch.column(0), []
             pre, post, level, parent, kind, fields = [], [], [], [], [], []
             for i, (text, trail) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
