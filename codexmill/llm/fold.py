@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codexmill.llm.words import find_words
+from codexmill.operators.batches import by_bytes
 from codexmill.operators.skew import join_by_weight
 from codexmill.operators.workspace import written
 
@@ -89,7 +90,7 @@ def encode_values(df: DataFrame, row_id: str, key: str, text: str, min_words: in
                            T.StructField("entries", T.ArrayType(T.StructType([T.StructField("column", T.IntegerType()), T.StructField("high", T.LongType()), T.StructField("low", T.LongType())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             keys, texts = batch.column(1).dictionary_encode(), batch.column(2).dictionary_encode()
             of_key = [letters(v) for v in keys.dictionary.to_pylist()]
             raw = texts.dictionary.to_pylist()

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from codexmill.operators.batches import by_bytes
 from codexmill.operators.workspace import written
 
 #: Every Han or Kana character is a word of its own.
@@ -94,7 +95,7 @@ def _scan(docs: DataFrame, vocabulary, share: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbered = _numbered(vocabulary.value)
         counts, total = np.zeros(numbered.pad + 1, np.int64), 0
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             kept = []
             for t, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if t:
@@ -121,10 +122,8 @@ def _frequencies(scanned: DataFrame, size: int) -> tuple[np.ndarray, int]:
                 total += n
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([counts.tobytes()], pa.binary())], names=["total", "counts"])
 
-    parts = scanned.where("total IS NOT NULL").select("total", "counts")
-    for n in (64, 1):
-        parts = parts.coalesce(n).mapInArrow(add, "total long, counts binary")
-    row = parts.first()
+    parts = scanned.where("total IS NOT NULL").select("total", "counts").coalesce(64).mapInArrow(add, "total long, counts binary")
+    row = parts.repartition(1).mapInArrow(add, "total long, counts binary").collect()[0]
     return np.frombuffer(row["counts"], np.int64)[:size], row["total"]
 
 
@@ -149,6 +148,19 @@ def _transposed(passages: np.ndarray, idf: np.ndarray, y: np.ndarray) -> np.ndar
     return out
 
 
+def _sum_of(rows: int, columns: int):
+    """Adds the matrices of a partition."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(rows * columns)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                total += np.frombuffer(part)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+    return add
+
+
 def latent_basis(sample: DataFrame, items: Items, idf: np.ndarray, run: int, rank: int = RANK) -> np.ndarray:
     """Right singular vectors of the TF-IDF passages of sample and items, a row per word.
 
@@ -174,7 +186,7 @@ def latent_basis(sample: DataFrame, items: Items, idf: np.ndarray, run: int, ran
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
         gram = _transposed(items.passages, idf, _weighted(items.passages, idf, padded))
-        for r in sample.coalesce(64).mapInArrow(product, "part binary").toLocalIterator():
+        for r in sample.coalesce(64).mapInArrow(product, "part binary").repartition(1).mapInArrow(_sum_of(size + 1, wide), "part binary").collect():
             gram += np.frombuffer(r["part"]).reshape(size + 1, wide)
         shared.unpersist()
         gram = gram[:size]
@@ -391,14 +403,12 @@ def find_leaks(
 
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             task = Search(*shared.value, run, cosine, needed, subsequence if paraphrases else None)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    part = batch.slice(at, 2000)
-                    hits = task.hits(part.column(1).to_pylist())
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array([h[0] for h in hits], pa.int64())), pa.array([known.ids[h[1]] for h in hits], part_type), pa.array([float(h[2]) for h in hits], pa.float64()), pa.array([h[3] for h in hits], pa.int32()), pa.array([h[4] for h in hits], pa.int32())],
-                        names=schema.names,
-                    )
+            for part in by_bytes(batches, 1, 4 << 20):
+                hits = task.hits(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array([h[0] for h in hits], pa.int64())), pa.array([known.ids[h[1]] for h in hits], part_type), pa.array([float(h[2]) for h in hits], pa.float64()), pa.array([h[3] for h in hits], pa.int32()), pa.array([h[4] for h in hits], pa.int32())],
+                    names=schema.names,
+                )
 
         part_type = to_arrow_type(schema[item_id].dataType)
         return source.select(doc_id, "__text").mapInArrow(go, schema)

@@ -17,7 +17,7 @@ the leader follow from the leader's by counting only the members in which the tw
 Scale: texts are read where they lie, three times, and never shuffled. Frequencies are counts over
 all records in a table of fixed size (collisions affect the order only). Lists are spread over parts
 of bounded size; a shingle in too many sets is split into blocks, and pairs of blocks go to different
-parts. A family with too many pairs is split as well. Filters that tell the passes which records
+parts. A family with too many members is split as well. Filters that tell the passes which records
 matter are bitmaps of a fixed size.
 """
 
@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexmill.llm.words import ShingleSets, WordHashes, mixed
+from codexmill.operators.batches import by_bytes
 from codexmill.operators.skew import join_by_weight
 from codexmill.operators.workspace import written
 
@@ -64,7 +65,7 @@ def _describe(texts: DataFrame, width: int, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, counts = WordHashes(), np.zeros(CELLS, np.int32)
         task = TaskContext.get().partitionId() // SHARD
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             s = ShingleSets(batch.column(1).to_pylist(), width, min_words, cache)
             counts += np.bincount((s.hashes % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.int32)
             high, low = s.digests()
@@ -133,7 +134,7 @@ def _post(texts: DataFrame, width: int, min_words: int, t: Fraction, frequency,
         cache, seen = WordHashes(), set()
         counts = frequency.value
         noise = int(counts.mean())
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             s = ShingleSets(batch.column(1).to_pylist(), width, min_words, cache)
             n = len(s.text)
             if not n:
@@ -278,7 +279,7 @@ def _members(texts: DataFrame, width: int, min_words: int, wanted) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             at = _filter_bits(np.array(batch.column(0).to_numpy(zero_copy_only=False), np.int64))
             chosen = np.flatnonzero((wanted.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
             some = batch.take(pa.array(chosen))
@@ -317,12 +318,12 @@ def _verify_family(pairs: list[tuple[int, int]], sets: dict[int, set], leader: i
     return out
 
 
-def _verified(pairs: DataFrame, members: DataFrame, t: Fraction, family_pairs: int) -> DataFrame:
-    """(a, b) of row ids that are similar, from the candidates (a, b)."""
+def _verified(pairs: DataFrame, members: DataFrame, t: Fraction, family_members: int) -> DataFrame:
+    """(a, b) of row ids that are similar, from the candidates (a, b, members): both sets' sizes."""
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
     leaders = both.groupBy("x").agg(F.least("x", F.min("y")).alias("leader"))
     led = written(pairs.join(leaders.withColumnRenamed("x", "a"), "a"), "similar-families")
-    crowded = led.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / family_pairs).alias("cuts"))
+    crowded = led.groupBy("leader").agg(F.ceil(F.sum("members") / family_members).alias("cuts"))
     families = led.join(crowded, "leader").withColumn("cut", F.pmod(F.xxhash64("a", "b"), "cuts"))
     ships = families.select("leader", "cut", F.explode(F.array("a", "b", "leader")).alias("row_id")).distinct()
     inside = families.groupBy("leader", "cut").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
@@ -351,7 +352,7 @@ def similar_classes(
     min_words: int = 1,
     part_postings: int = 1_500_000,
     crowd: int = 20_000,
-    family_pairs: int = 20_000,
+    family_members: int = 2_000_000,
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets and links between classes, both written tables.
 
@@ -373,17 +374,17 @@ def similar_classes(
     counts = spark.sparkContext.broadcast(frequency)
     parts = max(1, math.ceil(postings / part_postings))
     found = written(_candidate_pairs(_post(texts, width, min_words, threshold, counts, parts, crowd), threshold, parts), "similar-candidates")
-    ids = classes.select("low", "kept")
+    ids = classes.select("low", "kept", "size")
     named = (
-        found.join(ids.select(F.col("low").alias("a"), F.col("kept").alias("ka")), "a")
-        .join(ids.select(F.col("low").alias("b"), F.col("kept").alias("kb")), "b")
-        .select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+        found.join(ids.select(F.col("low").alias("a"), F.col("kept").alias("ka"), F.col("size").alias("na")), "a")
+        .join(ids.select(F.col("low").alias("b"), F.col("kept").alias("kb"), F.col("size").alias("nb")), "b")
+        .select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), (F.col("na") + F.col("nb")).alias("members"))
         .where("a != b")
         .distinct()
     )
     named = written(named, "similar-named")
     wanted = spark.sparkContext.broadcast(_id_filter(named.select(F.explode(F.array("a", "b")).alias("id")), "id"))
-    links = written(_verified(named, _members(texts, width, min_words, wanted), threshold, family_pairs), "similar-links")
+    links = written(_verified(named, _members(texts, width, min_words, wanted), threshold, family_members), "similar-links")
     membership = join_classes(sets, classes)
     return written(membership, "similar-membership"), links
 
