@@ -188,6 +188,21 @@ def member_annotations(members: DataFrame, groups: DataFrame, file: list[str]) -
     )
 
 
+def duplicate_evidence(members: DataFrame, file: list[str], most_members: int = 100_000) -> DataFrame:
+    """(source_record_id, detail) of each row whose text another row of its group has: who shares it.
+
+    Texts that more than ``most_members`` rows of a group share are counted, not listed.
+    """
+    group = [*file, "source_identity_key", "strategy", "raw_text_hash"]
+    shared = members.where("duplicate_row")
+    small = F.when(F.col("n") <= most_members, F.col("source_record_id"))
+    counts = shared.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    ids = shared.join(counts, group).groupBy(*group, "n").agg(F.array_sort(F.collect_list(small)).alias("ids"))
+    listed = F.when(F.size("ids") > 0, F.array_join("ids", ", ")).otherwise(F.concat(F.col("n").cast("string"), F.lit(" rows")))
+    detail = F.concat(F.lit("raw_text_hash shared by "), F.col("n").cast("string"), F.lit(" rows in identity group: "), listed)
+    return shared.join(ids, group).select("source_record_id", detail.alias("detail"))
+
+
 # --------------------------------------------------------------------------- assembly
 
 

@@ -67,6 +67,19 @@ def status_counts(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by, F.coalesce("act_status", F.lit("<null>")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def corpus_statuses(rows: DataFrame, corpus: str) -> DataFrame:
+    """The statuses that occur in each corpus, sorted; a null one as ``<null>``. A status is a word of a
+    small vocabulary, so the set is small."""
+    each = rows.select(corpus, F.coalesce("act_status", F.lit("<null>")).alias("status")).distinct()
+    return each.groupBy(corpus).agg(F.array_join(F.array_sort(F.collect_list("status")), ", ").alias("statuses"))
+
+
+def first_with(rows: DataFrame, by: list[str], cond: Column, ordinal: str, text: str = "text", head: int = 160) -> DataFrame:
+    """The first row of each group, in physical order, that meets a condition: key and head of its text."""
+    opened = F.substring(F.col(text), 1, head)
+    return rows.where(cond).groupBy(*by).agg(F.min_by(F.struct("act_id", opened.alias("text_head")), ordinal).alias("e")).select(*by, "e.*")
+
+
 def lineage_pointers(rows: DataFrame, by: list[str]) -> DataFrame:
     """Rows of the statuses that move a section, repealed ones included, and those that say where."""
     return (

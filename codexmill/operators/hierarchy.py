@@ -125,6 +125,12 @@ def level_histogram(rows: DataFrame, corpus: str) -> DataFrame:
     return each.groupBy(corpus, F.col("n.kind").alias("kind"), F.col("n.raw_kind").alias("raw_kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def deepest_paths(rows: DataFrame, corpus: str, ordinal: str) -> DataFrame:
+    """The first of the deepest breadcrumbs of each corpus."""
+    first = F.struct(F.size("levels").alias("depth"), (-F.col(ordinal)).alias("order"))
+    return rows.where(F.size("levels") > 0).groupBy(corpus).agg(F.max_by("act_id", first).alias("act_id"), F.max(F.size("levels")).alias("depth"))
+
+
 def depth_histogram(rows: DataFrame, corpus: str) -> DataFrame:
     return rows.where(F.size("levels") > 0).groupBy(corpus, F.size("levels").alias("depth")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -94,6 +94,21 @@ def lineage_pointers(spark: SparkSession, d: str) -> DataFrame:
     return audit.lineage_pointers(law(spark, d), ["corpus"])
 
 
+@query(_LAW + r" SELECT CASE WHEN p = '' THEN '<no-prefix>' ELSE p END AS prefix, count(*) AS n FROM (SELECT regexp_extract(act_id, '^([A-Z]+(?:_[A-Z]{2})?)_', 1) AS p FROM law WHERE act_id <> '') GROUP BY 1")
+def prefix_totals(spark: SparkSession, d: str) -> DataFrame:
+    return audit.prefix_counts(law(spark, d), [])
+
+
+@query(_LAW + " SELECT corpus, string_agg(s, ', ' ORDER BY s) AS statuses FROM (SELECT DISTINCT corpus, coalesce(act_status, '<null>') AS s FROM law) GROUP BY 1")
+def corpus_statuses(spark: SparkSession, d: str) -> DataFrame:
+    return audit.corpus_statuses(law(spark, d), "corpus")
+
+
+@query(_LAW + " SELECT load_id, act_id, substring(text, 1, 160) AS text_head FROM law WHERE act_status = 'repealed' AND text <> '' QUALIFY row_number() OVER (PARTITION BY load_id ORDER BY row_ordinal) = 1")
+def repealed_examples(spark: SparkSession, d: str) -> DataFrame:
+    return audit.first_with(law(spark, d), FILE, (F.col("act_status") == "repealed") & (F.col("text") != ""), "row_ordinal")
+
+
 @query(
     _LAW
     + f""" SELECT load_id, example_no, act_id, citation, act_status, has_text, text_head FROM (SELECT load_id, act_id, citation, act_status,
@@ -337,6 +352,17 @@ def strategy_outcomes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    _LAW
+    + _MEMBERS
+    + """, x AS (SELECT *, count(*) OVER q AS n, string_agg(id, ', ' ORDER BY id) OVER (PARTITION BY load_id, state, corpus, act_id, strategy, h ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ids FROM k WHERE dup
+  WINDOW q AS (PARTITION BY load_id, state, corpus, act_id, strategy, h))
+SELECT id AS source_record_id, 'raw_text_hash shared by ' || n || ' rows in identity group: ' || ids AS detail FROM x"""
+)
+def duplicate_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return A.duplicate_evidence(A.identity_members(records(spark, d), FILE, "row_ordinal"), FILE)
+
+
 @query()
 def member_artifacts(spark: SparkSession, d: str) -> DataFrame:
     members = A.identity_members(records(spark, d), FILE, "row_ordinal")
@@ -475,6 +501,11 @@ def hierarchy_kinds(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.level_histogram(levels(spark, d), "corpus")
 
 
+@query(_NODES + " SELECT p.corpus, l.act_id, p.depth FROM p JOIN law l USING (row_id) QUALIFY row_number() OVER (PARTITION BY p.corpus ORDER BY p.depth DESC, p.row_id) = 1")
+def deepest_paths(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.deepest_paths(levels(spark, d), "corpus", "row_id")
+
+
 @query(_NODES + " SELECT corpus, depth, count(*) AS n FROM p GROUP BY 1, 2")
 def hierarchy_depths(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.depth_histogram(levels(spark, d), "corpus")

@@ -45,6 +45,25 @@ def schema_problem(schema: pa.Schema) -> str | None:
     return None
 
 
+def schema_groups(paths: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by the columns that they have, in order; one group if all agree."""
+    out: dict[tuple[str, ...], list[str]] = {}
+    for p in expand(paths):
+        out.setdefault(tuple(pq.read_schema(p).names), []).append(Path(p).name)
+    return out
+
+
+def column_differences(paths: str | list[str]) -> dict[str, tuple[list[str], list[str]]]:
+    """Per file the columns of the contract that it lacks and those that it has besides."""
+    return {Path(p).name: ([c for c in SNAPSHOT_COLUMNS if c not in names], [c for c in names if c not in SNAPSHOT_COLUMNS]) for p in expand(paths) for names in [pq.read_schema(p).names]}
+
+
+def crosswalk_columns(paths: str | list[str]) -> list[str]:
+    """Columns of any file that would state a predecessor or successor."""
+    found = {c for names in schema_groups(paths) for c in names}
+    return [c for c in X.CROSSWALK_COLUMNS if c in found]
+
+
 def file_checksums(spark: SparkSession, paths: list[str], chunk: int = 1 << 20) -> DataFrame:
     """(path, checksum) of local or mounted files, hashed on the executors without loading any whole."""
 

@@ -239,6 +239,17 @@ def test_scan(spark, tmp_path):
     assert "out of order" in snapshot.schema_problem(pa.schema([(c, pa.string()) for c in reversed(SNAPSHOT_COLUMNS)]))
 
 
+def test_columns_of_files(tmp_path):
+    write(tmp_path / "us_a_statutes.parquet", [{}])
+    write(tmp_path / "us_b_statutes.parquet", [{}])
+    pq.write_table(pa.table({"act_id": ["x"], "successor": ["y"]}), tmp_path / "us_c_statutes.parquet")
+    at = str(tmp_path / "*.parquet")
+    assert sorted(map(sorted, snapshot.schema_groups(at).values())) == [["us_a_statutes.parquet", "us_b_statutes.parquet"], ["us_c_statutes.parquet"]]
+    assert snapshot.crosswalk_columns(at) == ["successor"]
+    lacks, besides = snapshot.column_differences(at)["us_c_statutes.parquet"]
+    assert len(lacks) == 23 and besides == ["successor"]
+
+
 def test_pins_and_checksums(spark):
     sha1 = "a" * 40
     assert snapshot.resolve_revision("main", sha1, lambda r: sha1) == sha1
