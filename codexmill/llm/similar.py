@@ -145,7 +145,7 @@ def _post(texts: DataFrame, width: int, min_words: int, t: Fraction, frequency,
                 if c not in seen:
                     seen.add(c)
                     fresh[i] = True
-            if len(seen) > 4_000_000:  # a class may then be posted twice, which the lists bear
+            if len(seen) > 1_000_000:  # a class may then be posted twice, which the lists bear
                 seen.clear()
             sizes, owner = s.sizes, s.owners()
             often = counts[(s.hashes % np.uint64(CELLS)).astype(np.int64)]

@@ -13,7 +13,7 @@ find_words: Callable[[str], list[str]] = re.compile(r"[^\W_]+").findall
 
 _C = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Entries that a task's cache of word hashes may have before it starts anew.
-CACHE = 1 << 20
+CACHE = 1 << 18
 
 
 class WordHashes(dict):
