@@ -171,7 +171,7 @@ UNITS = [
     "看板には「立入禁止。連絡のこと。」と書かれている。|だれが保管するか？|第26.8条により補正する。",
     "सूचना में लिखा है “प्रवेश वर्जित। समिति से मिलें।” और मुहर लगी है।|शुल्क 9.4 प्रतिशत है और डॉ. शब्द लिखा है।|कौन देख सकता है?",
     "تبلغ الرسوم 6.5 في المئة؛ ويدفعها المكتب.|من يستطيع أن يطلب القائمة؟|يراجع المكتب الدفتر.",
-    "ดร. สมชายอยู่ ๕ วัน|(ห้าม)|Act|ห้าม",
+    "ดร. สมชายอยู่ ๕ วัน|(ห้าม) Act|ห้าม",
     "ค่าธรรมเนียมคิดเป็น 8.1 ส่วนของใบรับเงิน|หอจดหมายเหตุต้องตรวจสอบภายใน 50 วันหลังได้รับแจ้ง|ห้ามตรวจสอบ||หมวด 32",
 ]
 
