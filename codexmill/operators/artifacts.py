@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from codexmill.functions import identity as I
 from codexmill.functions import text as X
 from codexmill.operators.skew import numbered_in_group
+from codexmill.operators.workspace import written
 
 # What a document type says of class and role, and what a key's prefix expects.
 GUIDANCE_TYPES = ("guidance", "guideline", "administrative_guidance", "ruling", "faq", "memorandum", "enforcement_action", "irs_notice", "irs_rev_proc", "irs_rev_rul", "irs_announcement")
@@ -119,12 +120,14 @@ def identity_members(records: DataFrame, file: list[str], ordinal: str) -> DataF
 
     A record under a strategy that must refuse it has a ``reject`` reason and no place. The order is
     physical and only observed; ties break by record id. A key that holds a large share of all rows
-    is numbered block by block.
+    is numbered block by block. The members, without their texts, are written first, so that texts
+    are read and hashed once.
     """
     chosen = strategy(F.col("document_type"), F.col("act_id"))
     base = records.select(
         *file, "source_record_id", "row_id", "state", "corpus", "act_id", "raw_text_hash", F.col(ordinal).alias("ordinal"), chosen.alias("strategy")
     ).where(F.col("strategy").isNotNull()).withColumn("reject", reject_reason(F.col("strategy"), F.col("corpus"), F.col("act_id"), F.col("state")))
+    base = written(base, "identity")
     good = base.where(F.col("reject").isNull())
     group = [*file, "state", "corpus", "act_id", "strategy"]
     good = numbered_in_group(good, group, "ordinal", ["source_record_id"], "segment_ordinal", "group_size")

@@ -13,6 +13,7 @@ from codexmill.operators import artifacts as A
 from codexmill.operators import audit, difference, hierarchy
 from codexmill.operators.skew import numbered_in_group
 from codexmill.operators.snapshots import version_steps
+from codexmill.operators.workspace import written
 from codexmill.sources.tables import table
 
 FILE = ["load_id"]
@@ -212,7 +213,7 @@ _DUP = ", dup AS (SELECT load_id, act_id FROM law WHERE act_id IS NOT NULL GROUP
 )
 def colliding_members(spark: SparkSession, d: str) -> DataFrame:
     rows = audit.colliding_rows(law(spark, d), FILE).select("row_id", *FILE, "act_id", "row_ordinal", X.namespace(F.col("act_id")).alias("ns"), F.md5("text").alias("text_md5"))
-    rows = numbered_in_group(rows, [*FILE, "act_id"], "row_ordinal", ["row_id"], "segment_ordinal", "group_size")
+    rows = numbered_in_group(written(rows, "colliding"), [*FILE, "act_id"], "row_ordinal", ["row_id"], "segment_ordinal", "group_size")
     rows = numbered_in_group(rows, [*FILE, "act_id", "text_md5"], "row_ordinal", ["row_id"], "occurrence_index", "copies")
     return rows.select("row_id", "ns", "text_md5", *[F.col(c).cast("int").alias(c) for c in ("segment_ordinal", "occurrence_index")])
 
