@@ -148,6 +148,37 @@ def _transposed(passages: np.ndarray, idf: np.ndarray, y: np.ndarray) -> np.ndar
     return out
 
 
+def _gram_product(texts: list[np.ndarray], idf: np.ndarray, matrix: np.ndarray, run: int) -> np.ndarray:
+    """The Gram matrix of all texts' TF-IDF passages times ``matrix``.
+
+    A passage is two neighbouring blocks of ``run`` words, so sums over blocks serve both passages
+    that share a block, and each word is touched once in either direction.
+    """
+    out, size = np.zeros(matrix.shape), len(idf) - 1
+    blocks = np.array([max(1, -(-len(t) // run)) + 1 for t in texts], np.int64)  # the last one is empty
+    if not len(blocks):
+        return out
+    ends = np.cumsum(blocks)
+    words = np.concatenate(texts)
+    block = np.concatenate([np.arange(len(t)) // run + e - b for t, e, b in zip(texts, ends, blocks)])
+    known = words < size
+    words, block = words[known], block[known]
+    if not len(words):
+        return out
+    firsts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+    sums = np.zeros((ends[-1] + 1, matrix.shape[1]), np.float32)
+    sums[block[firsts]] = np.add.reduceat((matrix * idf[:, None])[words], firsts, axis=0)
+    passages = sums[:-1] + sums[1:]
+    passages[ends - 1] = 0
+    back = passages.copy()
+    back[1:] += passages[:-1]
+    order = np.argsort(words, kind="stable")
+    words, block = words[order], block[order]
+    firsts = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+    out[words[firsts]] = np.add.reduceat(back[block], firsts, axis=0) * idf[words[firsts], None]
+    return out
+
+
 def _sum_of(rows: int, columns: int):
     """Adds the matrices of a partition."""
 
@@ -178,15 +209,11 @@ def latent_basis(sample: DataFrame, items: Items, idf: np.ndarray, run: int, ran
             matrix, weight = shared.value
             total = np.zeros((size + 1, wide))
             for batch in batches:
-                cut = [windows(np.frombuffer(w, np.int32), size, run) for w in batch.column(0).to_pylist()]
-                if cut:
-                    passages = np.concatenate(cut)
-                    passages = passages[(passages < size).sum(axis=1) > 1]
-                    total += _transposed(passages, weight, _weighted(passages, weight, matrix))
+                total += _gram_product([np.frombuffer(w, np.int32) for w in batch.column(0).to_pylist()], weight, matrix, run)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
         gram = _transposed(items.passages, idf, _weighted(items.passages, idf, padded))
-        for r in sample.coalesce(64).mapInArrow(product, "part binary").repartition(1).mapInArrow(_sum_of(size + 1, wide), "part binary").collect():
+        for r in sample.mapInArrow(product, "part binary").repartition(1).mapInArrow(_sum_of(size + 1, wide), "part binary").collect():
             gram += np.frombuffer(r["part"]).reshape(size + 1, wide)
         shared.unpersist()
         gram = gram[:size]
@@ -396,7 +423,8 @@ def find_leaks(
         seen, n = _frequencies(scanned, len(known.vocabulary))
         # Between 1 for a word of every document and 2 for one of none, so that a run of common words counts.
         idf = np.append(1 + np.log((n + 1) / (seen + 1)) / np.log(n + 2), 0).astype(np.float32)
-        basis = latent_basis(scanned.where("words IS NOT NULL").select("words"), known, idf, run)
+        sample = written(scanned.where("words IS NOT NULL").select("words").repartition(32), "leak-sample")
+        basis = latent_basis(sample, known, idf, run)
         shared = spark.sparkContext.broadcast((known, idf, basis))
         lengths = (known.passages < len(known.vocabulary)).sum(axis=1)
         needed = run if not paraphrases else min(run, math.ceil(subsequence * int(lengths.min())))

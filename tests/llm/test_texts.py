@@ -124,6 +124,17 @@ def test_leaks(spark):
     assert small == want
 
 
+def test_gram_product():
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(0, 9, n).astype(np.int32) for n in (0, 1, 12, 13, 14, 26, 27, 100)]
+    idf, matrix = np.append(rng.random(8), 0).astype(np.float32), np.vstack([rng.random((8, 3)), np.zeros((1, 3))]).astype(np.float32)
+    a = np.zeros((0, 9))
+    for t in texts:
+        a = np.vstack([a, [[(w == i).sum() for i in range(9)] for w in leaks.windows(t, 8, 13)]])
+    a = a * idf
+    assert np.allclose(leaks._gram_product(texts, idf, matrix, 13)[:8], (a.T @ (a @ matrix))[:8], rtol=1e-4)
+
+
 def test_paraphrase(spark):
     item = "suppose that a lessee of the tawny trellis began smelting near the saffron trellis on day 158 while the saffron icehouse stood idle for 16 weeks"
     loose = "suppose then that a lessee of some tawny trellis had begun smelting near that saffron trellis on day 158 while a saffron icehouse stood fully idle for 16 weeks"
