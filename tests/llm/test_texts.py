@@ -173,6 +173,7 @@ UNITS = [
     "(The amount in table 7.16 is $80,184.70.)|17. The waiver is kept in 1995.|(c) The board may act.|iForm No. 2.6 replaces it.",
     "The notice lists:\n(a) each plan;\n(b) each seal; and\n(c) each record kept in 1995.|The board met.",
     "The notice lists:\n(a) each plan.\n(b) each record.|The board met.",
+    "The notice lists:\n(a) each plan; and\n(b) each record.|(c) The board met.|(a) Each seal is kept.",
     "Sec. 37. Archives.||CHAPTER 28. HEDGES||Part F — Fairs||§ 9.9  Final record",
     "See example.com and v1.2.3 of it.|Under 2 U.S.C. 559, it ends.",
     "Am 14. Oktober 1995 prüft das Amt die Urkunde, z. B. im Haus.|Auf dem Schild steht: „Zutritt verboten. Das Amt prüft.“|Der Satz beträgt ca. 8,2 Prozent bzw. 7.131 Taler.|„Wer sucht es?“, fragte das Amt.",
