@@ -75,7 +75,8 @@ def _is_integer(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
 
 
-def _entry(df: DataFrame, kind: str, name: str, number: int, unique: bool) -> Column:
+def _keys(df: DataFrame, kind: str, name: str, unique: bool) -> tuple[Column, Column]:
+    """The 64-bit key of a slot's value, null for null, and a second one where 128 bits are needed."""
     value = F.col(name)
     if _is_integer(df, name):
         key = value.cast("long")
@@ -84,9 +85,8 @@ def _entry(df: DataFrame, kind: str, name: str, number: int, unique: bool) -> Co
         if kind == SHAPE:
             value = F.when(value != "", shape_of(value))
         key = F.when(value.isNotNull(), F.xxhash64(value))
-    # Uniqueness is a statement on single values, so its keys have 128 bits.
-    second = F.when(value.isNotNull(), F.xxhash64(F.lit(name), value)) if unique else F.lit(None).cast("long")
-    return F.struct(F.lit(number).alias("slot"), key.alias("key"), second.alias("key2"))
+    # Uniqueness is a statement on single values.
+    return key, F.when(value.isNotNull(), F.xxhash64(F.lit(name), value)) if unique else F.lit(None).cast("long")
 
 
 def value_states(df: DataFrame, load: str, checks: tuple[Check, ...]) -> DataFrame:
@@ -96,13 +96,17 @@ def value_states(df: DataFrame, load: str, checks: tuple[Check, ...]) -> DataFra
     columns are never read.
     """
     unique = {name for c in checks if c.measure == "not_unique" for name in c.columns}
-    entries = [_entry(df, k, name, i, k == VALUE and name in unique) for i, (k, name) in enumerate(compile_slots(checks))]
-    return (
-        df.where(F.col(load).isNotNull())
-        .select(F.col(load).alias("load_id"), F.explode(F.array(*entries)).alias("e"))
-        .groupBy("load_id", "e.slot", "e.key", "e.key2")
-        .agg(F.count(F.lit(1)).alias("n"))
+    slots = compile_slots(checks)
+    wide = [F.col(load).alias("load_id")]
+    for i, (kind, name) in enumerate(slots):
+        key, second = _keys(df, kind, name, kind == VALUE and name in unique)
+        wide += [F.lit(i).alias(f"s{i}"), key.alias(f"k{i}"), second.alias(f"z{i}")]
+    # Unpivoting expands rows as plain numbers, without building an array or a structure for each.
+    parts = ", ".join(f"(s{i}, k{i}, z{i})" for i in range(len(slots)))
+    entries = df.sparkSession.sql(
+        f"SELECT load_id, slot, key, key2 FROM {{wide}} UNPIVOT INCLUDE NULLS ((slot, key, key2) FOR part IN ({parts}))", wide=df.where(F.col(load).isNotNull()).select(*wide)
     )
+    return entries.groupBy("load_id", "slot", "key", "key2").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge_states(*states: DataFrame) -> DataFrame:
