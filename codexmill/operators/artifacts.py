@@ -7,11 +7,18 @@ reason, they never fail the job and never vanish.
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from codexmill.functions import identity as I
 from codexmill.functions import text as X
-from codexmill.operators.skew import numbered_in_group
+from codexmill.operators.skew import join_by_weight, numbered_in_group
 from codexmill.operators.workspace import written
 
 # What a document type says of class and role, and what a key's prefix expects.
@@ -153,32 +160,133 @@ def group_status(chosen: Column, size: Column) -> Column:
     return F.struct(scope.alias("scope"), status.alias("status"))
 
 
-def identity_groups(members: DataFrame, file: list[str], most_members: int = 100_000) -> DataFrame:
-    """Group artifacts: key, strategy, scope, status, size, members and address.
+def _keyed(members: DataFrame) -> DataFrame:
+    """Members that are in a group; ``part`` is the record where each record is a group of its own."""
+    one_each = F.col("strategy").isin(USC, STATE, CONSTITUTION)
+    return members.where(F.col("reject").isNull()).withColumn("part", F.when(one_each, F.col("source_record_id")))
+
+
+def _group_key(file: list[str]) -> Column:
+    """A group's key as one value, in which a null is a value."""
+    return F.struct(*file, "source_identity_key", "strategy", "part")
+
 
-    One-to-one strategies make a group per record, also under a repeated key. A group's address
-    covers all of its members; groups beyond ``most_members`` (in no snapshot seen) are given without
-    members and address, so that none is ever collected into one task.
+def group_sizes(members: DataFrame, file: list[str]) -> DataFrame:
+    """Key, strategy, scope, status, size and duplicates of each group, without its address."""
+    grouped = _keyed(members).groupBy(*file, "source_identity_key", "strategy", "part").agg(
+        F.count(F.lit(1)).alias("size"), F.count(F.when(F.col("duplicate_row") & F.col("part").isNull(), 1)).alias("duplicate_rows")
+    )
+    return grouped.withColumn("s", group_status(F.col("strategy"), F.col("size"))).select(*file, "source_identity_key", "strategy", "part", "s.*", "size", "duplicate_rows")
+
+
+class _Digests:
+    """Addresses of a group and of its duplicate scope, from its record ids in order.
+
+    The scope's address begins with the group's, so the edges are kept for a second reading, beyond a
+    size on disk.
     """
-    one_each = F.col("strategy").isin(USC, STATE, CONSTITUTION)
-    keyed = members.where(F.col("reject").isNull()).withColumn("part", F.when(one_each, F.col("source_record_id")))
-    size = F.when(one_each, F.lit(1)).otherwise(F.col("group_size"))
-    small = F.when(size <= most_members, F.col("source_record_id"))
-    grouped = keyed.groupBy(*file, "source_identity_key", "strategy", "part").agg(
-        F.count(F.lit(1)).alias("size"), F.count(F.when(F.col("duplicate_row") & ~one_each, 1)).alias("duplicate_rows"), F.array_sort(F.collect_list(small)).alias("members")
+
+    def __init__(self, strategy_name: str):
+        self.size, self.distinct, self.duplicates, self.complete, self.latest = 0, 0, 0, True, None
+        self.digest = hashlib.sha256(I.FIELD.join(("source_identity_group", strategy_name, STRATEGY_VERSION, "", "")).encode())
+        self.edges = tempfile.SpooledTemporaryFile(max_size=4 << 20)
+
+    def add(self, record: str | None, duplicate: bool | None) -> None:
+        self.size += 1
+        self.duplicates += bool(duplicate)
+        if record is None:
+            self.complete = False
+            return
+        part = f"{I.RECORD if self.latest is not None else ''}{I.SOURCE_RECORD}{I.UNIT}{record}".encode()
+        self.distinct += record != self.latest
+        self.latest = record
+        self.digest.update(part)
+        self.edges.write(part)
+
+    def row(self) -> tuple:
+        group = scope = None
+        if self.complete:
+            group = f"art:sha256:{self.digest.hexdigest()}"
+            name, version = PRODUCERS["duplicates"]
+            digest = hashlib.sha256(I.FIELD.join(("duplicate_scope", name, version, "", f"{I.ANNOTATION}{I.UNIT}{group}{I.RECORD}")).encode())
+            self.edges.seek(0)
+            while part := self.edges.read(1 << 20):
+                digest.update(part)
+            scope = f"art:sha256:{digest.hexdigest()}"
+        self.edges.close()
+        return self.size, self.distinct, self.duplicates, group, scope
+
+
+def _shared_groups(keyed: DataFrame, file: list[str]) -> DataFrame:
+    """The groups of strategies that put records together. Their records are sorted, which spills,
+    and hashed as they pass by, so a group of any size needs the memory of a batch."""
+    key = [*file, "source_identity_key", "strategy"]
+    rows = keyed.where(F.col("part").isNull()).select(*key, "source_record_id", "duplicate_row")
+    schema = T.StructType(
+        [
+            *rows.schema.fields[: len(key)],
+            *(T.StructField(n, T.LongType()) for n in ("size", "distinct_members", "duplicate_rows")),
+            *(T.StructField(n, T.StringType()) for n in ("artifact_id", "scope_id")),
+        ]
     )
-    edges = F.transform("members", lambda m: I.edge(I.SOURCE_RECORD, m))
-    address = F.when(F.size("members") == F.col("size"), I.artifact_id("source_identity_group", edges, F.col("strategy"), STRATEGY_VERSION))
-    return grouped.withColumn("s", group_status(F.col("strategy"), F.col("size"))).select(*file, "source_identity_key", "strategy", "s.*", "size", "duplicate_rows", "members", address.alias("artifact_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, open_ = None, None
+        for batch in batches:
+            out = []
+            for *at, record, duplicate in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != group:
+                    if open_ is not None:
+                        out.append((*group, *open_.row()))
+                    group, open_ = at, _Digests(at[-1])
+                open_.add(record, duplicate)
+            yield as_batch(out, batch)
+        if open_ is not None:
+            yield as_batch([(*group, *open_.row())], batch)
+
+    def as_batch(out: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+        types = [*(f.type for f in list(like.schema)[: len(key)]), *[pa.int64()] * 3, *[pa.string()] * 2]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=schema.names)
+
+    return rows.repartition(*key).sortWithinPartitions(*key, "source_record_id").mapInArrow(run, schema)
+
+
+def identity_groups(members: DataFrame, file: list[str], with_members: bool = True) -> DataFrame:
+    """Group artifacts: key, strategy, scope, status, size, addresses and, if asked for, members.
+
+    One-to-one strategies make a group per record, also under a repeated key; ``part`` is then the
+    record. A group's address covers all of its members, however many; ``scope_id`` is the address
+    of its duplicate scope. The list of members is one value, as large as the group: leave it out
+    where groups may be large, :func:`member_annotations` doesn't need it.
+    """
+    keyed = _keyed(members)
+    name, version = PRODUCERS["duplicates"]
+    record = F.array_repeat(I.edge(I.SOURCE_RECORD, F.col("part")), F.col("size").cast("int"))
+    alone = (
+        keyed.where(F.col("part").isNotNull()).groupBy(*file, "source_identity_key", "strategy", "part")
+        .agg(F.count(F.lit(1)).alias("size")).withColumns({"distinct_members": F.lit(1).cast("long"), "duplicate_rows": F.lit(0).cast("long")})
+        .withColumn("artifact_id", I.artifact_id("source_identity_group", record, F.col("strategy"), STRATEGY_VERSION))
+        .withColumn("scope_id", I.artifact_id("duplicate_scope", F.concat(F.array(I.edge(I.ANNOTATION, F.col("artifact_id"))), record), name, version))
+    )
+    groups = alone.unionByName(_shared_groups(keyed, file).withColumn("part", F.lit(None).cast("string")))
+    columns = [*file, "source_identity_key", "strategy", "part", "s.*", "size", "distinct_members", "duplicate_rows", "artifact_id", "scope_id"]
+    groups = groups.withColumn("s", group_status(F.col("strategy"), F.col("size"))).select(*columns)
+    if not with_members:
+        return groups
+    lists = keyed.groupBy(_group_key(file).alias("__g")).agg(F.array_sort(F.collect_list("source_record_id")).alias("members"))
+    return groups.withColumn("__g", _group_key(file)).join(lists, "__g").drop("__g")
 
 
 def member_annotations(members: DataFrame, groups: DataFrame, file: list[str]) -> DataFrame:
-    """Member artifacts, each an edge to its group and its record, and the duplicate scope's address."""
-    each = groups.select(*file, "strategy", "size", F.col("artifact_id").alias("group_id"), F.array_sort("members").alias("ids"), F.explode("members").alias("source_record_id"))
+    """Member artifacts, each an edge to its group and its record, and the duplicate scope's address.
+
+    Every member meets its group by the group's key. Both are read more than once: pass written tables.
+    """
     name, version = PRODUCERS["duplicates"]
-    scope = I.artifact_id("duplicate_scope", F.concat(F.array(I.edge(I.ANNOTATION, F.col("group_id"))), F.transform("ids", lambda m: I.edge(I.SOURCE_RECORD, m))), name, version)
-    out = each.withColumn("scope_id", scope).drop("ids").join(
-        members.where(F.col("reject").isNull()).select("source_record_id", "segment_ordinal", "fingerprint", "duplicate_row"), "source_record_id"
+    of = groups.select(_group_key(file).alias("__g"), "size", F.col("artifact_id").alias("group_id"), "scope_id")
+    rows = _keyed(members).select(_group_key(file).alias("__g"), *file, "strategy", "source_record_id", "segment_ordinal", "fingerprint", "duplicate_row")
+    out = join_by_weight(rows, of, ["__g"], "size").select(
+        "source_record_id", *file, "strategy", "size", "group_id", "scope_id", "segment_ordinal", "fingerprint", "duplicate_row"
     )
     pair = lambda to: F.array(I.edge(I.ANNOTATION, F.col(to)), I.edge(I.SOURCE_RECORD, F.col("source_record_id")))
     return out.withColumns(
@@ -281,6 +389,22 @@ def group_rules() -> dict[str, Column]:
     }
 
 
+def checked_groups(members: DataFrame, groups: DataFrame, file: list[str]) -> DataFrame:
+    """Groups beside what their members say now: ``counted``, ``distinct_members`` and ``address``."""
+    again = identity_groups(members, file, with_members=False).select(_group_key(file).alias("__g"), F.col("size").alias("counted"), "distinct_members", F.col("artifact_id").alias("address"))
+    return groups.drop("distinct_members").withColumn("__g", _group_key(file)).join(again, "__g", "full_outer").drop("__g")
+
+
+def checked_group_rules() -> dict[str, Column]:
+    """:func:`group_rules` for the rows of :func:`checked_groups`, which have no lists of members."""
+    rules = group_rules()
+    return {n: rules[n] for n in ("scope", "status", "key")} | {
+        "members unique": F.col("distinct_members") == F.col("size"),
+        "members complete": F.col("counted") == F.col("size"),
+        "address": F.col("artifact_id") == F.col("address"),
+    }
+
+
 def assembly_rules() -> dict[str, Column]:
     has = F.col("assembled_text").isNotNull()
     return {

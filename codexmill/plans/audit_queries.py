@@ -332,7 +332,8 @@ SELECT load_id, source_identity_key, strategy, CASE WHEN size = 1 THEN 'document
   'art:sha256:' || sha256('source_identity_group' || chr(0) || strategy || chr(0) || '1' || chr(0) || chr(0) || array_to_string(ids, chr(30))) AS artifact_id FROM r"""
 )
 def identity_groups(spark: SparkSession, d: str) -> DataFrame:
-    return A.identity_groups(A.identity_members(records(spark, d), FILE, "row_ordinal"), FILE).drop("members")
+    groups = A.identity_groups(A.identity_members(records(spark, d), FILE, "row_ordinal"), FILE, with_members=False)
+    return groups.drop("part", "distinct_members", "scope_id")
 
 
 @query(
@@ -343,7 +344,7 @@ SELECT strategy, count(*) AS multi_groups, sum(size)::BIGINT AS multi_rows, sum(
   count(*) FILTER (WHERE strategy = 'federal_register_document_v1') / count(*) AS ambiguous_share FROM r GROUP BY 1"""
 )
 def strategy_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    groups = A.identity_groups(A.identity_members(records(spark, d), FILE, "row_ordinal"), FILE).where("size > 1")
+    groups = A.group_sizes(A.identity_members(records(spark, d), FILE, "row_ordinal"), FILE).where("size > 1")
     return groups.groupBy("strategy").agg(
         F.count(F.lit(1)).alias("multi_groups"),
         F.sum("size").alias("multi_rows"),
@@ -367,7 +368,8 @@ def duplicate_evidence(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def member_artifacts(spark: SparkSession, d: str) -> DataFrame:
     members = A.identity_members(records(spark, d), FILE, "row_ordinal")
-    return A.member_annotations(members, A.identity_groups(members, FILE), FILE)
+    members = written(members.select(*FILE, "source_identity_key", "strategy", "reject", "source_record_id", "segment_ordinal", "fingerprint", "duplicate_row"), "members")
+    return A.member_annotations(members, written(A.identity_groups(members, FILE, with_members=False), "groups"), FILE)
 
 
 _ASM = "'art:sha256:' || sha256('source_document_assembly' || chr(0) || 'source_assembly_trivial_single_record' || chr(0) || '2' || chr(0) || chr(0) || 'source_record' || chr(31) || id)"
@@ -398,11 +400,12 @@ def address_conflicts(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT NULL::VARCHAR AS key, NULL::VARCHAR AS rule WHERE false")
 def artifact_violations(spark: SparkSession, d: str) -> DataFrame:
     rows = records(spark, d)
-    groups = A.identity_groups(A.identity_members(rows, FILE, "row_ordinal"), FILE)
+    members = A.identity_members(rows, FILE, "row_ordinal")
+    groups = A.checked_groups(members, A.identity_groups(members, FILE, with_members=False), FILE)
     assemblies_ = A.assembled(rows).join(rows.select("source_record_id", F.col("text").alias("assembled_text")), "source_record_id")
     return (
         A.violations(A.classified(rows), A.classification_rules(), F.col("source_record_id"))
-        .unionByName(A.violations(groups, A.group_rules(), F.col("artifact_id")))
+        .unionByName(A.violations(groups, A.checked_group_rules(), F.col("artifact_id")))
         .unionByName(A.violations(assemblies_, A.assembly_rules(), F.col("source_record_id")))
     )
 

@@ -74,7 +74,7 @@ def segment_report(rows: DataFrame) -> str:
 def manifest_report(rows: DataFrame) -> str:
     """Sizes of all identity groups; of those that share a key, what the strategies make of them."""
     members = artifacts.identity_members(rows.withColumn("row_id", F.col("ordinal")), FILE, "ordinal")
-    groups = artifacts.identity_groups(members, FILE).where("size > 1")
+    groups = artifacts.group_sizes(members, FILE).where("size > 1")
     outcomes = groups.groupBy("strategy", "status").agg(F.count(F.lit(1)).alias("groups"), F.sum("size").alias("n_rows"), F.sum("duplicate_rows").alias("duplicate_rows"), F.max("size").alias("max_group"))
     rejects = members.where("reject IS NOT NULL").groupBy("strategy", "reject").agg(F.count(F.lit(1)).alias("n_rows"))
     return report(

@@ -146,6 +146,26 @@ def test_identity_and_duplicates(spark):
     assert A.incomplete_groups(groups, df.where("row_id < 6")).count() == 0 and A.incomplete_groups(groups, df.where("row_id < 5")).count() == 1
 
 
+def test_groups_of_any_size(spark):
+    n = 100_001
+    members = spark.range(n, numPartitions=4).select(
+        F.lit(None).cast("string").alias("file"), F.format_string("r%06d", "id").alias("source_record_id"), F.lit("US|regulations|FR_1").alias("source_identity_key"),
+        F.lit(A.FEDERAL_REGISTER).alias("strategy"), F.lit(None).cast("string").alias("reject"), F.lit(n).cast("long").alias("group_size"),
+        F.col("id").cast("int").alias("segment_ordinal"), F.lit("f").alias("fingerprint"), F.lit(False).alias("duplicate_row"),
+    )
+    groups = A.identity_groups(members, ["file"])
+    edges = "\x1e".join(f"source_record\x1fr{i:06d}" for i in range(n))
+    group = "art:sha256:" + hashlib.sha256(f"source_identity_group\0{A.FEDERAL_REGISTER}\x001\0\0{edges}".encode()).hexdigest()
+    g = groups.select("size", "artifact_id", F.size("members").alias("listed")).first()
+    assert (g["size"], g["artifact_id"], g["listed"]) == (n, group, n)
+    name, version = A.PRODUCERS["duplicates"]
+    scope = "art:sha256:" + hashlib.sha256(f"duplicate_scope\0{name}\0{version}\0\0annotation\x1f{group}\x1e{edges}".encode()).hexdigest()
+    quality = "art:sha256:" + hashlib.sha256(f"quality_annotation\0{name}\0{version}\0\0annotation\x1f{scope}\x1esource_record\x1fr000007".encode()).hexdigest()
+    out = A.member_annotations(members, groups, ["file"])
+    assert out.count() == n and out.where("source_record_id = 'r000007'").first()["quality_id"] == quality
+    assert A.violations(A.checked_groups(members, groups, ["file"]), A.checked_group_rules(), F.col("artifact_id")).count() == 0
+
+
 def test_assembly_and_conflicts(spark):
     df = spark.createDataFrame([("a", None), ("b", ""), ("c", "t")], "source_record_id string, text string")
     asm = {r["source_record_id"]: r for r in A.assembled(df).collect()}
