@@ -11,17 +11,17 @@ word decides whether the sentence ends, unless they always stand before what the
 Scripts have their own rules: their own terminators, no case to look at (a quotation then ends the
 sentence if a colon introduces it), no spaces, or, in Thai, spaces instead of marks.
 
-Scale: one pass counts words over all documents; the counts are aggregated by Spark, and of them
-only words with enough occurrences for a verdict are kept, which bounds their number by a constant
-(see :func:`corpus_evidence`). A second pass cuts each document by itself. Nothing is shuffled but
-the counts.
+Scale: one pass counts words over all documents; the counts are aggregated by Spark. The most
+frequent words, as many as a constant, are broadcast; if there are more, the others are handed to the
+texts that may ask for them by a join (see :func:`corpus_evidence`), and only then are texts shuffled.
+A second pass cuts each document by itself.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import ChainMap, Counter
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -73,6 +73,7 @@ _VISIBLE = re.compile(r"[^\s\x00-\x1f\x7f-\x9f\u00ad\u200b-\u200f\u202a-\u202e\u
 _SMALL, _LARGE = "a-zß-öø-ÿα-ωа-яё", "A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ"
 _WORD = re.compile(r"[^\W\d_]+(?:\.[^\W\d_]+)*\.?")
 _INNER = re.compile(rf"\.(?:[,;:]|[ \n][ \n]?[{_SMALL}](?![{_LARGE}]))")
+_FOLLOWING = re.compile(rf"[\s{re.escape(_OPEN)}¿¡§—–\-•*]*([^\W\d_]+)")
 _LAST_WORD = re.compile(r"[^\W\d_]+(?:\.[^\W\d_]+)*$")
 _MIDDLE = re.compile(rf"[{_LARGE}](?:(?<=[{_SMALL}][ \n].)|(?<=[{_SMALL}],[ \n].))[{_SMALL}'’]+")
 
@@ -106,7 +107,7 @@ class Evidence:
 class Verdicts:
     """What a document and the corpus say about a word. Each is asked for only what is in doubt."""
 
-    def __init__(self, corpus: dict[str, tuple[int, int, int]]):
+    def __init__(self, corpus: Mapping[str, tuple[int, int, int]]):
         self.corpus = corpus
         self.text, self.inner, self.known = "", None, {}
 
@@ -428,12 +429,22 @@ def sentence_units(text: str, verdicts: Verdicts) -> list[tuple[int, int]]:
     return out
 
 
-def corpus_evidence(df: DataFrame, text: str, most_words: int = 100_000) -> dict[str, tuple[int, int, int]]:
-    """Counts over all texts of words with enough occurrences to judge by: (inner, bare, name).
+def questions(text: str, known: Mapping) -> set[str]:
+    """All words of a text for which its cuts may ask the corpus, but those in ``known``: what stands
+    before a mark, whole or from one of its inner stops on, and the next word, as it is and in small letters."""
+    out = set()
+    for m in _MARK.finditer(text):
+        if w := _LAST_WORD.search(text, max(0, m.start() - 24), m.start()):
+            parts = w[0].lower().split(".")
+            out.update(".".join(parts[i:]) for i in range(len(parts)))
+        if f := _FOLLOWING.match(text, m.end()):
+            out |= {f[1], f[1].lower()}
+    return out - known.keys()
 
-    A word is kept if it has more than 1/``most_words`` of all counted occurrences (and at least
-    three), so no more than ``most_words`` can be. The others have too few for a verdict.
-    """
+
+def corpus_evidence(df: DataFrame, text: str, most_words: int = 100_000) -> tuple[dict[str, tuple[int, int, int]], DataFrame | None]:
+    """Counts over all texts: (inner, bare, name) of the ``most_words`` most frequent words, and the
+    table of all other words, or None if there are none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Evidence()
@@ -461,21 +472,43 @@ def corpus_evidence(df: DataFrame, text: str, most_words: int = 100_000) -> dict
         "sentence-words",
     )
     n = F.col("inner_n") + F.col("bare_n") + F.col("name_n")
-    total = counted.agg(F.sum(n)).first()[0] or 0
-    kept = counted.where(n >= max(3, total // most_words + 1))
-    return {r["word"]: (r["inner_n"], r["bare_n"], r["name_n"]) for r in kept.collect()}
+    often = counted.orderBy(n.desc(), "word").limit(most_words + 1).collect()
+    hot = {r["word"]: (r["inner_n"], r["bare_n"], r["name_n"]) for r in often[:most_words]}
+    if len(often) <= most_words:
+        return hot, None
+    last = often[most_words]
+    least = last["inner_n"] + last["bare_n"] + last["name_n"]
+    return hot, counted.where((n < least) | (n == least) & (F.col("word") >= last["word"]))
+
+
+def _asked(df: DataFrame, tail: DataFrame, hot) -> DataFrame:
+    """(__key, __evidence) of each text, by its digest, that may ask for words of ``tail``: their counts."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, 1):
+            take, words = [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                found = questions(t, hot.value) if t else ()
+                take += [i] * len(found)
+                words += found
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(words, pa.string())], names=["__key", "word"])
+
+    asked = df.select("__key", "__text").mapInArrow(ask, "__key binary, word string").distinct()
+    return asked.join(tail, "word").groupBy("__key").agg(F.collect_list(F.struct("word", "inner_n", "bare_n", "name_n")).alias("__evidence"))
 
 
-def split_sentences(df: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+def split_sentences(df: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, most_words: int = 100_000) -> DataFrame:
     """(doc_id, start_char, end_char[, sentence]): every sentence unit of every text.
 
     Defined cases: null and empty texts, and texts without a visible character, have no units. Ids
     are kept as they are, null or repeated. A text without any mark is one unit per block between
     blank lines, however long. Languages named in other columns are not relied on: every rule
     looks at the characters. Other columns are never read. Empty input gives an empty table.
+    ``most_words`` says how many words are broadcast; the result doesn't depend on it.
     """
     spark = df.sparkSession
-    corpus = spark.sparkContext.broadcast(corpus_evidence(df, text))
+    hot, tail = corpus_evidence(df, text, most_words)
+    corpus = spark.sparkContext.broadcast(hot)
     id_type = df.schema[doc_id].dataType
     schema = T.StructType([T.StructField(doc_id, id_type), T.StructField("start_char", T.LongType()), T.StructField("end_char", T.LongType())])
     if with_text:
@@ -485,9 +518,13 @@ def split_sentences(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         verdicts = Verdicts(corpus.value)
         for batch in by_bytes(batches, 1):
             take, starts, ends, parts = [], [], [], []
+            evidence = batch.column(2) if batch.num_columns > 2 else None
             for i, t in enumerate(batch.column(1).to_pylist()):
                 if not t:
                     continue
+                if evidence is not None:
+                    rare = {e["word"]: (e["inner_n"], e["bare_n"], e["name_n"]) for e in evidence[i].as_py() or ()}
+                    verdicts.corpus = ChainMap(rare, corpus.value) if rare else corpus.value
                 units = sentence_units(t, verdicts)
                 take += [i] * len(units)
                 starts += [a for a, _ in units]
@@ -499,4 +536,9 @@ def split_sentences(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
                 names=schema.names,
             )
 
-    return df.select(F.col(doc_id), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    source = df.select(F.col(doc_id), F.col(text).cast("string").alias("__text"))
+    if tail is not None:
+        key = F.unhex(F.sha2("__text", 256)).alias("__key")
+        asked = _asked(source.select(key, "__text"), tail, corpus)
+        source = source.select(F.col(doc_id).alias("__id"), "__text", key).join(asked, "__key", "left").select(F.col("__id").alias(doc_id), "__text", "__evidence")
+    return source.mapInArrow(run, schema)

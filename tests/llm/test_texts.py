@@ -250,5 +250,14 @@ def test_split(spark):
     assert split_sentences(docs(spark, [])).count() == 0
 
 
+def test_rare_words_of_a_large_corpus(spark):
+    """A name that the corpus has four times among half a million words still decides, broadcast or joined."""
+    odd = "They met kov. now, and kov. here. He left for Kov. Norwood is far. So u.s.kov. Is it?"
+    rows = [(0, "word " * 500_000), *((i, "It is the old Norwood road.") for i in range(1, 5)), (5, odd), (6, odd), (7, None)]
+    found = [sorted((r["doc_id"], r["sentence"]) for r in split_sentences(docs(spark, rows), with_text=True, **kw).collect()) for kw in ({}, {"most_words": 2})]
+    assert (5, "He left for Kov. Norwood is far.") in found[0]
+    assert found[0] == found[1]
+
+
 def test_fixed_answers():
     assert leaks.passage_words("Ab_c 第12条 x") == ["ab", "c", "第", "12", "条", "x"]
