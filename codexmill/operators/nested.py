@@ -30,8 +30,13 @@ def _refuse(name: str) -> None:
     raise ValueError(name)
 
 
+class Number(str):
+    """A number as it is written."""
+
+
 # Objects become tuples of (key, value) pairs, which keeps repeated keys; numbers stay text.
-_DECODE = json.JSONDecoder(object_pairs_hook=tuple, parse_constant=_refuse, parse_int=str, parse_float=str).decode
+_DECODE = json.JSONDecoder(object_pairs_hook=tuple, parse_constant=_refuse, parse_int=Number, parse_float=Number).decode
+_QUOTED = json.encoder.encode_basestring
 _BLANK = " \t\n\r"
 _TOKEN = re.compile(
     r"[ \t\n\r]*(?:([{}\[\],:])|(\"(?:[^\"\\\x00-\x1f]|\\(?:[\"\\/bfnrt]|u[0-9a-fA-F]{4}))*\")"
@@ -65,7 +70,7 @@ def _decode_deep(text: str):
             wants = "key or close" if mark == "{" else "value or close"
             continue
         if mark is None and wants in ("value", "value or close"):
-            value = json.loads(string) if string is not None else number if number is not None else words[word]
+            value = json.loads(string) if string is not None else Number(number) if number is not None else words[word]
         elif mark in ("}", "]") and wants in ("comma or close", "key or close", "value or close"):
             kind, _, parts = open_.pop()
             if (kind == "{") != (mark == "}"):
@@ -151,8 +156,39 @@ def _utf8(text: str) -> str:
     return text if text.isascii() else text.encode("utf-8", "replace").decode()
 
 
-def _scalars(pairs: tuple) -> str:
-    return _utf8(json.dumps({k: v for k, v in pairs if type(v) not in (tuple, list)}, ensure_ascii=False))
+def _text(value, children: Iterator[int]) -> str:
+    """JSON text of a list or scalar, without recursion. An object in a list is named by its number."""
+    out, todo = [], [value]
+    while todo:
+        v = todo.pop()
+        if type(v) is list:
+            out.append("[")
+            todo.append(b"]")
+            for k, x in enumerate(reversed(v)):
+                todo += [b", ", x] if k else [x]
+        elif type(v) is tuple:
+            out.append(f'{{"pre": {next(children)}}}')
+        elif type(v) is bytes:
+            out.append(v.decode())
+        elif type(v) is str:
+            out.append(_QUOTED(v))
+        else:
+            out.append(v if type(v) is Number else json.dumps(v))
+    return "".join(out)
+
+
+def _fields(pairs: tuple, children: list[int]) -> str:
+    """JSON text of an object's members but those that are objects, in their order, repeated keys too.
+
+    ``children`` are the numbers of the objects within, which come in the order of the members.
+    """
+    out, numbers = [], iter(children)
+    for k, v in pairs:
+        if type(v) is tuple:
+            next(numbers)
+        else:
+            out.append(f"{_QUOTED(k)}: {_text(v, numbers)}")
+    return _utf8("{" + ", ".join(out) + "}")
 
 
 def nested_nodes(
@@ -166,8 +202,9 @@ def nested_nodes(
     """One row per object of each record's ``document``, with interval labels and parent link.
 
     Columns: the key, ``pre``, ``post``, ``level``, ``parent_pre`` (-1 for a root), ``kind`` (the key
-    that holds the object or its array) and, if asked for, ``fields``, the object's scalar members as
-    JSON text (of a repeated key the last one).
+    that holds the object or its array) and, if asked for, ``fields``, the object's scalar and array
+    members as JSON text: in their order, repeated keys as often as they are there, numbers as written.
+    In an array, an object is written ``{"pre": n}`` by its node's number, so mixed arrays stay whole.
 
     Defined cases: a document is used if it is strict JSON whose top level is a non-empty array of
     objects only; for any other (null, blank, damaged, other top level) the segments of ``path``
@@ -195,7 +232,11 @@ def nested_nodes(
                     kinds, posts, levels, objects = label_tree(top)
                     kinds = [_utf8(k) for k in kinds]
                     if with_fields:
-                        fields += map(_scalars, objects)
+                        children: list[list[int]] = [[] for _ in posts]
+                        for n, above in enumerate(containing(posts)):
+                            if above >= 0:
+                                children[above].append(n)
+                        fields += map(_fields, objects, children)
                 elif trail is not None:
                     parts = trail.split(separator)[1:]
                     n = len(parts)
@@ -222,11 +263,14 @@ def nested_nodes(
 
 
 def node_table(nodes: DataFrame, kind: str, fields: dict[str, str]) -> DataFrame:
-    """The flat table of one kind of node: labels, parent link, and the given scalar members by type."""
-    parsed = F.from_json("fields", T.MapType(T.StringType(), T.StringType()))
+    """The flat table of one kind of node: labels, parent link, and the given scalar members by type
+    (of a repeated key the last one; arrays as JSON text)."""
+    longest = str(2**31 - 1)
+    parsed = F.map_entries(F.from_json("fields", T.MapType(T.StringType(), T.StringType()), {"maxNumLen": longest, "maxNestingDepth": longest}))
+    last = lambda name: F.try_element_at(F.filter(parsed, lambda e: e["key"] == name), F.lit(-1))["value"]
     return nodes.where(F.col("kind") == kind).select(
         *[c for c in nodes.columns if c not in ("kind", "fields")],
-        *[parsed[name].cast(as_type).alias(name) for name, as_type in fields.items()],
+        *[last(name).cast(as_type).alias(name) for name, as_type in fields.items()],
     )
 
 

@@ -97,6 +97,18 @@ def test_typed_tables_and_links(spark):
     assert {(r["pre"], r["ancestor_pre"]) for r in link_by_containment(top, top).collect()} == {(0, None), (1, 0)}
 
 
+def test_values_of_arrays_are_kept(spark):
+    long = "7" * 2000
+    text = '[{"refs": [{"cite": "50 CFR 258"}, "§ 65.03", [2, {"d": {}}, []]], "n": 1.10, "n": "2", "o": {"x": null}, "p": [{}, {}], "e": []}, {"z": [true, ' + long + "]}]"
+    nodes = nested_nodes(spark.createDataFrame([(1, text, None), (2, '[{"a": ' + "[" * 20_000 + '"v"' + "]" * 20_000 + "}]", None)], "row_id long, breadcrumb string, display_path string"))
+    got = {(r["row_id"], r["pre"]): r["fields"] for r in nodes.collect()}
+    assert got[1, 0] == '{"refs": [{"pre": 1}, "§ 65.03", [2, {"pre": 2}, []]], "n": 1.10, "n": "2", "p": [{"pre": 5}, {"pre": 6}], "e": []}'
+    assert got[1, 1] == '{"cite": "50 CFR 258"}' and got[1, 4] == '{"x": null}' and got[1, 7] == f'{{"z": [true, {long}]}}'
+    assert got[2, 0] == '{"a": ' + "[" * 20_000 + '"v"' + "]" * 20_000 + "}"
+    top = {r["pre"]: r for r in node_table(nodes.where("row_id = 1"), "breadcrumb", {"n": "string", "z": "string"}).collect()}
+    assert top[0]["n"] == "2" and top[0]["z"] is None and long in top[7]["z"]
+
+
 values = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=5), lambda c: st.lists(c, max_size=3) | st.dictionaries(st.text(max_size=3), c, max_size=3), max_leaves=12)
 
 
