@@ -35,7 +35,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_paraphrases(spark: SparkSession, d: str) -> DataFrame:
-    found = find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), cosine=0.5, paraphrases=True)
+    found = find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), paraphrases=True)
     return found.where("run_words = 0").select("doc_id", "item_id", "common_words")
 
 

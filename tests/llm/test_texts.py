@@ -120,7 +120,7 @@ def test_leaks(spark):
     want = brute_leaks(corpus, held, 13)
     assert len(want) > 30 and (902, 92) in want
     assert got == want
-    small = {(r["doc_id"], r["item_id"]) for r in find_leaks(docs(spark, corpus), items(spark, held), block_items=7, fit_documents=20).collect()}
+    small = {(r["doc_id"], r["item_id"]) for r in find_leaks(docs(spark, corpus), items(spark, held), most_items=7, block_passages=5, fit_documents=20).collect()}
     assert small == want
 
 
@@ -140,10 +140,86 @@ def test_paraphrase(spark):
     loose = "suppose then that a lessee of some tawny trellis had begun smelting near that saffron trellis on day 158 while a saffron icehouse stood fully idle for 16 weeks"
     other = "suppose that a lessee of the granite trellis began baking near the copper trellis on day 7 while the velvet icehouse stood idle for 3 weeks"
     rows = [(1, loose), (2, item), (3, other)] + [(10 + i, f"the board of the office shall keep record {i} of the day") for i in range(50)]
-    got = {r["doc_id"]: r for r in find_leaks(docs(spark, rows), items(spark, [(1, item)]), cosine=0.5, paraphrases=True).collect()}
+    got = {r["doc_id"]: r for r in find_leaks(docs(spark, rows), items(spark, [(1, item)]), paraphrases=True).collect()}
     assert {*got} == {1, 2} and got[2]["run_words"] == 13 and got[1]["run_words"] == 0 and got[1]["common_words"] >= 16
 
 
+def topics(seed=11):
+    """Items and documents that share 13 words of no topic, between words of different topics."""
+    rnd = random.Random(seed)
+    topic = [[f"t{i}x{j}" for j in range(8)] for i in range(40)]
+    talk = lambda i, n: [rnd.choice(topic[i]) for _ in range(n)]
+    held, corpus = [], []
+    for k in range(120):
+        own = [f"own{k}x{j}" for j in range(13)]
+        held.append((k, " ".join(talk(k % 40, 20) + own + talk(k % 40, 20))))
+        corpus.append((k, " ".join(talk((k + 7) % 40, 30) + own + talk((k + 7) % 40, 30))))
+    return held, corpus + [(1000 + i, " ".join(talk(i % 40, 60))) for i in range(4000)]
+
+
+def test_rare_run_between_other_topics(spark):
+    """A rank that holds the topics has no room for the runs; they are found all the same."""
+    held, corpus = topics()
+    got = {(r["doc_id"], r["item_id"]) for r in find_leaks(docs(spark, corpus), items(spark, held)).collect()}
+    assert got == brute_leaks(corpus, held, 13) and len(got) >= 120
+
+
+def search_of(held, corpus, rank, kind=leaks.RunSearch, **kw):
+    known = leaks.read_items(held, 13)
+    numbered = leaks._numbered(known.vocabulary)
+    words = [numbered.of(t) for _, t in corpus]
+    seen = np.bincount(np.concatenate([np.unique(w) for w in words]), minlength=numbered.pad + 1)[:-1]
+    idf = np.append(1 + np.log((len(corpus) + 1) / (seen + 1)) / np.log(len(corpus) + 2), 0).astype(np.float32)
+    x = np.zeros((len(known.passages), numbered.pad + 1), np.float32)
+    np.add.at(x, (np.arange(len(x))[:, None], known.passages), 1)
+    basis = np.linalg.svd((x * idf)[:, :-1], full_matrices=False)[2][:rank].T
+    space = leaks.LatentSpace(idf, np.vstack([basis, np.zeros((1, basis.shape[1]))]).astype(np.float32))
+    extra = (leaks.rarity_of(known.vocabulary, seen), np.array([w.isdecimal() for w in known.vocabulary]), 0.6) if kind is leaks.ParaphraseSearch else ()
+    return kind(space, numbered, known.passages, known.owner, 13, *extra), x * idf
+
+
+def test_places_bound_cosines():
+    """The cosine of two places is never below that of the passages; more rank examines fewer pairs."""
+    held, corpus = topics()
+    examined = []
+    for rank in (1, 64, 300):
+        search, dense = search_of(held, corpus, rank)
+        unit = dense / np.linalg.norm(dense, axis=1, keepdims=True)
+        assert ((search.place.T @ search.place) >= unit @ unit.T - 1e-5).all()
+        cut = np.concatenate([leaks.windows(search.numbered.of(t), search.pad, 13) for _, t in corpus[:1000]])
+        least = search.space.least_run(cut, 13)
+        examined.append(len(search.candidates(cut[np.isfinite(least)], least[np.isfinite(least)], search.asked)[0]))
+    assert examined[0] > examined[1] > examined[2] > 0
+
+
+def test_paraphrases_at_every_offset(spark):
+    """Against all stretches of 26 words of each document, wherever they begin: none is missed."""
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    held = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([13, 20, 26, 60])))) for i in range(25)]
+    corpus = []
+    for offset in range(39):
+        w = rnd.choice(held)[1].split()
+        at = rnd.randrange(max(1, len(w) - 25))
+        told = [x if rnd.random() < 0.8 else rnd.choice(vocabulary) for x in w[at : at + 26]]
+        noise = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+        corpus.append((offset, " ".join(noise(offset) + told + noise(rnd.randrange(60)))))
+    search, _ = search_of(held, corpus, 16, leaks.ParaphraseSearch)
+    want = set()
+    for d, t in corpus:
+        words = search.numbered.of(t)
+        for q, listed in enumerate(search.lists):
+            for a in range(max(1, len(words) - 25)):
+                span = words[a : a + 26].tolist()
+                if common_subsequence(listed, [x for x in span if x < search.pad]) >= search.needed[q] and len(search.answers[q] & {*span}) >= search.needs[q]:
+                    want.add((d, int(search.owner[q])))
+                    break
+    got = {(d, i) for d, i, _, _ in search.hits([t for _, t in corpus])}
+    assert len(want) > 15 and want <= got
+    whole = {(r["doc_id"], r["item_id"]) for r in find_leaks(docs(spark, corpus), items(spark, held), paraphrases=True, fit_documents=3).collect()}
+    assert {(d, search_item) for d, search_item in want} <= whole
+
+
 def test_no_leaks(spark):
     some = items(spark, [(1, "one two three")])
     assert find_leaks(docs(spark, []), some).count() == 0 and find_leaks(docs(spark, [(1, "a")]), some.limit(0)).count() == 0 and find_leaks(docs(spark, [(1, "one two three")]), some).count() == 0
