@@ -2,11 +2,12 @@
 
 Whether a full stop after ``Co`` or ``Inc`` ends a sentence depends on what ``Co`` is and on what the
 next word is. Both are read off places where they are unambiguous. A word whose stop is followed by a
-small letter elsewhere in the document is an abbreviation; a capitalised word that the document also
-has in the middle of sentences is a name, one that it also has in small letters is a common word, so
-that its capital marks a beginning. What the document doesn't show is looked up in the same counts
-over the whole corpus. A short list of usual abbreviations is taken as known; for them, too, the next
-word decides whether the sentence ends, unless they always stand before what they belong to.
+small letter elsewhere in the document is an abbreviation, one that the document has without a stop is
+none; a capitalised word that the document also has in the middle of sentences is a name, one that it
+also has in small letters is a common word, so that its capital marks a beginning. Where the document
+is silent on a word, a short list of usual abbreviations speaks, and for all other words the same
+counts over the whole corpus. A known abbreviation, too, leaves it to the next word whether the
+sentence ends, unless it stands before what it belongs to: a name, or a number.
 
 Scripts have their own rules: their own terminators, no case to look at (a quotation then ends the
 sentence if a colon introduces it), no spaces, or, in Thai, spaces instead of marks.
@@ -14,12 +15,14 @@ sentence if a colon introduces it), no spaces, or, in Thai, spaces instead of ma
 Scale: one pass counts words over all documents; the counts are aggregated by Spark. The most
 frequent words, as many as a constant, are broadcast; if there are more, the others are handed to the
 texts that may ask for them by a join (see :func:`corpus_evidence`), and only then are texts shuffled.
-A second pass cuts each document by itself.
+No verdict depends on how large the corpus is, only on the proportions in it. A second pass cuts each
+document by itself, in time proportional to its length.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import ChainMap, Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
@@ -33,17 +36,23 @@ from codexmill.operators.batches import by_bytes
 from codexmill.operators.workspace import written
 
 # Usual abbreviations, in small letters and without their last stop.
-#: They stand before what they belong to, so their stop ends no sentence.
-LEADING = frozenset(
+#: They stand before a name or a text that they belong to.
+BEFORE_NAMES = frozenset(
     """mr mrs ms dr prof st rev hon gen col capt lt sgt gov sen rep pres messrs mt ft
-    no nos art arts sec secs ch chs cl cls ex exh fig figs vol vols p pp par para paras pt reg regs stat pub cf e.g i.e viz vs v ca approx
-    jan feb mar apr jun jul aug sep sept oct nov dec
-    sr sra srta dra d.ª dña núm núms pág págs cap ej p.ej ee
-    m mm mme mlle me env al chap éd n° ann
-    hr fr frl abs nr bzw z d.h u.a z.b bspw str vgl s.o s.u bd hrsg jh evtl ggf inkl zzgl ziff
+    reg regs stat pub cf e.g i.e viz vs v ca approx
+    sr sra srta dra d.ª dña p.ej ee
+    m mm mme mlle me env éd
+    hr fr frl bzw z d.h u.a z.b bspw str vgl s.o s.u hrsg jh evtl ggf inkl zzgl
     डॉ श्री पं प्रो सं क्र
     د أ م ص""".split()
 )
+#: They stand before a number or a letter.
+BEFORE_NUMBERS = frozenset(
+    """no nos art arts sec secs ch chs cl cls ex exh fig figs vol vols p pp par para paras pt
+    jan feb mar apr jun jul aug sep sept oct nov dec
+    núm núms pág págs cap ej al chap n° ann abs nr bd ziff""".split()
+)
+LEADING = BEFORE_NAMES | BEFORE_NUMBERS
 #: They may also be the last word of a sentence.
 TRAILING = frozenset("inc co corp ltd llc bros etc esq jr sr. ph.d m.d a.m p.m u.s u.k u.n u.s.c u.s.a c.f.r uu usw usf cía s.a ed eds et.al dept univ assn".split())
 #: Months that follow an ordinal number in German.
@@ -74,7 +83,13 @@ _SMALL, _LARGE = "a-zß-öø-ÿα-ωа-яё", "A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ"
 _WORD = re.compile(r"[^\W\d_]+(?:\.[^\W\d_]+)*\.?")
 _INNER = re.compile(rf"\.(?:[,;:]|[ \n][ \n]?[{_SMALL}](?![{_LARGE}]))")
 _FOLLOWING = re.compile(rf"[\s{re.escape(_OPEN)}¿¡§—–\-•*]*([^\W\d_]+)")
-_LAST_WORD = re.compile(r"[^\W\d_]+(?:\.[^\W\d_]+)*$")
+_SPACED = re.compile(r"(?<=\s)[^\W\d_]+")
+#: A number in letters, or what has a number in it.
+_DESIGNATOR = re.compile(r"(?:[IVXLCDM]+|[A-Z])(?![^\W_])|[A-Z]{1,4}[-–.]?[0-9]")
+#: A longer run of characters without white space is no word.
+LONGEST_WORD = 256
+#: So many words of a document are looked up one by one before all of them are counted at once.
+LOOK_UPS = 8
 _MIDDLE = re.compile(rf"[{_LARGE}](?:(?<=[{_SMALL}][ \n].)|(?<=[{_SMALL}],[ \n].))[{_SMALL}'’]+")
 
 
@@ -82,11 +97,19 @@ def inner_stops(text: str) -> Counter:
     """Words (small letters) whose stop is followed by what can't begin a sentence."""
     out: Counter = Counter()
     for m in _INNER.finditer(text):
-        if w := _LAST_WORD.search(text, max(0, m.start() - 24), m.start()):
-            out[w[0].lower()] += 1
+        if w := last_word(text, m.start()):
+            out[w.lower()] += 1
     return out
 
 
+def last_word(text: str, end: int) -> str:
+    """The letters before a place, with the stops between them."""
+    at = end
+    while at and (text[at - 1].isalpha() or 1 < at < end and text[at - 1] == "." and text[at - 2].isalpha()):
+        at -= 1
+    return text[at:end]
+
+
 @dataclass
 class Evidence:
     """Counts of unambiguous occurrences, by word."""
@@ -109,47 +132,63 @@ class Verdicts:
 
     def __init__(self, corpus: Mapping[str, tuple[int, int, int]]):
         self.corpus = corpus
-        self.text, self.inner, self.known = "", None, {}
+        self.begin("")
 
     def begin(self, text: str) -> None:
-        self.text, self.inner, self.known = text, None, {}
+        self.text, self.inner, self.known, self.own, self.middle, self.looked_up = text, None, {}, None, None, 0
 
     def _bare(self, word: str) -> int:
         """How often the document has a word between spaces or before a comma."""
-        t = self.text
-        return sum(t.count(f"{a}{word}{b}") for a in " \n" for b in " \n,")
+        if self.own is None:
+            self.own = Counter(self.text.split())
+        return self.own[word] + self.own[f"{word},"]
 
     def _named(self, word: str) -> int:
         """How often the document has a capitalised word in the middle of a sentence."""
+        if self.middle is not None:
+            return self.middle[word]
+        if self.looked_up == LOOK_UPS:
+            places = ((m.start(), m.end(), m[0]) for m in _SPACED.finditer(self.text))
+            self.middle = Counter(w for at, end, w in places if self._in_middle(w, at, end))
+            return self.middle[word]
+        self.looked_up += 1
         t, n, at = self.text, 0, self.text.find(word)
         while at >= 0:
-            before, end = t[at - 2 : at] if at > 1 else "", at + len(word)
-            after = t[end : end + 1]
-            n += len(before) == 2 and before[1].isspace() and (before[0].islower() or before[0] == ",") and not (after.isalpha() or after == "." and word.lower() in LEADING)
+            end = at + len(word)
+            n += self._in_middle(word, at, end)
             at = t.find(word, end)
         return n
 
+    def _in_middle(self, word: str, at: int, end: int) -> bool:
+        t = self.text
+        before, after = t[at - 2 : at] if at > 1 else "", t[end : end + 1]
+        return len(before) == 2 and before[1].isspace() and (before[0].islower() or before[0] == ",") and not (after.isalpha() or after == "." and word.lower() in LEADING)
+
+    def shown(self, word: str) -> bool | None:
+        """Whether the document shows that the stop after a word (small letters) belongs to it, or that
+        it doesn't; None if the document says nothing."""
+        if self.inner is None:
+            self.inner = inner_stops(self.text)
+        here, own = self.inner[word], self._bare(word)
+        return None if here == own else here > own
+
     def abbreviation(self, word: str) -> bool:
         """Whether the stop after a word (small letters) belongs to the word."""
-        if word in LEADING or word in TRAILING:
-            return True
-        if len(word) > 8 or word.isdigit():
-            return False
         found = self.known.get(word)
         if found is None:
             found = self.known[word] = self._abbreviation(word)
         return found
 
     def _abbreviation(self, word: str) -> bool:
-        if self.inner is None:
-            self.inner = inner_stops(self.text)
-        here = self.inner[word]
-        inner, bare, _ = self.corpus.get(word, (0, 0, 0))
-        usual = inner >= 3 and inner > 2 * bare
-        if not here and not usual:
+        if word.isdigit():
             return False
-        own = self._bare(word)
-        return here > own if here != own else usual
+        shown = self.shown(word)
+        if shown is not None:
+            return shown
+        if word in LEADING or word in TRAILING:
+            return True
+        inner, bare, _ = self.corpus.get(word, (0, 0, 0))
+        return inner > 2 * bare
 
     def begins(self, word: str) -> bool:
         """Whether a capitalised word is capitalised because a sentence begins."""
@@ -169,26 +208,20 @@ class Verdicts:
 
 
 def _spans(block: str) -> list[tuple[int, int]]:
-    """Places (open, close) of the outermost quotations and brackets of a block that are closed."""
-    out: list[tuple[int, int]] = []
+    """Places (open, close) of the outermost quotations and brackets of a block that are closed. A mark
+    that is never closed doesn't hide what is closed after it."""
+    closed: list[tuple[int, int]] = []
     stack: list[tuple[int, str]] = []
     for m in _QUOTE.finditer(block):
         c = m[0]
         if stack and c in stack[-1][1]:
-            at, _ = stack.pop()
-            if not stack:
-                out.append((at, m.start()))
-        elif c in _PAIR and not (c == "»" and not stack and _closes_nothing(block, m.start())):
+            closed.append((stack.pop()[0], m.start()))
+        elif c in _PAIR and not (c == "»" and _closes_nothing(block, m.start())):
             stack.append((m.start(), _PAIR[c]))
-            if len(stack) > 4:
-                stack = stack[-1:]
-    if stack and len(stack) > 1:  # an unclosed outer mark must not hide what is closed inside it
-        inner = _spans(block[stack[0][0] + 1 :])
-        shift = stack[0][0] + 1
-        out += [(a + shift, b + shift) for a, b in inner]
-    elif stack and stack[0][0] + 1 < len(block):
-        shift = stack[0][0] + 1
-        out += [(a + shift, b + shift) for a, b in _spans(block[shift:])]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(closed):
+        if not out or a > out[-1][1]:
+            out.append((a, b))
     return out
 
 
@@ -205,8 +238,9 @@ def cut_block(block: str, verdicts: Verdicts) -> list[tuple[int, int]]:
     n = len(block)
     spans = _spans(block)
     cuts, start, si = [], 0, 0
-    lists = {m.start() for m in _LIST.finditer(block)} if ":" in block or "：" in block else set()
-    latest_list = -1
+    lists = [m.start() for m in _LIST.finditer(block)] if ":" in block or "：" in block else []
+    items: dict[int, list[re.Match]] = {}
+    labels = {m.end() - 2 for m in _ITEM.finditer(block)} if lists else ()
     m = _HEADING.match(block)
     skip_to = m.end() if m else 0
     if not skip_to and (m := _ENUMERATOR.match(block)):
@@ -231,7 +265,7 @@ def cut_block(block: str, verdicts: Verdicts) -> list[tuple[int, int]]:
         space = ch.isspace()
         if not space and not (ch.isalpha() or ch in _OPEN or ch in "¿¡§—–-•" or (ch.isdigit() and marks[-1] in _WIDE)):
             continue
-        if lists and _goes_on(block, end, lists, start, at):
+        if lists and (at in labels and _opened(lists, start, at) >= 0 or _goes_on(block, end, lists, items, start, at)):
             continue
         if not _ends(block, start, at, end, marks, ch, space, spans[si] if inside else None, danda, verdicts):
             continue
@@ -246,16 +280,27 @@ def cut_block(block: str, verdicts: Verdicts) -> list[tuple[int, int]]:
     return cuts
 
 
-def _goes_on(block: str, end: int, lists: set[int], start: int, at: int) -> bool:
+def _opened(lists: list[int], start: int, at: int) -> int:
+    """The last colon before a place that opens a list in the unit from ``start`` on, or -1."""
+    i = bisect_left(lists, at)
+    return lists[i - 1] if i and lists[i - 1] >= start else -1
+
+
+def _goes_on(block: str, end: int, lists: list[int], seen: dict[int, list[re.Match]], start: int, at: int) -> bool:
     """Whether the next line has the next item of a list that a colon opened in this unit: the label
-    that follows the last one's, and a text that begins as the first item's does."""
-    opened = max((c for c in lists if start <= c < at), default=-1)
+    that follows the last one's, and a text that begins as the first item's does. ``seen`` keeps the
+    first and last item of a list, so that each is looked for once."""
+    opened = _opened(lists, start, at)
     following = _ITEM.match(block, end) if opened >= 0 else None
     if following is None:
         return False
-    items = list(_ITEM.finditer(block, opened + 1, at))
-    if not items:
+    ends = seen.get(opened, [])
+    for m in _ITEM.finditer(block, ends[-1].end() if ends else opened + 1, at):
+        ends = [ends[0] if ends else m, m]
+    if not ends:
         return False
+    seen[opened] = ends
+    items = ends
     last, label = items[-1][0].strip(" ()（）.)\r\n\t"), following[0].strip(" ()（）.)\r\n\t")
     if label.isdigit() and last.isdigit():
         fits = int(label) == int(last) + 1
@@ -271,7 +316,10 @@ def _word_before(block: str, start: int, at: int) -> str:
     found = block[max(start, at - 24) : at]
     if not found or found[-1].isspace():
         return ""
-    found = found.split()[-1].lstrip(_OPEN)
+    parts = found.split()
+    if len(parts) == 1 and not found[0].isspace():
+        parts = block[max(start, at - LONGEST_WORD) : at].split()
+    found = parts[-1].lstrip(_OPEN)
     for c in "'’(-–/":
         if c in found:
             found = found[found.rfind(c) + 1 :]
@@ -285,9 +333,10 @@ def _ends(block: str, start: int, at: int, end: int, marks: str, ch: str, space:
         word = _word_before(block, start, at)
         if len(word) > 1 and word.isalpha():
             word = word.lower()
-            if word not in LEADING:
-                initial = block[end + 2 : end + 3] == "."
-                return not verdicts.abbreviation(word) or initial or _is_beginning(block, end + 1, verdicts)
+            if word in LEADING:
+                return _leading_ends(block, word, end + 1, verdicts)
+            initial = block[end + 2 : end + 3] == "."
+            return not verdicts.abbreviation(word) or initial or _is_beginning(block, end + 1, verdicts)
     elif span is None and marks in _WIDE:
         return True
     while nxt < n and (block[nxt].isspace() or block[nxt] in _OPEN or block[nxt] in "¿¡§—–-•*"):
@@ -308,7 +357,7 @@ def _ends(block: str, start: int, at: int, end: int, marks: str, ch: str, space:
             word = _word_before(block, start, at)
             if not word:
                 return True
-            if danda and not word.isascii() or word.lower() in LEADING or word.isdigit() and not space:
+            if danda and not word.isascii() or word.lower() in LEADING and verdicts.shown(word.lower()) is not False or word.isdigit() and not space:
                 return False
             if not space and word.isascii():
                 return False
@@ -357,7 +406,7 @@ def _ends(block: str, start: int, at: int, end: int, marks: str, ch: str, space:
             return False
         return bool(m) and not _initial_before(block, start, at) and verdicts.begins(m[0]) and verdicts.corpus.get(m[0].lower(), (0, 0, 0))[1] > 0
     if word in LEADING:
-        return False
+        return _leading_ends(block, word, nxt, verdicts)
     if not verdicts.abbreviation(word) and not ("." in word and all(len(p) == 1 for p in word.split("."))):
         return True
     if opens_item:
@@ -365,6 +414,19 @@ def _ends(block: str, start: int, at: int, end: int, marks: str, ch: str, space:
     return capital and (first.islower() or _is_beginning(block, nxt, verdicts))
 
 
+def _leading_ends(block: str, word: str, nxt: int, verdicts: Verdicts) -> bool:
+    """Whether the stop of an abbreviation that stands before what it belongs to ends the sentence: if
+    the document shows that it is a word, or if what follows can't belong to it, and a sentence may begin."""
+    plain = verdicts.shown(word) is False
+    if word in BEFORE_NUMBERS:
+        m = _DESIGNATOR.match(block, nxt)
+        if m is not None and not (plain and len(m[0]) == 1 and block[m.end() : m.end() + 1] == " " and block[m.end() + 1 : m.end() + 2].islower()):
+            return False
+    elif not plain:
+        return False
+    return block[nxt].isupper() and _is_beginning(block, nxt, verdicts)
+
+
 def _initial_before(block: str, start: int, at: int) -> bool:
     """Whether the letter before ``at`` follows another initial, or opens the unit."""
     left = block[start : at - 1].rstrip()
@@ -434,8 +496,8 @@ def questions(text: str, known: Mapping) -> set[str]:
     before a mark, whole or from one of its inner stops on, and the next word, as it is and in small letters."""
     out = set()
     for m in _MARK.finditer(text):
-        if w := _LAST_WORD.search(text, max(0, m.start() - 24), m.start()):
-            parts = w[0].lower().split(".")
+        if w := last_word(text, m.start()):
+            parts = w.lower().split(".")
             out.update(".".join(parts[i:]) for i in range(len(parts)))
         if f := _FOLLOWING.match(text, m.end()):
             out |= {f[1], f[1].lower()}
@@ -456,7 +518,7 @@ def corpus_evidence(df: DataFrame, text: str, most_words: int = 100_000) -> tupl
                 c.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)]], names=["word", "inner_n", "bare_n", "name_n"])
 
-        for batch in batches:
+        for batch in by_bytes(batches, 0):
             for t in batch.column(0).to_pylist():
                 if t:
                     e.add(t)

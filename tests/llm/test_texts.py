@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 import re
+import time
 from itertools import product
 
 import numpy as np
@@ -303,6 +304,50 @@ def test_document_decides():
     assert [plain[a:b] for a, b in sentence_units(plain, Verdicts({}))][0] == "He left for Kov."
 
 
+def units(text, counts=None):
+    return [text[a:b] for a, b in sentence_units(text, Verdicts(counts or {}))]
+
+
+@pytest.mark.parametrize("shown", ["", " There is no doubt, no art, no fig, no mar and no delay. No hay mar, no hay art y no hay fig ni no."])
+@pytest.mark.parametrize("first, second", [("The clerk said no.", "The board left."), ("La junta dijo que no.", "El secretario vino."), ("She studied art.", "The board met."), ("Vio el mar.", "El barco vino."), ("He ate a fig.", "The tree fell.")])
+def test_listed_words_end_sentences(first, second, shown):
+    assert units(f"{first} {second}{shown}")[:2] == [first, second]
+
+
+def test_listed_words_before_what_they_belong_to():
+    whole = "See No. 5, Art. XII of it, Sec. A-1 and Ex. D to the plan."
+    assert units(whole + " Mr. Norwood met Dr. Who in St. Mary.") == [whole, "Mr. Norwood met Dr. Who in St. Mary."]
+    assert units("He met the rep. The clerk saw the rep, and the rep left. Mr. Norwood left.")[0] == "He met the rep."
+
+
+def test_long_abbreviations_and_deep_brackets():
+    odd = "He left the Departementalrat. Norwood is far. A departementalrat. is old. In old Norwood, near Norwood too."
+    assert units(odd)[0] == "He left the Departementalrat. Norwood is far."
+    deep = "The plan (a (b (c (d (e) f. Then it ends) x) y) z) is kept."
+    assert units(deep + " It ends.") == [deep, "It ends."]
+
+
+def test_verdicts_are_proportions(spark):
+    """Twice the corpus says the same of every word."""
+    rows = [(i, f"They met kov. now. He left for Kov. Norwood is far. It is the old Norwood road {i}." if i % 3 else f"The kov and the Kov. Norwood {i}.") for i in range(9)]
+    found = [sorted((r["doc_id"], r["start_char"], r["end_char"]) for r in split_sentences(docs(spark, r)).where("doc_id < 100").collect()) for r in (rows, rows + [(100 + i, t) for i, t in rows])]
+    assert found[0] == found[1]
+
+
+def test_time_is_linear():
+    """Sixteen times the words, all of them in doubt, take far less than 16 * 16 times as long."""
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    text = lambda n: " ".join(f"The w{name(i)}q. Zed{name(i)} met inc. Yon{name(i)} it, and so:\n(1) one.\n(2) two." for i in range(n))
+    took = []
+    for n in (1000, 16_000):
+        t, began = text(n), time.process_time()
+        units(t)
+        took.append(time.process_time() - began)
+    assert took[1] < 64 * took[0]
+    items = "The list:\n" + "\n".join(f"{i}. Item is it." for i in range(1, 900))
+    assert len(units(items)) == 1
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aB1 .!?\n\r“”()«»。「」:;…เा।​　é", max_size=60))
 def test_units_cover_what_is_visible(text):
