@@ -42,6 +42,7 @@ _find = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+").findall
 RANK, OVERSAMPLING, POWER, SEED = 64, 16, 2, 20240229
 #: Classes of words for the residual outside the latent space, and the answer words of a passage besides its numbers.
 CLASSES, RAREST = 32, 4
+NO_WORDS = np.zeros(0, np.int32)
 
 
 def passage_words(text: str) -> list[str]:
@@ -333,13 +334,6 @@ class Search:
             c.append(cosine[x, y])
         return np.concatenate(a), np.concatenate(b), np.concatenate(c)
 
-    def _words(self, texts: list[str | None], least: int) -> Iterator[tuple[int, np.ndarray]]:
-        for i, t in enumerate(texts):
-            if t:
-                words = self.numbered.of(t)
-                if int((words < self.pad).sum()) >= least:
-                    yield i, words
-
     def _gathered(self, cut: list[np.ndarray], owner: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
         if not cut:
             return np.zeros((0, width), np.int32), np.zeros(0, np.int64)
@@ -356,14 +350,15 @@ class RunSearch(Search):
 
     def hits(self, texts: list[str | None]) -> list[tuple[int, int, float, int]]:
         """(text, item, cosine, run) of each pair that has a run, with the greatest cosine of its candidates."""
-        cut, owner = [], []
-        for i, words in self._words(texts, self.run):
-            w = windows(words, self.pad, self.run)
-            w = w[np.isfinite(self.space.least_run(w, self.run))]
-            if len(w):
-                cut.append(w)
+        cut, owner, known = [], [], b"\1" * self.run
+        for i, t in enumerate(texts):
+            words = self.numbered.of(t) if t else NO_WORDS
+            if known in (words < self.pad).tobytes():
+                cut.append(windows(words, self.pad, self.run))
                 owner.append(i)
         passages, owner = self._gathered(cut, owner, 2 * self.run)
+        full = np.isfinite(self.space.least_run(passages, self.run))
+        passages, owner = passages[full], owner[full]
         best: dict[tuple[int, int], float] = {}
         for i in range(0, len(passages), 2048):
             part = passages[i : i + 2048]
@@ -412,7 +407,10 @@ class ParaphraseSearch(Search):
     def hits(self, texts: list[str | None]) -> list[tuple[int, int, float, int]]:
         """(text, item, cosine, words in common) of each pair's longest subsequence."""
         cut, owner = [], []
-        for i, words in self._words(texts, int(self.needed.min())):
+        for i, t in enumerate(texts):
+            words = self.numbered.of(t) if t else NO_WORDS
+            if np.count_nonzero(words < self.pad) < self.needed.min():
+                continue
             w = windows(words, self.pad, self.run, 3)
             w = w[((w < self.pad).sum(axis=1) >= self.needed.min()) & (self.is_answer[w].sum(axis=1) >= self.needs.min())]
             if len(w):
