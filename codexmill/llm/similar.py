@@ -14,17 +14,21 @@ Answers. Candidates are verified in families: a leader and the sets that are can
 leader's overlap with each set of the family is counted once, and those of a set that resembles
 the leader follow from the leader's by counting only the members in which the two differ.
 
-Scale: texts are read where they lie, three times, and never shuffled. Frequencies are counts over
-all records in a table of fixed size (collisions affect the order only). Lists are spread over parts
-of bounded size; a shingle in too many sets is split into blocks, and pairs of blocks go to different
-parts. A family with too many members is split as well. Filters that tell the passes which records
-matter are bitmaps of a fixed size.
+Scale: texts are read where they lie, three times, and never shuffled. Which shingles are frequent is
+counted per task, each class once, in a table of cells; only cells that stand out in a task are
+reported and added, so neither what is shuffled nor the table's noise grows with the corpus, and
+errors affect the order and the work only. Lists are spread over parts by the number of postings that
+there are. A list that is known to be long is split into blocks when it is posted, and pairs of blocks
+go to different parts; one that turns out to be long where it was put together is split there and
+handed on. A family with too many members is split as well. The filter that tells the last pass which
+records matter has a size that follows from their number.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -36,16 +40,18 @@ from pyspark.sql import functions as F
 from codexmill.llm.words import ShingleSets, WordHashes, mixed
 from codexmill.operators.batches import by_bytes
 from codexmill.operators.skew import join_by_weight
-from codexmill.operators.workspace import written
+from codexmill.operators.workspace import discard, written
 
-#: Cells of the table of frequencies, and of one block of it.
-CELLS, BLOCK = 1 << 20, 1 << 14
-#: Bits of the filter of record ids.
-FILTER_BITS = 1 << 26
+#: Cells of a task's table of frequencies, and the most of all cells that order shingles.
+CELLS, MOST_FREQUENT = 1 << 22, 1 << 20
+#: Bits of the filter of record ids, for each id, and at most.
+BITS_PER_ID, MOST_BITS = 16, 1 << 28
 #: 64-bit parts of a parity bitmap.
 PARITY = 4
-#: Tasks whose counts are added in one place at the first level.
+#: Tasks whose bitmaps are added in one place at the first level.
 SHARD = 256
+#: Sets that a task remembers to have seen; a class may be posted again beyond that, which the lists bear.
+REMEMBERED = 1_000_000
 
 
 def _column(array: np.ndarray) -> pa.Array:
@@ -59,49 +65,54 @@ def _texts(df: DataFrame, row_id: str, text: str) -> DataFrame:
 # --------------------------------------------------------------------------- pass 1: sets and counts
 
 
+class _Fresh:
+    """Which sets a task sees for the first time; the same in each pass over the same texts."""
+
+    def __init__(self):
+        self.seen: set[int] = set()
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        fresh = np.zeros(len(ids), bool)
+        for i, c in enumerate(ids.tolist()):
+            if c not in self.seen:
+                self.seen.add(c)
+                fresh[i] = True
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        return fresh
+
+
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(CELLS)).astype(np.int64)
+
+
 def _describe(texts: DataFrame, width: int, min_words: int) -> DataFrame:
-    """Per record its set's size and digest (block -1); per task the frequencies, in blocks."""
+    """Per record its set's size and digest, and whether its task saw the set first; per task, with a
+    null ``row_id``, how many sets have the shingles of the cells that stand out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, counts = WordHashes(), np.zeros(CELLS, np.int32)
-        task = TaskContext.get().partitionId() // SHARD
+        cache, first, counts, total = WordHashes(), _Fresh(), np.zeros(CELLS, np.int32), 0
         for batch in by_bytes(batches, 1):
             s = ShingleSets(batch.column(1).to_pylist(), width, min_words, cache)
-            counts += np.bincount((s.hashes % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.int32)
             high, low = s.digests()
-            n = len(s.text)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.int32()), batch.column(0).take(_column(s.text)), _column(high), _column(low), _column(s.sizes.astype(np.int32)), pa.nulls(n, pa.binary())],
-                names=names,
-            )
-        used = [b for b in range(CELLS // BLOCK) if counts[b * BLOCK : (b + 1) * BLOCK].any()]
-        n = len(used)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int32()), pa.array([task] * n, pa.int32()), *[pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32())], pa.array([counts[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in used], pa.binary())],
-            names=names,
-        )
-
-    names = ["block", "shard", "row_id", "high", "low", "size", "counts"]
-    return texts.mapInArrow(run, "block int, shard int, row_id long, high long, low long, size int, counts binary")
-
+            n, fresh = len(s.text), first(low)
+            cells = _cell(s.hashes[fresh[s.owners()]])
+            np.add.at(counts, cells, 1)
+            total += len(cells)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(_column(s.text)), _column(high), _column(low), _column(s.sizes.astype(np.int32)), _column(fresh), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names=names)
+        cells = np.flatnonzero(counts >= 3 + 2 * (total // CELLS))
+        n = len(cells)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())], _column(cells.astype(np.int32)), _column(counts[cells])], names=names)
 
-def _add_counts(kind: type) -> object:
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK, np.int64)
-        for blob in table.column("counts").to_pylist():
-            total += np.frombuffer(blob, kind)
-        return pa.table({"block": pa.array(table.column("block").to_pylist()[:1], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    names = ["row_id", "high", "low", "size", "fresh", "cell", "n"]
+    return texts.mapInArrow(run, "row_id long, high long, low long, size int, fresh boolean, cell int, n int")
 
-    return add
 
-
-def _frequencies(described: DataFrame) -> np.ndarray:
-    """The table of frequencies over all records; its size is fixed, so the driver may hold it."""
-    first = described.where("block >= 0").select("block", "shard", "counts").groupBy("block", "shard").applyInArrow(_add_counts(np.int32), "block int, counts binary")
-    total = np.zeros(CELLS, np.int64)
-    for r in first.groupBy("block").applyInArrow(_add_counts(np.int64), "block int, counts binary").collect():
-        total[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.int64)
-    return total
+def _frequencies(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of the most frequent shingles and their counts."""
+    counted = described.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "cell").limit(MOST_FREQUENT).toArrow()
+    return top.column("cell").to_numpy().astype(np.int64), top.column("n").to_numpy().astype(np.int64)
 
 
 # --------------------------------------------------------------------------- pass 2: postings
@@ -123,85 +134,106 @@ def _parity(s: ShingleSets) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduceat(np.where(word == np.uint64(w), one, np.uint64(0)), s.start[:-1]) for w in range(PARITY)], axis=1)
 
 
-def _post(texts: DataFrame, width: int, min_words: int, t: Fraction, frequency, parts: int, crowd: int) -> DataFrame:
-    """Postings of each class, packed by part: the sets that a batch sends there, and their entries.
-
-    A shingle that about n sets have, n over ``crowd``, has n / ``crowd`` blocks of sets. Its entries
-    go to every part that compares their block with a block.
-    """
+#: What is posted: per part the sets of a batch (id, parity, size) and the entries of their shingles.
+_POSTED = {"ids": np.int64, "parity": np.uint64, "sizes": np.int32, "tokens": np.uint64, "positions": np.int32, "locals": np.int32, "sides": np.uint8}
+_POSTED_SCHEMA = "part int, " + ", ".join(f"{c} binary" for c in _POSTED)
+
+
+@dataclass
+class _Sets:
+    ids: np.ndarray
+    parity: np.ndarray
+    sizes: np.ndarray
+
+
+@dataclass
+class _Entries:
+    """Entries of lists: the shingle, the set's place among the sets, the shingle's position in it, and
+    which side of a pair of blocks it is on (0 and 1 meet all, 2 and 3 each other)."""
+
+    token: np.ndarray
+    owner: np.ndarray
+    position: np.ndarray
+    side: np.ndarray
+
+    def take(self, at: np.ndarray) -> _Entries:
+        return _Entries(self.token[at], self.owner[at], self.position[at], self.side[at])
+
+    def split(self, ids: np.ndarray, blocks: np.ndarray) -> _Entries:
+        """The entries of lists in so many blocks, once for each pair of blocks that theirs is in."""
+        if not (blocks > 1).any():
+            return self
+        mine = (mixed(ids.view(np.uint64))[self.owner] % blocks.astype(np.uint64)).astype(np.int64)
+        copies = np.repeat(np.arange(len(blocks)), blocks)
+        other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        low, high = np.minimum(mine[copies], other), np.maximum(mine[copies], other)
+        out = self.take(copies)
+        out.side = ((mine[copies] != low).astype(np.uint8) + 2 * (low != high)).astype(np.uint8)
+        many = blocks[copies] > 1
+        out.token[many] = mixed(out.token[many] + low[many].astype(np.uint64) * np.uint64(2654435761) + high[many].astype(np.uint64) * np.uint64(40503))
+        return out
+
+    def packed(self, sets: _Sets, parts: int) -> pa.RecordBatch:
+        part = (mixed(self.token) >> np.uint64(33)) % np.uint64(parts)
+        by = np.argsort(part, kind="stable")
+        rows: list[tuple] = []
+        for chunk in np.split(by, np.flatnonzero(np.diff(part[by])) + 1):
+            if len(chunk):
+                used, local = np.unique(self.owner[chunk], return_inverse=True)
+                columns = (sets.ids[used], sets.parity[used], sets.sizes[used], self.token[chunk], self.position[chunk], local, self.side[chunk])
+                rows.append((int(part[chunk[0]]), *(c.astype(k).tobytes() for c, k in zip(columns, _POSTED.values()))))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, len(_POSTED) + 1)]], names=["part", *_POSTED])
+
+
+def _post(texts: DataFrame, width: int, min_words: int, t: Fraction, frequent, parts: int, crowd: int) -> DataFrame:
+    """Postings of each class, packed by part. A shingle that n sets are known to have, n over four
+    times ``crowd``, has n / ``crowd`` blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = WordHashes(), set()
-        counts = frequency.value
-        noise = int(counts.mean())
+        cache, first, counts = WordHashes(), _Fresh(), np.zeros(CELLS, np.int64)
+        counts[frequent.value[0]] = frequent.value[1]
         for batch in by_bytes(batches, 1):
             s = ShingleSets(batch.column(1).to_pylist(), width, min_words, cache)
-            n = len(s.text)
-            if not n:
+            if not len(s.text):
                 continue
             _, ids = s.digests()
-            fresh = np.zeros(n, bool)
-            for i, c in enumerate(ids.tolist()):
-                if c not in seen:
-                    seen.add(c)
-                    fresh[i] = True
-            if len(seen) > 1_000_000:  # a class may then be posted twice, which the lists bear
-                seen.clear()
-            sizes, owner = s.sizes, s.owners()
-            often = counts[(s.hashes % np.uint64(CELLS)).astype(np.int64)]
+            fresh, owner = first(ids), s.owners()
+            often = counts[_cell(s.hashes)]
             order = np.lexsort((s.hashes, often, owner))
             position = np.arange(len(order)) - s.start[owner]
-            prefix = sizes - _least_partner(sizes, t) + 1
+            prefix = s.sizes - _least_partner(s.sizes, t) + 1
             keep = (position < prefix[owner]) & fresh[owner]
-            owner, position, order = owner[keep], position[keep], order[keep]
-            token, often = s.hashes[order], often[order]
-            blocks = np.maximum(1, -(-(often - noise) // crowd)).astype(np.int64)
-            mine = (mixed(ids.view(np.uint64))[owner] % blocks.astype(np.uint64)).astype(np.int64)
-            if (blocks > 1).any():
-                copies = np.repeat(np.arange(len(blocks)), blocks)
-                other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                low, high = np.minimum(mine[copies], other), np.maximum(mine[copies], other)
-                owner, position, token = owner[copies], position[copies], token[copies]
-                side = (mine[copies] != low).astype(np.uint8) + 2 * (low != high)
-                token = mixed(token + low.astype(np.uint64) * np.uint64(2654435761) + high.astype(np.uint64) * np.uint64(40503))
-            else:
-                side = np.zeros(len(owner), np.uint8)
-            part = (token >> np.uint64(33)) % np.uint64(parts)
-            parity = _parity(s)
-            by = np.argsort(part, kind="stable")
-            rows = []
-            edges = np.flatnonzero(np.diff(part[by])) + 1
-            for chunk in np.split(by, edges):
-                if len(chunk):
-                    sets, local = np.unique(owner[chunk], return_inverse=True)
-                    rows.append((int(part[chunk[0]]), ids[sets].tobytes(), parity[sets].tobytes(), sizes[sets].astype(np.int32).tobytes(),
-                                 (token[chunk] >> np.uint64(1)).astype(np.uint32).tobytes(), position[chunk].astype(np.int32).tobytes(), local.astype(np.int32).tobytes(), side[chunk].tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 8)]], names=names
-            )
-
-    names = ["part", "ids", "parity", "sizes", "tokens", "positions", "locals", "sides"]
-    return texts.mapInArrow(run, "part int, " + ", ".join(f"{c} binary" for c in names[1:]))
-
-
-def _candidates(table: pa.Table, t: Fraction, at_once: int) -> Iterator[np.ndarray]:
-    """Pairs of class ids of one part that pass all filters, in chunks of two columns."""
-    blobs = {c: table.column(c).to_pylist() for c in table.column_names if c != "part"}
-    join = lambda c, k: np.concatenate([np.frombuffer(b, k) for b in blobs[c]])
-    ids, sizes = join("ids", np.int64), join("sizes", np.int32).astype(np.int64)
-    parity = join("parity", np.uint64).reshape(-1, PARITY)
-    token, position, side = join("tokens", np.uint32), join("positions", np.int32).astype(np.int64), join("sides", np.uint8)
+            order, often = order[keep], often[order[keep]]
+            entries = _Entries(s.hashes[order], owner[keep], position[keep], np.zeros(len(order), np.uint8))
+            blocks = np.where(often > 4 * crowd, -(-often // crowd), 1)
+            yield entries.split(ids, blocks).packed(_Sets(ids, _parity(s), s.sizes), parts)
+
+    return texts.mapInArrow(run, _POSTED_SCHEMA)
+
+
+def _unpacked(table: pa.Table) -> tuple[_Sets, _Entries]:
+    blobs = {c: table.column(c).to_pylist() for c in _POSTED}
+    join = lambda c: np.concatenate([np.frombuffer(b, _POSTED[c]) for b in blobs[c]])
     base = np.cumsum([0] + [len(b) // 8 for b in blobs["ids"]])
     owner = np.concatenate([np.frombuffer(b, np.int32) + at for b, at in zip(blobs["locals"], base)])
-    size = sizes[owner]
-    order = np.lexsort((size, token))
-    token, size, owner, position, side = token[order], size[order], owner[order], position[order], side[order]
-    new = np.ones(len(token), bool)
-    new[1:] = token[1:] != token[:-1]
+    return _Sets(join("ids"), join("parity").reshape(-1, PARITY), join("sizes").astype(np.int64)), _Entries(join("tokens"), owner, join("positions").astype(np.int64), join("sides"))
+
+
+def _lists(sets: _Sets, e: _Entries) -> tuple[_Entries, np.ndarray, np.ndarray]:
+    """The entries by list and size of set, without lists of one; the list of each, and its length."""
+    e = e.take(np.lexsort((sets.sizes[e.owner], e.token)))
+    new = np.ones(len(e.token), bool)
+    new[1:] = e.token[1:] != e.token[:-1]
     group = np.cumsum(new) - 1
-    many = np.bincount(group)[group] > 1
-    group, size, owner, position, side = group[many], size[many], owner[many], position[many], side[many]
-    rest = size - position
+    length = np.bincount(group)[group] if len(group) else group
+    many = np.flatnonzero(length > 1)
+    return e.take(many), group[many], length[many]
+
+
+def _candidates(sets: _Sets, e: _Entries, group: np.ndarray, t: Fraction, at_once: int) -> Iterator[np.ndarray]:
+    """Pairs of class ids of one part's lists that pass all filters, in chunks of two columns."""
+    ids, parity, size, owner, side = sets.ids, sets.parity, sets.sizes[e.owner], e.owner, e.side
+    rest = size - e.position
     # The block of the list, of sets no larger than one's own, that can hold a partner.
     largest = np.minimum(size, rest * (t.numerator + t.denominator) // t.numerator - size)
     stride = int(size.max(initial=0)) + 2
@@ -228,33 +260,60 @@ def _candidates(table: pa.Table, t: Fraction, at_once: int) -> Iterator[np.ndarr
         yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
 
 
-def _candidate_pairs(postings: DataFrame, t: Fraction, parts: int, at_once: int = 1 << 20) -> DataFrame:
-    """Distinct pairs (a, b) of class ids. Each part is a task; its size is bounded by their number."""
+def _met(postings: DataFrame, t: Fraction, parts: int, crowd: int, hand_on: bool, at_once: int = 1 << 20) -> DataFrame:
+    """Pairs (a, b) of class ids, a part being a task; and, to be handed on, the postings of lists of
+    more than eight times ``crowd`` that the counts didn't show, split into blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = list(batches)
-        if mine:
-            for found in _candidates(pa.Table.from_batches(mine), t, at_once):
-                yield pa.RecordBatch.from_arrays([_column(found[:, 0]), _column(found[:, 1])], names=["a", "b"])
-
-    return postings.repartitionById(parts, F.col("part")).mapInArrow(run, "a long, b long").distinct()
+        if not mine:
+            return
+        sets, entries = _unpacked(pa.Table.from_batches(mine))
+        entries, group, length = _lists(sets, entries)
+        long = (length > 8 * crowd) & hand_on
+        short = np.flatnonzero(~long)
+        for found in _candidates(sets, entries.take(short), group[short], t, at_once):
+            none = pa.nulls(len(found), pa.binary())
+            yield pa.RecordBatch.from_arrays([_column(found[:, 0]), _column(found[:, 1]), pa.nulls(len(found), pa.int32()), *[none] * len(_POSTED)], names=names)
+        rest = np.flatnonzero(long)
+        for at in range(0, len(rest), crowd):
+            some = rest[at : at + crowd]
+            part = entries.take(some).split(sets.ids, -(-length[some] // crowd)).packed(sets, parts)
+            yield pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.int64())] * 2 + part.columns, names=names)
+
+    names = ["a", "b", "part", *_POSTED]
+    return postings.repartitionById(parts, F.col("part")).mapInArrow(run, f"a long, b long, {_POSTED_SCHEMA}")
+
+
+def _candidate_pairs(postings: DataFrame, t: Fraction, parts: int, crowd: int) -> DataFrame:
+    """Distinct pairs (a, b) of class ids, a written table."""
+    met = written(_met(postings, t, parts, crowd, True), "similar-met")
+    pairs = met.where("a IS NOT NULL").select("a", "b")
+    rest = met.where("part IS NOT NULL").select("part", *_POSTED)
+    if rest.take(1):
+        pairs = pairs.unionByName(_met(rest, t, parts, crowd, False).select("a", "b"))
+    found = written(pairs.distinct(), "similar-candidates")
+    discard(met)
+    return found
 
 
 # --------------------------------------------------------------------------- pass 3: members and families
 
 
-def _filter_bits(ids: np.ndarray) -> np.ndarray:
-    return (mixed(ids.view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+def _filter_bits(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(ids.view(np.uint64)) % np.uint64(bits)).astype(np.int64)
 
 
-def _id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bitmap that has the bit of each id; of fixed size, and exact where the pass's join decides."""
+def _id_filter(ids: DataFrame, column: str, most: int) -> np.ndarray:
+    """A bitmap that has the bit of each of at most ``most`` ids; the join that follows is exact."""
+    size = min(MOST_BITS, 1 << max(16, (BITS_PER_ID * most - 1).bit_length()))
+    step = size // 8 // 64
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.zeros(FILTER_BITS, bool)
+        bitmap = np.zeros(size, bool)
         for batch in batches:
-            bitmap[_filter_bits(np.array(batch.column(0).to_numpy(zero_copy_only=False), np.int64))] = True
-        packed, step = np.packbits(bitmap), FILTER_BITS // 8 // 64
+            bitmap[_filter_bits(np.array(batch.column(0).to_numpy(zero_copy_only=False), np.int64), size)] = True
+        packed = np.packbits(bitmap)
         used = [i for i in range(64) if packed[i * step : (i + 1) * step].any()]
         shard = TaskContext.get().partitionId() // SHARD
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([shard] * len(used), pa.int32()), pa.array([packed[i * step : (i + 1) * step].tobytes() for i in used], pa.binary())], names=["block", "shard", "bits"])
@@ -268,7 +327,7 @@ def _id_filter(ids: DataFrame, column: str) -> np.ndarray:
 
     parts = ids.select(column).mapInArrow(bits, "block int, shard int, bits binary")
     merged = parts.groupBy("block", "shard").applyInArrow(merge, "block int, bits binary").groupBy("block").applyInArrow(merge, "block int, bits binary")
-    out, step = np.zeros(FILTER_BITS // 8, np.uint8), FILTER_BITS // 8 // 64
+    out = np.zeros(size // 8, np.uint8)
     for r in merged.collect():
         out[r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)
     return out
@@ -280,7 +339,7 @@ def _members(texts: DataFrame, width: int, min_words: int, wanted) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in by_bytes(batches, 1):
-            at = _filter_bits(np.array(batch.column(0).to_numpy(zero_copy_only=False), np.int64))
+            at = _filter_bits(np.array(batch.column(0).to_numpy(zero_copy_only=False), np.int64), 8 * len(wanted.value))
             chosen = np.flatnonzero((wanted.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
             some = batch.take(pa.array(chosen))
             s = ShingleSets(some.column(1).to_pylist(), width, min_words, cache)
@@ -325,6 +384,7 @@ def _verified(pairs: DataFrame, members: DataFrame, t: Fraction, family_members:
     led = written(pairs.join(leaders.withColumnRenamed("x", "a"), "a"), "similar-families")
     crowded = led.groupBy("leader").agg(F.ceil(F.sum("members") / family_members).alias("cuts"))
     families = led.join(crowded, "leader").withColumn("cut", F.pmod(F.xxhash64("a", "b"), "cuts"))
+    # A record of many families is in as many rows; each brings its members there.
     ships = families.select("leader", "cut", F.explode(F.array("a", "b", "leader")).alias("row_id")).distinct()
     inside = families.groupBy("leader", "cut").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
     there = ships.join(members, "row_id").groupBy("leader", "cut").agg(F.collect_list(F.struct("row_id", "members")).alias("sets"))
@@ -366,14 +426,15 @@ def similar_classes(
     """
     spark, texts = df.sparkSession, _texts(df, row_id, text)
     described = written(_describe(texts, width, min_words), "similar-sets")
-    frequency = _frequencies(described)
-    sets = described.where("block = -1").select("row_id", "high", "low", "size")
+    frequent = spark.sparkContext.broadcast(_frequencies(described))
+    sets = described.where("row_id IS NOT NULL").select("row_id", "high", "low", "size")
     classes = written(sets.groupBy("high", "low").agg(F.min("row_id").alias("kept"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size")), "similar-classes")
     prefix = F.col("size") - F.ceil(F.col("size") * threshold.numerator / threshold.denominator) + 1
-    postings = classes.agg(F.sum(prefix)).first()[0] or 0
-    counts = spark.sparkContext.broadcast(frequency)
-    parts = max(1, math.ceil(postings / part_postings))
-    found = written(_candidate_pairs(_post(texts, width, min_words, threshold, counts, parts, crowd), threshold, parts), "similar-candidates")
+    # What will be posted but for blocks, of which the counted part is known.
+    postings = described.where("fresh").agg(F.sum(prefix)).first()[0] or 0
+    copied = int(sum(n * (n // crowd) for n in frequent.value[1].tolist() if n > 4 * crowd))
+    parts = max(1, math.ceil((postings + copied) / part_postings))
+    found = _candidate_pairs(_post(texts, width, min_words, threshold, frequent, parts, crowd), threshold, parts, crowd)
     ids = classes.select("low", "kept", "size")
     named = (
         found.join(ids.select(F.col("low").alias("a"), F.col("kept").alias("ka"), F.col("size").alias("na")), "a")
@@ -383,10 +444,12 @@ def similar_classes(
         .distinct()
     )
     named = written(named, "similar-named")
-    wanted = spark.sparkContext.broadcast(_id_filter(named.select(F.explode(F.array("a", "b")).alias("id")), "id"))
+    named_ids = named.select(F.explode(F.array("a", "b")).alias("id"))
+    wanted = spark.sparkContext.broadcast(_id_filter(named_ids, "id", min(2 * named.count(), classes.count())))
     links = written(_verified(named, _members(texts, width, min_words, wanted), threshold, family_members), "similar-links")
-    membership = join_classes(sets, classes)
-    return written(membership, "similar-membership"), links
+    membership = written(join_classes(sets, classes), "similar-membership")
+    discard(described, classes, found, named)
+    return membership, links
 
 
 def join_classes(sets: DataFrame, classes: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ from collections import defaultdict
 from fractions import Fraction
 from itertools import combinations
 
+import numpy as np
 import pytest
 
+from codexmill.llm import similar
 from codexmill.llm.fold import collapsed_records, formatting_copies, labelled_fields, letters
 from codexmill.llm.similar import similar_classes, similar_pairs
 
@@ -120,6 +122,46 @@ def test_similar(spark, kw):
         assert len(got) == len({*got}) and {*got} == brute_pairs(rows, w, t, least)
 
 
+@pytest.mark.parametrize("crowd", [2, 3])
+def test_long_lists_that_no_count_shows(spark, monkeypatch, crowd):
+    """Without any counts, lists are put together whole, split where they turn out long, and handed on."""
+    rows = [(i, "a", BODY.format("x", "y", i % 7) + f" and {i} more") for i in range(120)] + similar_rows(60, 9)
+    rows = [(i, k, t) for i, (_, k, t) in enumerate(rows)]
+    monkeypatch.setattr(similar, "_frequencies", lambda described: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    handed = []
+    met = similar._met
+
+    def seen(postings, t, parts, crowd, hand_on):
+        handed.append(hand_on)
+        return met(postings, t, parts, crowd, hand_on)
+
+    monkeypatch.setattr(similar, "_met", seen)
+    got = {tuple(r) for r in similar_pairs(*similar_classes(frame(spark, rows), width=3, threshold=Fraction(3, 5), min_words=30, crowd=crowd, part_postings=2000)).collect()}
+    assert got == brute_pairs(rows, 3, Fraction(3, 5), 30) and len(got) > 1000
+    assert handed == [True, False]
+
+
+def test_leaders_answer_for_close_sets():
+    """The overlaps of a set close to its leader follow from the leader's; those of others don't; both are right."""
+    lead, far = {*range(100)}, {*range(1000, 1100)}
+    sets = {1: lead, 2: lead - {3} | {500}, 3: lead - {4, 5} | {500, 501}, 4: far, 5: far - {1000} | {3}}
+    counted = []
+
+    class Watched(set):
+        def __and__(self, other):
+            counted.append(len(self))
+            return set(self) & set(other)
+
+        def __sub__(self, other):
+            return Watched(set.__sub__(self, other))
+
+    watched = {k: Watched(v) for k, v in sets.items()}
+    pairs = [(1, 2), (1, 3), (2, 3), (4, 5), (3, 5)]
+    found = similar._verify_family(pairs, watched, 1, Fraction(4, 5))
+    assert found == [(a, b, len(sets[a] & sets[b])) for a, b in pairs if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])]
+    assert sorted(n for n in counted if n > 50) == [100] * 4  # the leader with 2, 3 and 5, and 4 with 5: not 2 with 3, nor 3 with 5
+
+
 def test_large_class_is_a_star(spark):
     rows = [(i, "a", BODY) for i in range(40)] + [(100, "a", BODY + " more")]
     members, links = similar_classes(frame(spark, rows), width=3, threshold=Fraction(3, 5))
