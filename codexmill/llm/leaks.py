@@ -348,11 +348,10 @@ class RunSearch(Search):
         self.asked = self.space.least_run(self.passages, self.run)
         self.keys = run_keys(self.passages, self.run)
 
-    def hits(self, texts: list[str | None]) -> list[tuple[int, int, float, int]]:
+    def hits(self, texts: list[np.ndarray]) -> list[tuple[int, int, float, int]]:
         """(text, item, cosine, run) of each pair that has a run, with the greatest cosine of its candidates."""
         cut, owner, known = [], [], b"\1" * self.run
-        for i, t in enumerate(texts):
-            words = self.numbered.of(t) if t else NO_WORDS
+        for i, words in enumerate(texts):
             if known in (words < self.pad).tobytes():
                 cut.append(windows(words, self.pad, self.run))
                 owner.append(i)
@@ -404,15 +403,15 @@ class ParaphraseSearch(Search):
         word, self.askers = np.array(sorted((w, q) for q, x in enumerate(self.answers) for w in x)).T
         self.asker_at = np.searchsorted(word, np.arange(self.pad + 2))
 
-    def hits(self, texts: list[str | None]) -> list[tuple[int, int, float, int]]:
+    def hits(self, texts: list[np.ndarray]) -> list[tuple[int, int, float, int]]:
         """(text, item, cosine, words in common) of each pair's longest subsequence."""
         cut, owner = [], []
-        for i, t in enumerate(texts):
-            words = self.numbered.of(t) if t else NO_WORDS
-            if np.count_nonzero(words < self.pad) < self.needed.min():
+        least = int(self.needed.min())
+        for i, words in enumerate(texts):
+            if np.count_nonzero(words < self.pad) < least:
                 continue
             w = windows(words, self.pad, self.run, 3)
-            w = w[((w < self.pad).sum(axis=1) >= self.needed.min()) & (self.is_answer[w].sum(axis=1) >= self.needs.min())]
+            w = w[((w < self.pad).sum(axis=1) >= least) & (self.is_answer[w].sum(axis=1) >= self.needs.min())]
             if len(w):
                 cut.append(w)
                 owner.append(i)
@@ -423,6 +422,8 @@ class ParaphraseSearch(Search):
             rows, asked_by = self._answered(part)
             if not len(rows):
                 continue
+            some, rows = np.unique(rows, return_inverse=True)
+            part = part[some]
             a, b, cosine = self.candidates(part, np.zeros(len(part)), self.asked)
             # The candidates that have the answer words, too.
             known = rows * len(self.passages) + asked_by
@@ -435,7 +436,7 @@ class ParaphraseSearch(Search):
                 for p, q, c in zip(x[fits].tolist(), y[fits].tolist(), cosine[ok[j + fits]].tolist()):
                     n = common_subsequence(self.lists[q], [w for w in part[p].tolist() if w < self.pad])
                     if n >= self.needed[q]:
-                        key = (int(owner[i + p]), int(self.owner[q]))
+                        key = (int(owner[i + some[p]]), int(self.owner[q]))
                         best[key] = max(best.get(key, (0, 0.0)), (n, c))
         return [(t, i, c, n) for (t, i), (n, c) in best.items()]
 
@@ -531,13 +532,14 @@ def find_leaks(
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f, (passages, owner) = fit.value, block.value
             owner = np.unique(owner, return_inverse=True)[1]
-            base = (LatentSpace(f.idf, f.basis), _numbered(f.vocabulary), passages, owner, run)
+            numbered = _numbered(f.vocabulary)
+            base = (LatentSpace(f.idf, f.basis), numbered, passages, owner, run)
             tasks = [(RunSearch(*base), True)]
             if paraphrases:
                 numbers = np.array([w.isdecimal() for w in f.vocabulary])
                 tasks.append((ParaphraseSearch(*base, f.rarity, numbers, subsequence), False))
             for part in by_bytes(batches, 1, 4 << 20):
-                texts = part.column(1).to_pylist()
+                texts = [numbered.of(t) if t else NO_WORDS for t in part.column(1).to_pylist()]
                 for task, is_run in tasks:
                     hits = task.hits(texts)
                     zeros = pa.array([0] * len(hits), pa.int32())

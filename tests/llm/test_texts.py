@@ -215,7 +215,7 @@ def test_paraphrases_at_every_offset(spark):
                 if common_subsequence(listed, [x for x in span if x < search.pad]) >= search.needed[q] and len(search.answers[q] & {*span}) >= search.needs[q]:
                     want.add((d, int(search.owner[q])))
                     break
-    got = {(d, i) for d, i, _, _ in search.hits([t for _, t in corpus])}
+    got = {(d, i) for d, i, _, _ in search.hits([search.numbered.of(t) for _, t in corpus])}
     assert len(want) > 15 and want <= got
     whole = {(r["doc_id"], r["item_id"]) for r in find_leaks(docs(spark, corpus), items(spark, held), paraphrases=True, fit_documents=3).collect()}
     assert {(d, search_item) for d, search_item in want} <= whole
