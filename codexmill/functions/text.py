@@ -81,12 +81,12 @@ def numeric_id(identifier: Column) -> Column:
 def natural_key(identifier: Column) -> Column:
     """Sort key under which 6.10 follows 6.9, digits precede letters, and null is last.
 
-    Runs of digits become left-padded text behind a 0, others stand behind a 1, so that comparing
-    arrays of strings compares them as numbers and text. Runs beyond 60 digits keep their text order.
+    Runs of digits become their length and their digits behind a 0, others stand behind a 1, so that
+    comparing arrays of strings compares them as numbers, however long, and as text.
     """
     runs = F.regexp_extract_all(identifier, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
     bare = lambda t: F.regexp_replace(t, "^0+(?=[0-9])", "")
-    keyed = F.transform(runs, lambda t: F.when(F.rlike(t, F.lit("^[0-9]")), F.concat(F.lit("0"), F.lpad(bare(t), 60, "0"))).otherwise(F.concat(F.lit("1"), t)))
+    keyed = F.transform(runs, lambda t: F.when(F.rlike(t, F.lit("^[0-9]")), F.concat(F.lit("0"), F.lpad(F.length(bare(t)).cast("string"), 10, "0"), bare(t))).otherwise(F.concat(F.lit("1"), t)))
     return F.struct(identifier.isNull().alias("last"), keyed.alias("runs"))
 
 

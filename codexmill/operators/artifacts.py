@@ -60,6 +60,7 @@ def classify(document_type: Column, act_id: Column) -> Column:
     doc_class = F.when(~mapped | clash, "unknown").when(refined & codified, "codified_cfr").when(refined, "federal_register").otherwise(broad)
     role = F.when(~mapped | clash, "unknown").when(broad == "guidance", "guidance").when(refined & ~codified, "promulgation_record").otherwise("operative_primary_law")
     none, sure = F.lit(None), F.lit(1.0)
+    # These sentences enter payload digests.
     said = F.concat(F.lit("document_type "), _quoted(document_type))
     type_detail = F.when(~mapped, F.concat(said, F.lit(" has no broad-class mapping; abstaining"))).otherwise(F.concat(said, F.lit(" => "), broad))
     of = F.concat(F.lit("prefix "), _quoted(prefix))
@@ -78,16 +79,22 @@ def classify(document_type: Column, act_id: Column) -> Column:
     return F.struct(doc_class.alias("doc_class"), role.alias("role"), F.when(settled, 1.0).otherwise(0.0).alias("confidence"), evidence.alias("evidence"))
 
 
-def classified(records: DataFrame) -> DataFrame:
-    """Classification artifacts: one per record, addressed and with its payload's digest."""
+def classification_payload() -> Column:
+    """The digest of a classification's conclusion, from its columns."""
+    body = F.struct(F.col("role").alias("authority_role"), "confidence", F.col("doc_class").alias("document_class"), "evidence", F.col("source_record_id").alias("target_source_record_id"))
+    return I.payload_hash("document_classification_annotation", body)
+
+
+def classified(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Classification artifacts: one per record, addressed and with its payload's digest. ``keep``
+    names columns of the records to carry along."""
     name, version = PRODUCERS["classification"]
     kind = "document_classification_annotation"
-    out = records.select("source_record_id", classify(F.col("document_type"), F.col("act_id")).alias("c")).select("source_record_id", "c.*")
-    body = F.struct(F.col("role").alias("authority_role"), "confidence", F.col("doc_class").alias("document_class"), "evidence", F.col("source_record_id").alias("target_source_record_id"))
+    out = records.select(*keep, "source_record_id", classify(F.col("document_type"), F.col("act_id")).alias("c")).select(*keep, "source_record_id", "c.*")
     return out.withColumns(
         {
             "artifact_id": I.artifact_id(kind, F.array(I.edge(I.SOURCE_RECORD, F.col("source_record_id"))), name, version),
-            "payload_hash": I.payload_hash(kind, body),
+            "payload_hash": classification_payload(),
             "default_off": F.col("doc_class") == "federal_register",
         }
     )
@@ -122,7 +129,7 @@ def reject_reason(chosen: Column, corpus: Column, act_id: Column, state: Column)
     return F.when(chosen.isNotNull() & (blank[0] | blank[1] | blank[2]), "missing key").otherwise(reason)
 
 
-def identity_members(records: DataFrame, file: list[str], ordinal: str) -> DataFrame:
+def identity_members(records: DataFrame, file: list[str], ordinal: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Members of identity groups: strategy, key, place in the group, occurrence of its text, fingerprint.
 
     A record under a strategy that must refuse it has a ``reject`` reason and no place. The order is
@@ -132,7 +139,7 @@ def identity_members(records: DataFrame, file: list[str], ordinal: str) -> DataF
     """
     chosen = strategy(F.col("document_type"), F.col("act_id"))
     base = records.select(
-        *file, "source_record_id", "row_id", "state", "corpus", "act_id", "raw_text_hash", F.col(ordinal).alias("ordinal"), chosen.alias("strategy")
+        *file, *keep, "source_record_id", "row_id", "state", "corpus", "act_id", "raw_text_hash", F.col(ordinal).alias("ordinal"), chosen.alias("strategy")
     ).where(F.col("strategy").isNotNull()).withColumn("reject", reject_reason(F.col("strategy"), F.col("corpus"), F.col("act_id"), F.col("state")))
     base = written(base, "identity")
     good = base.where(F.col("reject").isNull())
@@ -299,43 +306,68 @@ def member_annotations(members: DataFrame, groups: DataFrame, file: list[str]) -
     )
 
 
-def duplicate_evidence(members: DataFrame, file: list[str], most_members: int = 100_000) -> DataFrame:
-    """(source_record_id, detail) of each row whose text another row of its group has: who shares it.
+def _same_text(file: list[str]) -> Column:
+    return F.struct(*file, "source_identity_key", "strategy", "raw_text_hash")
+
+
+def duplicate_evidence(members: DataFrame, file: list[str]) -> DataFrame:
+    """(source_record_id, set_id, shared_by) of each row whose text another row of its group has.
+
+    A set is what shares a text; its id is the least record id of its rows, and each row has one link
+    to it, so sets of any size cost a row each. The members are read more than once: pass a written table.
+    """
+    shared = members.where("duplicate_row").select(_same_text(file).alias("__s"), "source_record_id")
+    sets = shared.groupBy("__s").agg(F.min("source_record_id").alias("set_id"), F.count(F.lit(1)).alias("shared_by"))
+    return join_by_weight(shared, sets, ["__s"], "shared_by").select("source_record_id", "set_id", "shared_by")
+
+
+def duplicate_details(evidence: DataFrame, most: int = 1000) -> DataFrame:
+    """(source_record_id, detail): the evidence as a sentence that lists all rows of the set.
 
-    Texts that more than ``most_members`` rows of a group share are counted, not listed.
+    The sentence is as long as its set and stands at each of its rows, so it is a view for sets of up
+    to ``most`` rows; larger ones are in :func:`duplicate_evidence`.
     """
-    group = [*file, "source_identity_key", "strategy", "raw_text_hash"]
-    shared = members.where("duplicate_row")
-    small = F.when(F.col("n") <= most_members, F.col("source_record_id"))
-    counts = shared.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    ids = shared.join(counts, group).groupBy(*group, "n").agg(F.array_sort(F.collect_list(small)).alias("ids"))
-    listed = F.when(F.size("ids") > 0, F.array_join("ids", ", ")).otherwise(F.concat(F.col("n").cast("string"), F.lit(" rows")))
-    detail = F.concat(F.lit("raw_text_hash shared by "), F.col("n").cast("string"), F.lit(" rows in identity group: "), listed)
-    return shared.join(ids, group).select("source_record_id", detail.alias("detail"))
+    small = evidence.where(F.col("shared_by") <= most)
+    lists = small.groupBy("set_id", "shared_by").agg(F.array_sort(F.collect_list("source_record_id")).alias("ids"))
+    # Fixed value: the sentence enters payload digests.
+    detail = F.concat(F.lit("raw_text_hash shared by "), F.col("shared_by").cast("string"), F.lit(" rows in identity group: "), F.array_join("ids", ", "))
+    return lists.select(F.explode("ids").alias("source_record_id"), detail.alias("detail"))
 
 
 # --------------------------------------------------------------------------- assembly
 
 
-def assembled(records: DataFrame) -> DataFrame:
-    """The one-record assembly: the text as it is. Null can't be composed, empty is complete."""
+def assembly_address(record: Column) -> Column:
     name, version = PRODUCERS["assembly"]
+    return I.artifact_id("source_document_assembly", F.array(I.edge(I.SOURCE_RECORD, record)), name, version)
+
+
+def assembled(records: DataFrame, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The one-record assembly: the text as it is. Null can't be composed, empty is complete."""
     return records.select(
+        *keep,
         "source_record_id",
         F.when(F.col("text").isNull(), "noncomposable").otherwise("complete").alias("status"),
+        *([F.col("text").alias("assembled_text")] if with_text else []),
         I.raw_text_hash(F.col("text")).alias("assembled_text_hash"),
-        I.artifact_id("source_document_assembly", F.array(I.edge(I.SOURCE_RECORD, F.col("source_record_id"))), name, version).alias("artifact_id"),
+        assembly_address(F.col("source_record_id")).alias("artifact_id"),
     )
 
 
-def associated(keys: DataFrame, assemblies: DataFrame, strategy_name: str, strategy_version: str) -> DataFrame:
+def association_address(key: Column, legal_id: Column, assembly: Column, strategy_name: str, strategy_version: str) -> Column:
+    config = F.sha2(F.concat(key, F.lit(I.FIELD), F.coalesce(legal_id, F.lit(""))), 256)
+    return I.artifact_id("assembly_identity_association", F.array(I.edge(I.ASSEMBLY, assembly)), strategy_name, strategy_version, config)
+
+
+def associated(keys: DataFrame, strategy_name: str, strategy_version: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Links of identity keys (and an optional ``legal_id``) to assemblies. The key is configuration,
-    never an edge, so one assembly may have many."""
+    never an edge, so one assembly may have many. ``assembly_id`` names the assembly; without that
+    column it is the record's own, whose address follows from the record's."""
     legal = F.col("legal_id") if "legal_id" in keys.columns else F.lit(None).cast("string")
-    config = F.sha2(F.concat(F.col("source_identity_key"), F.lit(I.FIELD), F.coalesce(legal, F.lit(""))), 256)
-    joined = keys.select("source_record_id", "source_identity_key", legal.alias("legal_id")).join(assemblies.select("source_record_id", F.col("artifact_id").alias("assembly_id")), "source_record_id")
-    address = I.artifact_id("assembly_identity_association", F.array(I.edge(I.ASSEMBLY, F.col("assembly_id"))), strategy_name, strategy_version, config)
-    return joined.select("source_record_id", "source_identity_key", "assembly_id", address.alias("artifact_id"))
+    target = F.col("assembly_id") if "assembly_id" in keys.columns else assembly_address(F.col("source_record_id"))
+    linked = keys.select(*keep, "source_record_id", "source_identity_key", legal.alias("legal_id"), target.alias("assembly_id"))
+    address = association_address(F.col("source_identity_key"), F.col("legal_id"), F.col("assembly_id"), strategy_name, strategy_version)
+    return linked.withColumn("artifact_id", address).drop("legal_id")
 
 
 # --------------------------------------------------------------------------- checks
@@ -373,6 +405,44 @@ def classification_rules() -> dict[str, Column]:
         "evidence": F.size("evidence") > 0,
         "target": F.col("source_record_id") != "",
         "address": F.col("artifact_id") == I.artifact_id("document_classification_annotation", F.array(I.edge(I.SOURCE_RECORD, F.col("source_record_id"))), *PRODUCERS["classification"]),
+        "payload": F.col("payload_hash") == classification_payload(),
+    }
+
+
+def record_rules(snapshot: str = "snapshot_version", checksum: str = "checksum") -> dict[str, Column]:
+    """Rules of source records beside ``recomputed_hash``, the digest of their text as it is."""
+    return {
+        "ordinal": F.col("ordinal") >= 0,
+        "snapshot": F.col(snapshot) != "",
+        "file": F.col("source_file") != "",
+        "checksum": F.col(checksum) != "",
+        "id": F.col("source_record_id") == I.source_record_id(F.col(snapshot), F.col(checksum), F.col("ordinal")),
+        "hash": F.col("raw_text_hash").eqNullSafe(F.col("recomputed_hash")),
+    }
+
+
+def member_rules() -> dict[str, Column]:
+    """Rules of the rows of :func:`member_annotations`; an annotation's edges are its group, or scope, and its record."""
+    pair = lambda to: F.array(I.edge(I.ANNOTATION, F.col(to)), I.edge(I.SOURCE_RECORD, F.col("source_record_id")))
+    return {
+        "target": F.col("source_record_id") != "",
+        "group": F.col("group_id") != "",
+        "scope": F.col("scope_id") != "",
+        "order": F.col("order_method").isin(*VOCABULARIES["order_method"]),
+        "confidence": F.col("order_confidence").isin(*VOCABULARIES["order_confidence"]),
+        "ordinal": F.col("segment_ordinal").isNull() | (F.col("segment_ordinal") >= 0),
+        "address": F.col("artifact_id") == I.artifact_id("source_identity_member_annotation", pair("group_id"), F.col("strategy"), STRATEGY_VERSION),
+        "quality address": F.col("quality_id") == I.artifact_id("quality_annotation", pair("scope_id"), *PRODUCERS["duplicates"]),
+    }
+
+
+def association_rules(strategy_name: str, strategy_version: str) -> dict[str, Column]:
+    legal = F.lit(None).cast("string")
+    return {
+        "key": F.col("source_identity_key") != "",
+        "assembly": F.col("assembly_id") != "",
+        "key is no edge": F.col("source_identity_key") != F.col("assembly_id"),
+        "address": F.col("artifact_id") == association_address(F.col("source_identity_key"), legal, F.col("assembly_id"), strategy_name, strategy_version),
     }
 
 
@@ -411,6 +481,7 @@ def assembly_rules() -> dict[str, Column]:
         "status": F.col("status").isin(*VOCABULARIES["assembly_status"]),
         "text": F.when(F.col("status").isin("complete", "partial"), has).otherwise(~has),
         "hash": F.col("assembled_text_hash").eqNullSafe(I.raw_text_hash(F.col("assembled_text"))),
+        "address": F.col("artifact_id") == assembly_address(F.col("source_record_id")),
     }
 
 
@@ -428,6 +499,19 @@ def provenance_rules() -> dict[str, Column]:
     }
 
 
+def unlinked_members(members: DataFrame, groups: DataFrame, annotations: DataFrame, file: list[str]) -> DataFrame:
+    """(group_id, problem) of groups whose members don't have exactly one annotation that names the
+    group: ``missing``, ``repeated``, ``missing and repeated``, or ``unknown`` for one of no group.
+
+    Counts alone are compared: members, annotations and distinct annotated records of each group.
+    """
+    named = annotations.groupBy("group_id", "source_record_id").agg(F.count(F.lit(1)).alias("n")).groupBy("group_id").agg(F.count(F.lit(1)).alias("annotated"), F.max("n").alias("most"))
+    both = groups.select(F.col("artifact_id").alias("group_id"), "distinct_members").join(named, "group_id", "full_outer")
+    missing, repeated = F.coalesce("annotated", F.lit(0)) < F.col("distinct_members"), F.coalesce("most", F.lit(1)) > 1
+    problem = F.when(F.col("distinct_members").isNull(), "unknown").when(missing & repeated, "missing and repeated").when(missing, "missing").when(repeated, "repeated")
+    return both.select("group_id", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def incomplete_groups(groups: DataFrame, records: DataFrame) -> DataFrame:
     """Members named by a group without a record, and records without a group: must be empty."""
     named = groups.select(F.explode("members").alias("source_record_id")).withColumn("named", F.lit(1))

@@ -1,8 +1,9 @@
 """Per-file audits as shared aggregates: profile, key collisions, segments, manifest.
 
 Every operator takes ``file``, the columns that identify a file, and works on all files at once. A
-row's ``ordinal`` is its place in its file. Texts are hashed where they are read, so no shuffle
-carries one; keys that repeat are found by pre-aggregated counts.
+row's ``ordinal`` is its place in its file. Texts are hashed, or their heads taken, where they are
+read and before any join, so no shuffle carries one. Whether a column varies within a group is a
+minimum and a maximum of its hashes, so a group needs at most one set of distinct values.
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from codexmill.functions import text as X
+from codexmill.operators.skew import numbered_in_group
+from codexmill.operators.workspace import written
 
 STRUCTURE = ("section_number", "display_path", "breadcrumb", "citation", "subsection_count")
 SAMPLE, HEAD = 300, 30
@@ -154,15 +158,11 @@ def collision_namespaces(rows: DataFrame, file: list[str]) -> DataFrame:
     A missing text is no text here: a group of nothing else is in no class, and one text beside
     missing ones is *identical*.
     """
-    keyed = rows.select(*file, X.namespace(F.col("act_id")).alias("ns"), "act_id", F.md5("text").alias("h"), "word_count", F.xxhash64("source_url").alias("u"), F.col("source_url").isNull().alias("no_url"))
+    keyed = rows.select(*file, X.namespace(F.col("act_id")).alias("ns"), "act_id", F.md5("text").alias("h"), "word_count", _hash(rows, "source_url").alias("u"))
+    one = lambda c: F.coalesce(F.min(c) == F.max(c), F.lit(False))
     groups = (
         keyed.groupBy(*file, "ns", "act_id")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_distinct("h").alias("texts"),
-            F.count_distinct("word_count").alias("sizes"),
-            F.count_distinct(F.when(~F.col("no_url"), F.col("u"))).alias("urls"),
-        )
+        .agg(F.count(F.lit(1)).alias("n"), F.count_distinct("h").alias("texts"), one("word_count").alias("one_size"), one("u").alias("one_url"))
         .where("n > 1")
     )
     return groups.groupBy(*file, "ns").agg(
@@ -171,14 +171,20 @@ def collision_namespaces(rows: DataFrame, file: list[str]) -> DataFrame:
         _n(F.col("texts") == 1).alias("all_identical"),
         _n(F.col("texts") == F.col("n")).alias("all_distinct"),
         _n((F.col("texts") > 1) & (F.col("texts") < F.col("n"))).alias("partly_distinct"),
-        _n(F.col("urls") == 1).alias("same_url"),
-        _n(F.col("sizes") == 1).alias("same_word_count"),
+        _n(F.col("one_url")).alias("same_url"),
+        _n(F.col("one_size")).alias("same_word_count"),
         F.max("n").alias("max_group"),
         F.min(F.when(F.col("texts") == 1, F.col("act_id"))).alias("example_identical"),
         F.min(F.when(F.col("texts") == F.col("n"), F.col("act_id"))).alias("example_distinct"),
     )
 
 
+def _hash(rows: DataFrame, column: str) -> Column:
+    """A number for a value: itself, or 64 bits of it; null for null."""
+    c = F.col(column)
+    return c if isinstance(rows.schema[column].dataType, (T.IntegerType, T.LongType)) else F.when(c.isNotNull(), F.xxhash64(c))
+
+
 def group_sizes(rows: DataFrame, file: list[str]) -> DataFrame:
     return rows.groupBy(*file, "act_id").agg(F.count(F.lit(1)).alias("size"))
 
@@ -208,27 +214,31 @@ def corpus_groups(rows: DataFrame, corpus: str, file: list[str]) -> DataFrame:
     )
 
 
-def colliding_rows(rows: DataFrame, file: list[str]) -> DataFrame:
-    """Rows whose non-null key repeats within their file: a semi-join with the repeated keys, which
-    Spark broadcasts if they are few."""
-    repeated = group_sizes(rows.where(F.col("act_id").isNotNull()), file).where("size > 1").select(*file, "act_id")
-    return rows.join(repeated, [*file, "act_id"], "left_semi")
+def colliding_rows(rows: DataFrame, file: list[str], ordinal: str, row_id: str) -> DataFrame:
+    """Rows whose non-null key repeats within their file, with the digest of their text, their place
+    among the rows of the key, and among those of the same text.
+
+    All rows are numbered by key, block by block, and those that are alone are left out: a join with
+    the repeated keys would bring the rows of a frequent one together.
+    """
+    slim = rows.where(F.col("act_id").isNotNull()).select(row_id, *file, "act_id", F.col(ordinal).alias("ordinal"), X.namespace(F.col("act_id")).alias("ns"), F.md5("text").alias("text_md5"))
+    numbered = numbered_in_group(written(slim, "colliding"), [*file, "act_id"], "ordinal", [row_id], "segment_ordinal", "group_size").where("group_size > 1")
+    numbered = numbered_in_group(written(numbered, "numbered"), [*file, "act_id", "text_md5"], "ordinal", [row_id], "occurrence_index", "copies")
+    return numbered.select(row_id, *file, "act_id", "ns", "text_md5", *[F.col(c).cast("int").alias(c) for c in ("segment_ordinal", "occurrence_index")])
 
 
 def segment_groups(rows: DataFrame, file: list[str], ordinal: str) -> DataFrame:
     """Per repeated key: size, distinct texts (a missing one is a value here), span, and whether any
     structural column tells its rows apart."""
-    varies = [F.count_distinct(c) + F.max(F.col(c).isNull().cast("int")) > 1 for c in STRUCTURE]
+    hashed = rows.where(F.col("act_id").isNotNull()).select(
+        *file, X.namespace(F.col("act_id")).alias("ns"), "act_id", F.col(ordinal).alias("at"), F.coalesce(F.md5("text"), F.lit("")).alias("h"), *[_hash(rows, c).alias(f"s{i}") for i, c in enumerate(STRUCTURE)]
+    )
+    n = F.count(F.lit(1))
+    varies = [F.coalesce(F.min(c) < F.max(c), F.lit(False)) | ((F.count(c) > 0) & (F.count(c) < n)) for c in (f"s{i}" for i in range(len(STRUCTURE)))]
     return (
-        colliding_rows(rows, file)
-        .withColumn("h", F.coalesce(F.md5("text"), F.lit("")))
-        .groupBy(*file, X.namespace(F.col("act_id")).alias("ns"), "act_id")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_distinct("h").alias("texts"),
-            (F.max(ordinal) - F.min(ordinal) == F.count(F.lit(1)) - 1).alias("contiguous"),
-            reduce(Column.__or__, varies).alias("discriminated"),
-        )
+        hashed.groupBy(*file, "ns", "act_id")
+        .agg(n.alias("n"), F.count_distinct("h").alias("texts"), (F.max("at") - F.min("at") == n - 1).alias("contiguous"), reduce(Column.__or__, varies).alias("discriminated"))
+        .where("n > 1")
     )
 
 
@@ -262,7 +272,8 @@ def segment_seams(rows: DataFrame, file: list[str], ordinal: str, sample: int =
     )
     body = X.left_stripped(F.coalesce("text", F.lit("")))
     small = F.rlike(body, F.lit(r"^\p{javaLowerCase}")).cast("int").alias("small")
-    opened = rows.join(picks, [*file, "act_id"]).select(*file, "ns", "act_id", ordinal, F.substring(body, 1, HEAD).alias("head"), small)
+    heads = rows.where(F.col("act_id").isNotNull()).select(*file, "act_id", ordinal, F.substring(body, 1, HEAD).alias("head"), small)
+    opened = heads.join(picks, [*file, "act_id"])
     per_key = opened.groupBy(*file, "ns", "act_id").agg(
         F.count_distinct("head").alias("heads"), (F.count(F.lit(1)) - 1).alias("seams"), (F.sum("small") - F.min_by("small", ordinal)).alias("reads_on")
     )

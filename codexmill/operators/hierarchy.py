@@ -148,16 +148,20 @@ def tree_nodes(rows: DataFrame, corpus: str, ordinal: str) -> DataFrame:
     return each.groupBy(corpus, "path", "parent", "key", "level").agg(F.min(F.struct("at", "level")).alias("first"))
 
 
-def sibling_order(nodes: DataFrame, corpus: str) -> DataFrame:
+def sibling_order(nodes: DataFrame, corpus: str, block: int = 1_000_000) -> DataFrame:
     """Parents with two or more children, and those whose children were first seen in natural order.
 
-    Naturally sorted is the same as: no child's key is below that of the one seen before it.
+    Naturally sorted is the same as: no child's key is below that of the one seen before it. The
+    children of a parent are compared in blocks of ordinals; a block is in order within itself, and
+    its least key is not below the greatest of the block before. So no parent's children meet in one
+    task, however many they are.
     """
-    w = Window.partitionBy(corpus, "parent").orderBy("first", "path")
-    key = X.natural_key(F.col("key.ident"))
-    ordered = nodes.withColumn("k", key).withColumn("before", F.lag("k").over(w))
-    fine = F.col("before").isNull() | (F.col("before") <= F.col("k"))
-    per = ordered.groupBy(corpus, "parent").agg(F.count(F.lit(1)).alias("kids"), F.min(fine).alias("fine")).where("kids > 1")
+    keyed = nodes.select(corpus, F.struct("parent").alias("p"), F.floor(F.col("first.at") / block).alias("b"), "first", "path", X.natural_key(F.col("key.ident")).alias("k"))
+    before = F.lag("k").over(Window.partitionBy(corpus, "p", "b").orderBy("first", "path"))
+    fine = before.isNull() | (before <= F.col("k"))
+    blocks = keyed.withColumn("fine", fine).groupBy(corpus, "p", "b").agg(F.count(F.lit(1)).alias("kids"), F.min("fine").alias("fine"), F.min("k").alias("least"), F.max("k").alias("most"))
+    last = F.lag("most").over(Window.partitionBy(corpus, "p").orderBy("b"))
+    per = blocks.withColumn("fits", last.isNull() | (last <= F.col("least"))).groupBy(corpus, "p").agg(F.sum("kids").alias("kids"), F.min(F.col("fine") & F.col("fits")).alias("fine")).where("kids > 1")
     return per.groupBy(corpus).agg(F.count(F.lit(1)).alias("parents"), F.count(F.when(F.col("fine"), 1)).alias("in_order"))
 
 

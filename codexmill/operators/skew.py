@@ -24,6 +24,11 @@ def join_by_weight(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str
     return rows.join(hot, on).unionByName(rest.join(keyed.where(F.col(weight) <= bound), on))
 
 
+def small_side(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """``df``, to be broadcast in a join if it has at most so many rows; they are counted up to there."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def numbered_in_group(rows: DataFrame, group: list[str], ordinal: str, ties: list[str], number: str, total: str, block: int = 1_000_000) -> DataFrame:
     """Adds each row's place in its group (from 0, by ``ordinal``, then ``ties``) and the group's size.
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexmill.functions import identity as I
 from codexmill.functions import text as X
 from codexmill.operators import artifacts as A
 from codexmill.operators import audit, difference, hierarchy
-from codexmill.operators.skew import numbered_in_group
+from codexmill.operators.skew import small_side
 from codexmill.operators.snapshots import version_steps
 from codexmill.operators.workspace import written
 from codexmill.sources.tables import table
@@ -39,7 +39,7 @@ def query(sql: str | None = None) -> Callable:
 def law(spark: SparkSession, d: str) -> DataFrame:
     """The rows of all loads with their file's attributes."""
     files = table(spark, d, "file_loads").select("load_id", "source_file", "corpus", "juris", F.col("snapshot_version").alias("snapshot"), "sha256")
-    return table(spark, d, "law_rows").join(files, "load_id")
+    return table(spark, d, "law_rows").join(small_side(files), "load_id")
 
 
 # --------------------------------------------------------------------------- profile
@@ -176,11 +176,13 @@ def collision_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     _LAW
-    + f""", g AS (SELECT load_id, {_NS} AS ns, act_id, count(*) AS n, count(DISTINCT md5(text)) AS t, count(DISTINCT word_count) AS w, count(DISTINCT source_url) AS u
-  FROM law GROUP BY 1, 2, 3 HAVING count(*) > 1)
-SELECT load_id, ns, count(*) AS groups, sum(n)::BIGINT AS n_rows, count(*) FILTER (WHERE t = 1) AS all_identical, count(*) FILTER (WHERE t = n) AS all_distinct,
-  count(*) FILTER (WHERE t > 1 AND t < n) AS partly_distinct, count(*) FILTER (WHERE u = 1) AS same_url, count(*) FILTER (WHERE w = 1) AS same_word_count,
-  max(n) AS max_group, min(act_id) FILTER (WHERE t = 1) AS example_identical, min(act_id) FILTER (WHERE t = n) AS example_distinct FROM g GROUP BY 1, 2"""
+    + f""", f AS (SELECT load_id, {_NS} AS ns, act_id, count(*) OVER k AS n, row_number() OVER (k ORDER BY row_id) = 1 AS head,
+  text IS NOT NULL AND row_number() OVER (PARTITION BY load_id, act_id, text ORDER BY row_id) = 1 AS new_text,
+  max(word_count) OVER k = min(word_count) OVER k AS w, max(source_url) OVER k = min(source_url) OVER k AS u FROM law WINDOW k AS (PARTITION BY load_id, act_id)),
+e AS (SELECT *, sum(new_text::INTEGER) OVER (PARTITION BY load_id, act_id) AS t FROM f WHERE n > 1)
+SELECT load_id, ns, count(*) FILTER (WHERE head) AS groups, count(*) AS n_rows, count(*) FILTER (WHERE head AND t = 1) AS all_identical, count(*) FILTER (WHERE head AND t = n) AS all_distinct,
+  count(*) FILTER (WHERE head AND t BETWEEN 2 AND n - 1) AS partly_distinct, count(*) FILTER (WHERE head AND u) AS same_url, count(*) FILTER (WHERE head AND w) AS same_word_count,
+  max(n) AS max_group, min(CASE WHEN t = 1 THEN act_id END) AS example_identical, min(CASE WHEN t = n THEN act_id END) AS example_distinct FROM e GROUP BY 1, 2"""
 )
 def collision_namespaces(spark: SparkSession, d: str) -> DataFrame:
     return audit.collision_namespaces(law(spark, d), FILE)
@@ -212,10 +214,7 @@ _DUP = ", dup AS (SELECT load_id, act_id FROM law WHERE act_id IS NOT NULL GROUP
   row_number() OVER (PARTITION BY load_id, act_id, md5(text) ORDER BY row_ordinal, row_id)::INTEGER - 1 AS occurrence_index FROM c"""
 )
 def colliding_members(spark: SparkSession, d: str) -> DataFrame:
-    rows = audit.colliding_rows(law(spark, d), FILE).select("row_id", *FILE, "act_id", "row_ordinal", X.namespace(F.col("act_id")).alias("ns"), F.md5("text").alias("text_md5"))
-    rows = numbered_in_group(written(rows, "colliding"), [*FILE, "act_id"], "row_ordinal", ["row_id"], "segment_ordinal", "group_size")
-    rows = numbered_in_group(rows, [*FILE, "act_id", "text_md5"], "row_ordinal", ["row_id"], "occurrence_index", "copies")
-    return rows.select("row_id", "ns", "text_md5", *[F.col(c).cast("int").alias(c) for c in ("segment_ordinal", "occurrence_index")])
+    return audit.colliding_rows(law(spark, d), FILE, "row_ordinal", "row_id").select("row_id", "ns", "text_md5", "segment_ordinal", "occurrence_index")
 
 
 _VARIES = " OR ".join(f"count(DISTINCT {c}) + max(({c} IS NULL)::INTEGER) > 1" for c in audit.STRUCTURE)
@@ -235,18 +234,26 @@ def segment_namespaces(spark: SparkSession, d: str) -> DataFrame:
     return audit.segment_namespaces(law(spark, d), FILE, "row_ordinal")
 
 
+# Keys cut to their first two parts: all sections of a title under one key, as where a source repeats its keys.
+_STEMS = _LAW + ", stem AS (SELECT * REPLACE (regexp_replace(act_id, '^([^_]*_[^_]*)_.*$', '\\1') AS act_id) FROM law)"
+
+
+def stems(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("act_id", F.regexp_replace("act_id", "^([^_]*_[^_]*)_.*$", "$1"))
+
+
 @query(
-    _LAW
-    + _DUP
+    _STEMS
+    + _DUP.replace("law", "stem")
     + _GROUPS
     + f""", s AS (SELECT load_id, ns, act_id FROM g WHERE t = n QUALIFY row_number() OVER (PARTITION BY load_id, ns ORDER BY act_id) <= 300),
-r AS (SELECT s.*, row_ordinal, regexp_replace(coalesce(text, ''), '^\\s+', '') AS b FROM law JOIN s USING (load_id, act_id)),
+r AS (SELECT s.*, row_ordinal, regexp_replace(coalesce(text, ''), '^\\s+', '') AS b FROM stem JOIN s USING (load_id, act_id)),
 h AS (SELECT load_id, ns, act_id, substring(b, 1, 30) AS head, regexp_matches(b, '^\\p{{Ll}}') AS small, row_number() OVER (PARTITION BY load_id, act_id ORDER BY row_ordinal) > 1 AS seam FROM r),
 k AS (SELECT load_id, ns, act_id, count(DISTINCT head) AS heads, count(*) FILTER (WHERE seam) AS seams, count(*) FILTER (WHERE seam AND small) AS cont FROM h GROUP BY 1, 2, 3)
 SELECT load_id, ns, count(*) AS sampled_groups, count(*) FILTER (WHERE heads = 1) AS shared_head, sum(seams)::BIGINT AS seams, sum(cont)::BIGINT AS continuations FROM k GROUP BY 1, 2"""
 )
 def segment_seams(spark: SparkSession, d: str) -> DataFrame:
-    return audit.segment_seams(law(spark, d), FILE, "row_ordinal")
+    return audit.segment_seams(stems(law(spark, d)), FILE, "row_ordinal")
 
 
 @query("SELECT sha256(text) AS text_hash, count(DISTINCT act_id) + max((act_id IS NULL)::INTEGER) AS act_ids FROM law_rows WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT act_id) + max((act_id IS NULL)::INTEGER) > 1")
@@ -284,17 +291,32 @@ _CLASS = (
     + _CLASS
     + """SELECT row_id, CASE WHEN unsure THEN 'unknown' WHEN broad = 'regulation' AND p = 'CFR' THEN 'codified_cfr' WHEN broad = 'regulation' AND p = 'FR' THEN 'federal_register' ELSE broad END AS doc_class,
   CASE WHEN unsure THEN 'unknown' WHEN broad = 'guidance' THEN 'guidance' WHEN broad = 'regulation' AND p = 'FR' THEN 'promulgation_record' ELSE 'operative_primary_law' END AS role,
-  CASE WHEN unsure THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS confidence,
+  CASE WHEN unsure THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS confidence, NOT unsure AND broad = 'regulation' AND coalesce(p = 'FR', false) AS default_off,
   'art:sha256:' || sha256('document_classification_annotation' || chr(0) || 'document_classification_deterministic' || chr(0) || '2' || chr(0) || chr(0) || 'source_record' || chr(31) || id) AS artifact_id FROM c"""
 )
 def classification(spark: SparkSession, d: str) -> DataFrame:
-    rows = records(spark, d)
-    return A.classified(rows).join(rows.select("row_id", "source_record_id"), "source_record_id").select("row_id", "doc_class", "role", "confidence", "artifact_id")
+    return A.classified(records(spark, d), keep=("row_id",)).select("row_id", "doc_class", "role", "confidence", "artifact_id", "default_off")
+
+
+_QUOTE = "coalesce(chr(39) || {0} || chr(39), 'None')"
+_BODIES = (
+    _LAW
+    + _CLASS.replace("SELECT row_id,", "SELECT row_id, document_type, act_status,")
+    + f""", k AS (SELECT *, CASE WHEN unsure THEN 'unknown' WHEN broad = 'regulation' AND p = 'CFR' THEN 'codified_cfr' WHEN broad = 'regulation' AND p = 'FR' THEN 'federal_register' ELSE broad END AS cls,
+  CASE WHEN unsure THEN 'unknown' WHEN broad = 'guidance' THEN 'guidance' WHEN broad = 'regulation' AND p = 'FR' THEN 'promulgation_record' ELSE 'operative_primary_law' END AS role,
+  NOT unsure AND broad = 'regulation' AND p IN ('CFR', 'FR') AS refined FROM c),
+y AS (SELECT *, [{{'confidence': CASE WHEN NOT unsure THEN 1.0::DOUBLE END, 'detail': 'document_type ' || {_QUOTE.format("document_type")} || CASE WHEN broad IS NULL THEN ' has no broad-class mapping; abstaining' ELSE ' => ' || broad END, 'kind': 'document_type'}},
+  {{'confidence': CASE WHEN NOT unsure AND (coalesce(refined, false) OR expected IS NOT NULL) THEN 1.0::DOUBLE END, 'detail': CASE WHEN broad IS NULL THEN 'act_id prefix=' || {_QUOTE.format("p")}
+    WHEN unsure THEN 'prefix ' || {_QUOTE.format("p")} || ' expects ' || expected || '; contradiction -> abstain' WHEN refined THEN 'prefix ' || {_QUOTE.format("p")} || ' refines regulation => ' || cls || '/' || role
+    WHEN expected IS NOT NULL THEN 'prefix ' || {_QUOTE.format("p")} || ' confirms ' || broad ELSE 'prefix ' || {_QUOTE.format("p")} || ' is non-refining/ambiguous; document_type alone set the class' END, 'kind': 'act_id_prefix'}}] AS ev FROM k),
+pay AS (SELECT *, 'pay:sha256:' || sha256(to_json({{'p': {{'authority_role': role, 'confidence': CASE WHEN unsure THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END, 'document_class': cls, 'evidence': ev, 'target_source_record_id': id}}, 't': 'document_classification_annotation'}})::VARCHAR) AS payload,
+  'art:sha256:' || sha256('document_classification_annotation' || chr(0) || 'document_classification_deterministic' || chr(0) || '2' || chr(0) || chr(0) || 'source_record' || chr(31) || id) AS art FROM y)"""
+)
 
 
-@query()
+@query(_BODIES + " SELECT id AS source_record_id, payload AS payload_hash, ev[1].detail AS type_detail, ev[2].detail AS key_detail FROM pay")
 def classification_payloads(spark: SparkSession, d: str) -> DataFrame:
-    return A.classified(records(spark, d)).select("source_record_id", "payload_hash", "evidence")
+    return A.classified(records(spark, d)).select("source_record_id", "payload_hash", F.col("evidence")[0]["detail"].alias("type_detail"), F.col("evidence")[1]["detail"].alias("key_detail"))
 
 
 _STRATEGY = f"""CASE WHEN document_type = 'constitution' THEN 'constitution_act_id_v1'
@@ -322,29 +344,38 @@ def identity_members(spark: SparkSession, d: str) -> DataFrame:
     return A.identity_members(records(spark, d), FILE, "row_ordinal").select("row_id", "strategy", "reject", "segment_ordinal", "occurrence_index", "source_identity_key", "fingerprint", "duplicate_row")
 
 
-@query(
-    _LAW
-    + _MEMBERS
-    + """, q AS (SELECT load_id, strategy, state || '|' || corpus || '|' || act_id AS source_identity_key, CASE WHEN strategy IN ('usc_act_id_v1', 'state_statute_act_id_v1', 'constitution_act_id_v1') THEN id END AS part, id, dup AND part IS NULL AS dup FROM k),
-r AS (SELECT load_id, source_identity_key, strategy, part, count(*) AS size, count(*) FILTER (WHERE dup) AS duplicate_rows, list_sort(list('source_record' || chr(31) || id)) AS ids FROM q GROUP BY 1, 2, 3, 4)
-SELECT load_id, source_identity_key, strategy, CASE WHEN size = 1 THEN 'document' WHEN strategy = 'federal_register_document_v1' THEN 'numbering_bucket' ELSE 'segment' END AS scope,
-  CASE WHEN size = 1 THEN 'resolved' WHEN strategy = 'federal_register_document_v1' THEN 'ambiguous' ELSE 'provisional' END AS status, size, duplicate_rows,
-  'art:sha256:' || sha256('source_identity_group' || chr(0) || strategy || chr(0) || '1' || chr(0) || chr(0) || array_to_string(ids, chr(30))) AS artifact_id FROM r"""
-)
+_GROUP_ROWS = """, q AS (SELECT load_id, strategy, state || '|' || corpus || '|' || act_id AS source_identity_key, CASE WHEN strategy IN ('usc_act_id_v1', 'state_statute_act_id_v1', 'constitution_act_id_v1') THEN id END AS part, id, ord,
+  act_id || '|' || coalesce(h, 'None') || '|' || occ::VARCHAR AS fingerprint, dup AS row_dup, act_status, dup AND part IS NULL AS dup FROM k),
+r AS (SELECT load_id, source_identity_key, strategy, part, count(*) AS size, count(*) FILTER (WHERE dup) AS duplicate_rows, array_to_string(list_sort(list('source_record' || chr(31) || id)), chr(30)) AS edges FROM q GROUP BY 1, 2, 3, 4),
+z AS (SELECT *, CASE WHEN size = 1 THEN 'document' WHEN strategy = 'federal_register_document_v1' THEN 'numbering_bucket' ELSE 'segment' END AS scope,
+  CASE WHEN size = 1 THEN 'resolved' WHEN strategy = 'federal_register_document_v1' THEN 'ambiguous' ELSE 'provisional' END AS status,
+  'art:sha256:' || sha256('source_identity_group' || chr(0) || strategy || chr(0) || '1' || chr(0) || chr(0) || edges) AS artifact_id FROM r),
+zz AS (SELECT *, 'art:sha256:' || sha256('duplicate_scope' || chr(0) || 'quality_duplicate_row' || chr(0) || '2' || chr(0) || chr(0) || 'annotation' || chr(31) || artifact_id || chr(30) || edges) AS scope_id FROM z)"""
+_GROUP_COLUMNS = " SELECT load_id, source_identity_key, strategy, scope, status, size, duplicate_rows, artifact_id FROM zz"
+
+
+@query(_LAW + _MEMBERS + _GROUP_ROWS + _GROUP_COLUMNS)
 def identity_groups(spark: SparkSession, d: str) -> DataFrame:
     groups = A.identity_groups(A.identity_members(records(spark, d), FILE, "row_ordinal"), FILE, with_members=False)
     return groups.drop("part", "distinct_members", "scope_id")
 
 
+@query(_STEMS + _MEMBERS.replace("FROM law", "FROM stem") + _GROUP_ROWS + _GROUP_COLUMNS)
+def stem_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of records under keys cut to a title: many members in every strategy that allows them."""
+    groups = A.identity_groups(A.identity_members(stems(records(spark, d)), FILE, "row_ordinal"), FILE, with_members=False)
+    return groups.drop("part", "distinct_members", "scope_id")
+
+
 @query(
-    _LAW
-    + _MEMBERS
+    _STEMS
+    + _MEMBERS.replace("FROM law", "FROM stem")
     + """, r AS (SELECT load_id, state, corpus, act_id, strategy, count(*) AS size, count(*) FILTER (WHERE dup) AS dups FROM k WHERE strategy IN ('cfr_identity_v1', 'federal_register_document_v1', 'state_regulation_v1') GROUP BY 1, 2, 3, 4, 5 HAVING count(*) > 1)
 SELECT strategy, count(*) AS multi_groups, sum(size)::BIGINT AS multi_rows, sum(dups)::BIGINT AS duplicate_rows, max(size) AS max_group,
   count(*) FILTER (WHERE strategy = 'federal_register_document_v1') / count(*) AS ambiguous_share FROM r GROUP BY 1"""
 )
 def strategy_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    groups = A.group_sizes(A.identity_members(records(spark, d), FILE, "row_ordinal"), FILE).where("size > 1")
+    groups = A.group_sizes(A.identity_members(stems(records(spark, d)), FILE, "row_ordinal"), FILE).where("size > 1 AND part IS NULL")
     return groups.groupBy("strategy").agg(
         F.count(F.lit(1)).alias("multi_groups"),
         F.sum("size").alias("multi_rows"),
@@ -354,21 +385,40 @@ def strategy_outcomes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    members = A.identity_members(records(spark, d), FILE, "row_ordinal")
+    return written(members.select(*FILE, "source_identity_key", "strategy", "reject", "source_record_id", "segment_ordinal", "occurrence_index", "fingerprint", "raw_text_hash", "duplicate_row"), "members")
+
+
+_SETS = """, x AS (SELECT id, count(*) OVER q AS n, min(id) OVER q AS set_id, string_agg(id, ', ' ORDER BY id) OVER (PARTITION BY load_id, state, corpus, act_id, strategy, h ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ids FROM k WHERE dup
+  WINDOW q AS (PARTITION BY load_id, state, corpus, act_id, strategy, h))"""
+
+
+@query(_LAW + _MEMBERS + _SETS + " SELECT id AS source_record_id, set_id, n AS shared_by FROM x")
+def duplicate_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return A.duplicate_evidence(_members(spark, d), FILE)
+
+
+@query(_LAW + _MEMBERS + _SETS + " SELECT id AS source_record_id, 'raw_text_hash shared by ' || n || ' rows in identity group: ' || ids AS detail FROM x WHERE n <= 1000")
+def duplicate_details(spark: SparkSession, d: str) -> DataFrame:
+    return A.duplicate_details(A.duplicate_evidence(_members(spark, d), FILE))
+
+
+_ANNOTATED = _GROUP_ROWS + """, ann AS (SELECT q.*, size, artifact_id AS group_id, scope_id, 'annotation' || chr(31) || artifact_id || chr(30) || 'source_record' || chr(31) || id AS g_edges, 'annotation' || chr(31) || scope_id || chr(30) || 'source_record' || chr(31) || id AS s_edges
+  FROM q JOIN zz ON zz.load_id = q.load_id AND zz.source_identity_key = q.source_identity_key AND zz.strategy = q.strategy AND zz.part IS NOT DISTINCT FROM q.part)"""
+
+
 @query(
     _LAW
     + _MEMBERS
-    + """, x AS (SELECT *, count(*) OVER q AS n, string_agg(id, ', ' ORDER BY id) OVER (PARTITION BY load_id, state, corpus, act_id, strategy, h ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ids FROM k WHERE dup
-  WINDOW q AS (PARTITION BY load_id, state, corpus, act_id, strategy, h))
-SELECT id AS source_record_id, 'raw_text_hash shared by ' || n || ' rows in identity group: ' || ids AS detail FROM x"""
+    + _ANNOTATED
+    + """ SELECT id AS source_record_id, load_id, strategy, size, group_id, scope_id, ord::INTEGER AS segment_ordinal, fingerprint, row_dup AS duplicate_row, CASE WHEN size = 1 THEN 'single_record' ELSE 'physical_row_order' END AS order_method,
+  CASE WHEN size = 1 THEN 'not_applicable' ELSE 'snapshot_observed' END AS order_confidence,
+  'art:sha256:' || sha256('source_identity_member_annotation' || chr(0) || strategy || chr(0) || '1' || chr(0) || chr(0) || g_edges) AS artifact_id,
+  'art:sha256:' || sha256('quality_annotation' || chr(0) || 'quality_duplicate_row' || chr(0) || '2' || chr(0) || chr(0) || s_edges) AS quality_id FROM ann"""
 )
-def duplicate_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return A.duplicate_evidence(A.identity_members(records(spark, d), FILE, "row_ordinal"), FILE)
-
-
-@query()
 def member_artifacts(spark: SparkSession, d: str) -> DataFrame:
-    members = A.identity_members(records(spark, d), FILE, "row_ordinal")
-    members = written(members.select(*FILE, "source_identity_key", "strategy", "reject", "source_record_id", "segment_ordinal", "fingerprint", "duplicate_row"), "members")
+    members = _members(spark, d)
     return A.member_annotations(members, written(A.identity_groups(members, FILE, with_members=False), "groups"), FILE)
 
 
@@ -387,27 +437,157 @@ def assemblies(spark: SparkSession, d: str) -> DataFrame:
 SELECT id AS source_record_id, key AS source_identity_key, asm AS assembly_id, 'art:sha256:' || sha256('assembly_identity_association' || chr(0) || 'key_to_assembly' || chr(0) || '1' || chr(0) || sha256(key || chr(0)) || chr(0) || 'assembly' || chr(31) || asm) AS artifact_id FROM a"""
 )
 def associations(spark: SparkSession, d: str) -> DataFrame:
-    rows = records(spark, d)
-    keys = A.identity_members(rows, FILE, "row_ordinal").where("source_identity_key IS NOT NULL")
-    return A.associated(keys, A.assembled(rows), "key_to_assembly", "1")
+    keys = A.identity_members(records(spark, d), FILE, "row_ordinal").where("source_identity_key IS NOT NULL")
+    return A.associated(keys, "key_to_assembly", "1")
+
+
+# The checks run over a damaged store: what is stored of records in some statuses is changed, and each
+# change must be reported, no more.
+
+
+def _status(*names: str) -> Column:
+    return F.coalesce(F.col("act_status").isin(*names), F.lit(False))
 
 
-@query("SELECT NULL::VARCHAR AS artifact_id, 0::BIGINT AS payloads WHERE false")
+@query(_BODIES + " SELECT art AS artifact_id, 2::BIGINT AS payloads FROM pay WHERE act_status = 'repealed'")
 def address_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return A.address_conflicts(A.classified(records(spark, d)))
+    """Two runs whose payloads differ for repealed records."""
+    runs = A.classified(records(spark, d), keep=("act_status",))
+    return A.address_conflicts(runs.unionByName(runs.withColumn("payload_hash", F.when(_status("repealed"), F.lit("pay:other")).otherwise(F.col("payload_hash")))))
 
 
-@query("SELECT NULL::VARCHAR AS key, NULL::VARCHAR AS rule WHERE false")
-def artifact_violations(spark: SparkSession, d: str) -> DataFrame:
+@query(
+    _BODIES
+    + """ SELECT id AS key, unnest(CASE act_status WHEN 'repealed' THEN ['class', 'payload'] WHEN 'omitted' THEN ['confidence', 'payload'] WHEN 'renumbered' THEN ['role', 'payload']
+  WHEN 'reserved' THEN ['evidence', 'payload'] WHEN 'transferred' THEN ['address'] END) AS rule FROM pay"""
+)
+def classification_violations(spark: SparkSession, d: str) -> DataFrame:
+    stored = A.classified(records(spark, d), keep=("act_status",)).withColumns(
+        {
+            "doc_class": F.when(_status("repealed"), F.lit("made_up")).otherwise(F.col("doc_class")),
+            "role": F.when(_status("renumbered"), F.lit("made_up")).otherwise(F.col("role")),
+            "confidence": F.when(_status("omitted"), F.lit(1.5)).otherwise(F.col("confidence")),
+            "evidence": F.when(_status("reserved"), F.slice("evidence", 1, 0)).otherwise(F.col("evidence")),
+            "artifact_id": F.when(_status("transferred"), F.reverse("artifact_id")).otherwise(F.col("artifact_id")),
+        }
+    )
+    return A.violations(stored, A.classification_rules(), F.col("source_record_id"))
+
+
+@query(
+    _LAW
+    + f""" SELECT {_SRR} AS key, unnest(CASE act_status WHEN 'repealed' THEN ['id'] WHEN 'omitted' THEN ['ordinal', 'id'] WHEN 'renumbered' THEN ['hash'] WHEN 'transferred' THEN ['file'] WHEN 'reserved' THEN ['snapshot', 'id'] END) AS rule FROM law"""
+)
+def record_violations(spark: SparkSession, d: str) -> DataFrame:
+    rows = records(spark, d).select("source_record_id", "act_status", "snapshot", "source_file", "sha256", F.col("row_ordinal").alias("ordinal"), "raw_text_hash", I.raw_text_hash(F.col("text")).alias("recomputed_hash"))
+    stored = rows.withColumn("key", F.col("source_record_id")).withColumns(
+        {
+            "source_record_id": F.when(_status("repealed"), F.reverse("source_record_id")).otherwise(F.col("source_record_id")),
+            "ordinal": F.when(_status("omitted"), -1 - F.col("ordinal")).otherwise(F.col("ordinal")),
+            "raw_text_hash": F.when(_status("renumbered"), F.lit("sha256:0")).otherwise(F.col("raw_text_hash")),
+            "source_file": F.when(_status("transferred"), F.lit("")).otherwise(F.col("source_file")),
+            "snapshot": F.when(_status("reserved"), F.lit("")).otherwise(F.col("snapshot")),
+        }
+    )
+    return A.violations(stored, A.record_rules("snapshot", "sha256"), F.col("key"))
+
+
+@query(
+    _LAW
+    + _MEMBERS
+    + _GROUP_ROWS
+    + """ SELECT artifact_id AS key, unnest(CASE scope WHEN 'numbering_bucket' THEN ['members complete', 'members unique', 'status'] WHEN 'segment' THEN ['scope'] ELSE CASE WHEN strategy = 'constitution_act_id_v1' THEN ['key'] ELSE [] END END) AS rule FROM zz"""
+)
+def group_violations(spark: SparkSession, d: str) -> DataFrame:
+    members = _members(spark, d)
+    stored = A.checked_groups(members, written(A.identity_groups(members, FILE, with_members=False), "groups"), FILE)
+    bucket = F.col("scope") == "numbering_bucket"
+    damaged = stored.withColumns(
+        {
+            "size": F.when(bucket, F.col("size") + 1).otherwise(F.col("size")),
+            "status": F.when(bucket, F.lit("settled")).otherwise(F.col("status")),
+            "scope": F.when(F.col("scope") == "segment", F.lit("chapter")).otherwise(F.col("scope")),
+            "source_identity_key": F.when(F.col("strategy") == A.CONSTITUTION, F.lit("")).otherwise(F.col("source_identity_key")),
+        }
+    )
+    return A.violations(damaged, A.checked_group_rules(), F.col("artifact_id"))
+
+
+@query(
+    _LAW
+    + _MEMBERS
+    + _ANNOTATED
+    + """ SELECT id AS key, unnest(CASE act_status WHEN 'repealed' THEN ['order'] WHEN 'omitted' THEN ['ordinal'] WHEN 'renumbered' THEN ['address', 'quality address'] WHEN 'transferred' THEN ['group', 'address'] WHEN 'reserved' THEN ['scope', 'quality address'] WHEN 'superseded' THEN ['confidence'] END) AS rule FROM ann"""
+)
+def member_violations(spark: SparkSession, d: str) -> DataFrame:
+    members = _members(spark, d)
+    stored = A.member_annotations(members, written(A.identity_groups(members, FILE, with_members=False), "groups"), FILE)
+    status = records(spark, d).select("source_record_id", "act_status")
+    damaged = stored.join(status, "source_record_id").withColumns(
+        {
+            "order_method": F.when(_status("repealed"), F.lit("alphabetical")).otherwise(F.col("order_method")),
+            "order_confidence": F.when(_status("superseded"), F.lit("sure")).otherwise(F.col("order_confidence")),
+            "segment_ordinal": F.when(_status("omitted"), -1).otherwise(F.col("segment_ordinal")),
+            "artifact_id": F.when(_status("renumbered"), F.reverse("artifact_id")).otherwise(F.col("artifact_id")),
+            "quality_id": F.when(_status("renumbered"), F.reverse("quality_id")).otherwise(F.col("quality_id")),
+            "group_id": F.when(_status("transferred"), F.lit("")).otherwise(F.col("group_id")),
+            "scope_id": F.when(_status("reserved"), F.lit("")).otherwise(F.col("scope_id")),
+        }
+    )
+    return A.violations(damaged, A.member_rules(), F.col("source_record_id"))
+
+
+@query(
+    _LAW
+    + _MEMBERS
+    + _ANNOTATED
+    + """ SELECT group_id, CASE WHEN count(*) FILTER (WHERE act_status = 'repealed') > 0 AND count(*) FILTER (WHERE act_status = 'omitted') > 0 THEN 'missing and repeated' WHEN count(*) FILTER (WHERE act_status = 'repealed') > 0 THEN 'missing' ELSE 'repeated' END AS problem
+FROM ann WHERE act_status IN ('repealed', 'omitted') GROUP BY 1"""
+)
+def annotation_links(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of which a member has no annotation (those of repealed records are left out) or two (omitted)."""
+    members = _members(spark, d)
+    groups = written(A.identity_groups(members, FILE, with_members=False), "groups")
+    notes = A.member_annotations(members, groups, FILE).join(records(spark, d).select("source_record_id", "act_status"), "source_record_id").where(~_status("repealed"))
+    return A.unlinked_members(members, groups, notes.unionByName(notes.where(_status("omitted"))), FILE)
+
+
+@query(
+    _LAW
+    + f""", a AS (SELECT {_SRR} AS id, text, act_status FROM law)
+SELECT id AS key, unnest(list_concat(CASE WHEN text IS NULL OR text = '' THEN ['text'] ELSE [] END, CASE WHEN act_status = 'repealed' THEN ['hash'] WHEN act_status = 'omitted' THEN ['status', 'text'] WHEN act_status = 'renumbered' THEN ['address'] ELSE [] END)) AS rule FROM a"""
+)
+def assembly_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Missing texts are said to be complete and empty ones to be none; digests of repealed records are lost."""
     rows = records(spark, d)
-    members = A.identity_members(rows, FILE, "row_ordinal")
-    groups = A.checked_groups(members, A.identity_groups(members, FILE, with_members=False), FILE)
-    assemblies_ = A.assembled(rows).join(rows.select("source_record_id", F.col("text").alias("assembled_text")), "source_record_id")
-    return (
-        A.violations(A.classified(rows), A.classification_rules(), F.col("source_record_id"))
-        .unionByName(A.violations(groups, A.checked_group_rules(), F.col("artifact_id")))
-        .unionByName(A.violations(assemblies_, A.assembly_rules(), F.col("source_record_id")))
+    stored = A.assembled(rows.select("source_record_id", "text", "act_status"), with_text=True, keep=("act_status",))
+    text = F.col("assembled_text")
+    damaged = stored.withColumns(
+        {
+            "status": F.when(_status("omitted"), F.lit("whole")).when(text.isNull(), F.lit("complete")).when(text == "", F.lit("noncomposable")).otherwise(F.col("status")),
+            "assembled_text_hash": F.when(_status("repealed"), F.lit(None)).otherwise(F.col("assembled_text_hash")),
+            "artifact_id": F.when(_status("renumbered"), F.reverse("artifact_id")).otherwise(F.col("artifact_id")),
+        }
     )
+    return A.violations(damaged, A.assembly_rules(), F.col("source_record_id"))
+
+
+@query(
+    _LAW
+    + _MEMBERS
+    + """ SELECT id AS key, unnest(CASE act_status WHEN 'repealed' THEN ['key', 'address'] WHEN 'omitted' THEN ['assembly', 'address'] WHEN 'renumbered' THEN ['key is no edge', 'address'] WHEN 'transferred' THEN ['address'] END) AS rule FROM k"""
+)
+def association_violations(spark: SparkSession, d: str) -> DataFrame:
+    keys = A.identity_members(records(spark, d), FILE, "row_ordinal", keep=("act_status",)).where("source_identity_key IS NOT NULL")
+    stored = A.associated(keys, "key_to_assembly", "1", keep=("act_status",))
+    damaged = stored.withColumns(
+        {
+            "source_identity_key": F.when(_status("repealed"), F.lit("")).when(_status("renumbered"), F.col("assembly_id")).otherwise(F.col("source_identity_key")),
+            "assembly_id": F.when(_status("omitted"), F.lit("")).otherwise(F.col("assembly_id")),
+            "artifact_id": F.when(_status("transferred"), F.reverse("artifact_id")).otherwise(F.col("artifact_id")),
+        }
+    )
+    return A.violations(damaged, A.association_rules("key_to_assembly", "1"), F.col("source_record_id"))
 
 
 # --------------------------------------------------------------------------- difference
@@ -549,7 +729,15 @@ def tree_sizes(spark: SparkSession, d: str) -> DataFrame:
     return nodes.groupBy("corpus").agg(F.count(F.lit(1)).alias("tree_nodes"), F.lit(0).cast("long").alias("multi_parent"))
 
 
-@query()
+@query(
+    _NODES
+    + r""", x AS (SELECT corpus, row_id, unnest(range(1, depth + 1)) AS i, keys, idents, labels FROM p),
+n AS (SELECT corpus, array_to_string(keys[:i], '/') AS path, array_to_string(keys[:i - 1], '/') AS parent, i, any_value(coalesce(idents[i], labels[i])) AS ident, min(row_id) AS first FROM x GROUP BY 1, 2, 3, 4),
+t AS (SELECT *, list_transform(regexp_extract_all(ident, '[0-9]+|[^0-9]+'), lambda y: CASE WHEN y[1] BETWEEN '0' AND '9' THEN '0' || lpad(y, 40, '0') ELSE '1' || y END) AS k FROM n),
+o AS (SELECT *, coalesce(k >= lag(k) OVER (PARTITION BY corpus, parent, i ORDER BY first, path), true) AS fine FROM t),
+sib AS (SELECT corpus, parent, i, count(*) AS kids, bool_and(fine) AS fine FROM o GROUP BY 1, 2, 3 HAVING count(*) > 1)
+SELECT corpus, count(*) AS parents, count(*) FILTER (WHERE fine) AS in_order FROM sib GROUP BY 1"""
+)
 def sibling_order(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.sibling_order(hierarchy.tree_nodes(levels(spark, d), "corpus", "row_id"), "corpus")
 
