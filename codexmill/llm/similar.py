@@ -100,7 +100,7 @@ def _describe(texts: DataFrame, width: int, min_words: int) -> DataFrame:
             np.add.at(counts, cells, 1)
             total += len(cells)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(_column(s.text)), _column(high), _column(low), _column(s.sizes.astype(np.int32)), _column(fresh), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names=names)
-        cells = np.flatnonzero(counts >= 3 + 2 * (total // CELLS))
+        cells = np.flatnonzero(counts >= 5 + 2 * (total // CELLS))
         n = len(cells)
         yield pa.RecordBatch.from_arrays([*[pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())], _column(cells.astype(np.int32)), _column(counts[cells])], names=names)
 
@@ -135,7 +135,10 @@ def _parity(s: ShingleSets) -> np.ndarray:
 
 
 #: What is posted: per part the sets of a batch (id, parity, size) and the entries of their shingles.
-_POSTED = {"ids": np.int64, "parity": np.uint64, "sizes": np.int32, "tokens": np.uint64, "positions": np.int32, "locals": np.int32, "sides": np.uint8}
+#: Shingles are told apart within a part by 32 bits; positions beyond 16 bits are written lower than
+#: they are, which keeps candidates only; sides are left out where all are 0.
+_POSTED = {"ids": np.int64, "parity": np.uint64, "sizes": np.int32, "tokens": np.uint32, "positions": np.uint16, "locals": np.uint16, "sides": np.uint8}
+_LAST_POSITION = (1 << 16) - 1
 _POSTED_SCHEMA = "part int, " + ", ".join(f"{c} binary" for c in _POSTED)
 
 
@@ -180,11 +183,17 @@ class _Entries:
         for chunk in np.split(by, np.flatnonzero(np.diff(part[by])) + 1):
             if len(chunk):
                 used, local = np.unique(self.owner[chunk], return_inverse=True)
-                columns = (sets.ids[used], sets.parity[used], sets.sizes[used], self.token[chunk], self.position[chunk], local, self.side[chunk])
-                rows.append((int(part[chunk[0]]), *(c.astype(k).tobytes() for c, k in zip(columns, _POSTED.values()))))
+                side = self.side[chunk] if self.side[chunk].any() else np.zeros(0)
+                columns = (sets.ids[used], sets.parity[used], sets.sizes[used], self.token[chunk], np.minimum(self.position[chunk], _LAST_POSITION), local, side)
+                kinds = _POSTED | {"locals": _local_type(len(used))}
+                rows.append((int(part[chunk[0]]), *(c.astype(k).tobytes() for c, k in zip(columns, kinds.values()))))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, len(_POSTED) + 1)]], names=["part", *_POSTED])
 
 
+def _local_type(sets: int) -> type:
+    return np.uint16 if sets <= 1 << 16 else np.uint32
+
+
 def _post(texts: DataFrame, width: int, min_words: int, t: Fraction, frequent, parts: int, crowd: int) -> DataFrame:
     """Postings of each class, packed by part. A shingle that n sets are known to have, n over four
     times ``crowd``, has n / ``crowd`` blocks."""
@@ -214,9 +223,10 @@ def _post(texts: DataFrame, width: int, min_words: int, t: Fraction, frequent, p
 def _unpacked(table: pa.Table) -> tuple[_Sets, _Entries]:
     blobs = {c: table.column(c).to_pylist() for c in _POSTED}
     join = lambda c: np.concatenate([np.frombuffer(b, _POSTED[c]) for b in blobs[c]])
-    base = np.cumsum([0] + [len(b) // 8 for b in blobs["ids"]])
-    owner = np.concatenate([np.frombuffer(b, np.int32) + at for b, at in zip(blobs["locals"], base)])
-    return _Sets(join("ids"), join("parity").reshape(-1, PARITY), join("sizes").astype(np.int64)), _Entries(join("tokens"), owner, join("positions").astype(np.int64), join("sides"))
+    n = [len(b) // 8 for b in blobs["ids"]]
+    owner = np.concatenate([np.frombuffer(b, _local_type(k)).astype(np.int64) + at for b, k, at in zip(blobs["locals"], n, np.cumsum([0] + n))])
+    sides = np.concatenate([np.frombuffer(b, np.uint8) if b else np.zeros(len(t) // 4, np.uint8) for b, t in zip(blobs["sides"], blobs["tokens"])])
+    return _Sets(join("ids"), join("parity").reshape(-1, PARITY), join("sizes").astype(np.int64)), _Entries(join("tokens").astype(np.uint64), owner, join("positions").astype(np.int64), sides)
 
 
 def _lists(sets: _Sets, e: _Entries) -> tuple[_Entries, np.ndarray, np.ndarray]:
