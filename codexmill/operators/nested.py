@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -198,6 +199,7 @@ def nested_nodes(
     path: str = "display_path",
     separator: str = " / ",
     with_fields: bool = True,
+    record: str | None = None,
 ) -> DataFrame:
     """One row per object of each record's ``document``, with interval labels and parent link.
 
@@ -205,6 +207,8 @@ def nested_nodes(
     that holds the object or its array) and, if asked for, ``fields``, the object's scalar and array
     members as JSON text: in their order, repeated keys as often as they are there, numbers as written.
     In an array, an object is written ``{"pre": n}`` by its node's number, so mixed arrays stay whole.
+    ``record`` names a further column that numbers the input rows, for joins of a written table of
+    nodes with itself where keys may be null or repeated.
 
     Defined cases: a document is used if it is strict JSON whose top level is a non-empty array of
     objects only; for any other (null, blank, damaged, other top level) the segments of ``path``
@@ -219,10 +223,12 @@ def nested_nodes(
             *(T.StructField(n, T.IntegerType()) for n in ("pre", "post", "level", "parent_pre")),
             T.StructField("kind", T.StringType()),
             *([T.StructField("fields", T.StringType())] if with_fields else []),
+            *([T.StructField(record, T.LongType())] if record else []),
         ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
         for batch in by_bytes(batches, 1):
             keys, take = batch.column(0), []
             pre, post, level, parent, kind, fields = [], [], [], [], [], []
@@ -254,9 +260,10 @@ def nested_nodes(
             if take:
                 ints = [pa.array(x, pa.int32()) for x in (pre, post, level, parent)]
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(take)), *ints, pa.array(kind, pa.string()), *([pa.array(fields, pa.string())] if with_fields else [])],
+                    [keys.take(pa.array(take)), *ints, pa.array(kind, pa.string()), *([pa.array(fields, pa.string())] if with_fields else []), *([pa.array([at + i for i in take], pa.int64())] if record else [])],
                     names=schema.names,
                 )
+            at += len(keys)
 
     source = df.select(F.col(key), F.col(document).cast("string").alias("__document"), F.col(path).cast("string").alias("__path"))
     return source.mapInArrow(run, schema)
@@ -274,12 +281,14 @@ def node_table(nodes: DataFrame, kind: str, fields: dict[str, str]) -> DataFrame
     )
 
 
-def link_by_containment(children: DataFrame, parents: DataFrame, key: str = "row_id") -> DataFrame:
+def link_by_containment(children: DataFrame, parents: DataFrame, key: str = "record") -> DataFrame:
     """Each node of ``children`` with ``ancestor_pre``, the innermost node of ``parents`` around it.
 
-    The nodes of both tables of a record are swept in pre-order; an interval is open while the nodes
-    that follow lie within it. The shuffle is on the record's key, so a record's nodes meet in one
-    task and nothing larger than a record does. Children outside every parent get null.
+    ``key`` tells records apart: the number of the input row that :func:`nested_nodes` gives as
+    ``record``, or another key that is neither null nor repeated. The nodes of both tables of a record
+    are swept in pre-order; an interval is open while the nodes that follow lie within it. The shuffle
+    is on ``key``, so a record's nodes meet in one task and nothing larger than a record does.
+    Children outside every parent get null. A node that is in both tables isn't its own ancestor.
     """
     both = (
         children.select(F.col(key), "pre", "post", F.lit(1).alias("child"))
@@ -297,10 +306,10 @@ def link_by_containment(children: DataFrame, parents: DataFrame, key: str = "row
                     while around and around[-1][1] < n["post"]:
                         around.pop()
                     if n["child"]:
-                        outer = [a for a in around if a[0] != n["pre"]]
+                        last = 2 if around and around[-1][0] == n["pre"] else 1
                         take.append(i)
                         pre.append(n["pre"])
-                        ancestor.append(outer[-1][0] if outer else None)
+                        ancestor.append(around[-last][0] if len(around) >= last else None)
                     else:
                         around.append((n["pre"], n["post"]))
             yield pa.RecordBatch.from_arrays(

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexmill.operators.nested import nested_nodes
+from codexmill.operators.nested import link_by_containment, nested_nodes, node_table
 from codexmill.operators.profile import control_limits, load_metrics, profile_loads
 from codexmill.operators.snapshots import snapshot_changes
+from codexmill.operators.workspace import written
 from codexmill.schema import INTEGER_COLUMNS, SNAPSHOT_COLUMNS
 from codexmill.sources.tables import table
 
@@ -21,6 +24,33 @@ def p1_nodes(spark: SparkSession, d: str) -> DataFrame:
     return nested_nodes(table(spark, d, "source_records"))
 
 
+def p1_labels(spark: SparkSession, d: str) -> DataFrame:
+    return nested_nodes(table(spark, d, "source_records"), with_fields=False)
+
+
+#: The node tables of the kinds that breadcrumbs have, with the members of each.
+NODE_TABLES = {
+    "p1_levels": ("breadcrumb", ("type", "num", "label", "name")),
+    "p1_provisions": ("parts", ("type", "num", "label", "name")),
+    "p1_notes": ("notes", ("kind", "body")),
+    "p1_references": ("refs", ("cite", "target")),
+    "p1_sources": ("source", ("url", "as_of")),
+}
+
+
+def _node_table(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    kind, members = NODE_TABLES[name]
+    return lambda spark, d: node_table(p1_nodes(spark, d), kind, dict.fromkeys(members, "string"))
+
+
+def p1_reference_provisions(spark: SparkSession, d: str) -> DataFrame:
+    """Each reference with the innermost provision around it, found by the intervals of the two tables."""
+    nodes = written(nested_nodes(table(spark, d, "source_records"), with_fields=False, record="record"), "nodes")
+    references = nodes.where("kind = 'refs'")
+    links = link_by_containment(references, nodes.where("kind = 'parts'"))
+    return references.join(links, ["record", "pre"]).select("row_id", "pre", F.col("ancestor_pre").alias("provision_pre"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return profile_loads(table(spark, d, "law_rows"), table(spark, d, "file_loads"))
 
@@ -115,7 +145,7 @@ WITH RECURSIVE v AS (
   SELECT row_id, breadcrumb, display_path, json_valid(breadcrumb) AND json_type(breadcrumb) = 'ARRAY' AND json_array_length(breadcrumb) > 0
     AND len(list_filter(from_json(breadcrumb, '["JSON"]'), lambda x: json_type(x) <> 'OBJECT')) = 0 AS ok
   FROM (SELECT row_id, display_path, CASE WHEN json_valid(breadcrumb) THEN breadcrumb END AS breadcrumb FROM source_records)
-), t AS (SELECT v.row_id, j.id, j.parent, j.type, j.key FROM v, json_tree(v.breadcrumb) j WHERE v.ok),
+), t AS (SELECT v.row_id, j.id, j.parent, j.type, j.key, j.value FROM v, json_tree(v.breadcrumb) j WHERE v.ok),
 up AS (
   SELECT row_id, id, parent AS above, CASE WHEN key IS NOT NULL AND NOT regexp_matches(key, '^[0-9]+$') THEN key END AS kind FROM t WHERE type = 'OBJECT'
   UNION ALL
@@ -125,13 +155,49 @@ up AS (
   SELECT u.row_id, u.id, u.above, u.kind, row_number() OVER (PARTITION BY u.row_id ORDER BY u.id) - 1 AS n
   FROM up u LEFT JOIN t a ON a.row_id = u.row_id AND a.id = u.above WHERE a.type = 'OBJECT' OR u.above IS NULL
 ), p AS (
-  SELECT o.row_id, o.n, CASE WHEN o.above IS NULL THEN coalesce(max(CASE WHEN o.above IS NULL THEN o.n END) OVER (PARTITION BY o.row_id ORDER BY o.n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) ELSE a.n END AS parent,
+  SELECT o.row_id, o.id, o.n, CASE WHEN o.above IS NULL THEN coalesce(max(CASE WHEN o.above IS NULL THEN o.n END) OVER (PARTITION BY o.row_id ORDER BY o.n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) ELSE a.n END AS parent,
     CASE WHEN o.above IS NULL THEN 'breadcrumb' ELSE o.kind END AS kind
   FROM o LEFT JOIN o a ON a.row_id = o.row_id AND a.id = o.above
 ), d AS (SELECT row_id, len(string_split(display_path, ' / ')) - 1 AS k FROM v WHERE ok IS NOT TRUE AND display_path IS NOT NULL)
-SELECT row_id, n::INTEGER AS item_no, parent::INTEGER AS parent_no, kind AS item_kind FROM p
-UNION ALL SELECT row_id, i::INTEGER, i::INTEGER - 1, 'display_path' FROM (SELECT row_id, unnest(range(k)) AS i FROM d)
+, items AS (
+  SELECT row_id, n::INTEGER AS item_no, parent::INTEGER AS parent_no, kind AS item_kind, id FROM p
+  UNION ALL SELECT row_id, i::INTEGER, i::INTEGER - 1, 'display_path', NULL FROM (SELECT row_id, unnest(range(k)) AS i FROM d)
+)
+"""
+_FOUND_SQL = _NODES_SQL + "SELECT row_id, item_no, parent_no, item_kind FROM items"
+# Ancestors by climbing; a node's post-order number follows from its place, depth and descendants.
+_CLIMB_SQL = (
+    _NODES_SQL
+    + """, climb AS (
+  SELECT row_id, item_no, parent_no AS above FROM items WHERE parent_no >= 0
+  UNION ALL SELECT c.row_id, c.item_no, i.parent_no FROM climb c JOIN items i ON i.row_id = c.row_id AND i.item_no = c.above WHERE i.parent_no >= 0
+), deep AS (SELECT row_id, item_no, count(*)::INTEGER AS level FROM climb GROUP BY 1, 2), wide AS (SELECT row_id, above AS item_no, count(*)::INTEGER AS within FROM climb GROUP BY 1, 2),
+labels AS (SELECT row_id, item_no AS pre, item_no - coalesce(level, 0) + coalesce(within, 0) AS post, coalesce(level, 0) AS level, parent_no AS parent_pre, item_kind AS kind, id
+  FROM items LEFT JOIN deep USING (row_id, item_no) LEFT JOIN wide USING (row_id, item_no))
+"""
+)
+_LABELS_SQL = _CLIMB_SQL + "SELECT row_id, pre, post, level, parent_pre, kind FROM labels"
+_REFERENCES_SQL = (
+    _CLIMB_SQL
+    + """SELECT r.row_id, r.item_no AS pre, max(a.item_no) AS provision_pre FROM items r LEFT JOIN (SELECT c.row_id, c.item_no AS below, i.item_no FROM climb c JOIN items i ON i.row_id = c.row_id AND i.item_no = c.above WHERE i.item_kind = 'parts') a
+  ON a.row_id = r.row_id AND a.below = r.item_no WHERE r.item_kind = 'refs' GROUP BY 1, 2"""
+)
+
+
+def _node_table_sql(name: str) -> str:
+    kind, members = NODE_TABLES[name]
+    values = ", ".join(f"t.value->>'$.{m}' AS {m}" for m in members)
+    return _CLIMB_SQL + f"SELECT l.row_id, pre, post, level, parent_pre, {values} FROM labels l JOIN t ON t.row_id = l.row_id AND t.id = l.id WHERE l.kind = '{kind}'"
+
+
+_LIMITS_SQL = f"""
+WITH m AS ({_metrics_sql()}),
+r AS (SELECT load_id, source_file, snapshot_version, column_name, metric, c / row_count AS value
+  FROM (SELECT m.*, f.source_file, f.snapshot_version, unnest(['null', 'empty', 'distinct']) AS metric, unnest([null_count, empty_count, distinct_count]) AS c FROM m JOIN file_loads f USING (load_id) WHERE row_count > 0)),
+s AS (SELECT *, avg(value) OVER w AS center, stddev_samp(value) OVER w AS spread, count(value) OVER w AS seen FROM r
+  WINDOW w AS (PARTITION BY source_file, column_name, metric ORDER BY snapshot_version, load_id ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))
+SELECT load_id, column_name, metric, value, center FROM s WHERE seen >= 2 AND abs(value - center) > greatest(0.02, 3 * coalesce(spread, 0))
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nodes, p2_found, p2_metrics, p2_control_limits, p3_found)}
-ORACLES = {"p1_found": _NODES_SQL, "p2_found": _profile_sql(), "p2_metrics": _metrics_sql(), "p3_found": _CHANGES_SQL}
+QUERIES = {f.__name__: f for f in (p1_found, p1_nodes, p1_labels, p1_reference_provisions, p2_found, p2_metrics, p2_control_limits, p3_found)} | {n: _node_table(n) for n in NODE_TABLES}
+ORACLES = {"p1_found": _FOUND_SQL, "p1_labels": _LABELS_SQL, "p1_reference_provisions": _REFERENCES_SQL, "p2_found": _profile_sql(), "p2_metrics": _metrics_sql(), "p2_control_limits": _LIMITS_SQL, "p3_found": _CHANGES_SQL} | {n: _node_table_sql(n) for n in NODE_TABLES}

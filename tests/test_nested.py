@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from codexmill.operators.nested import _decode_deep, containing, label_tree, link_by_containment, nested_nodes, node_table, strict_json
+from codexmill.operators.workspace import written
 
 SCHEMA = "row_id long, breadcrumb string, display_path string, pre string, kind long"
 
@@ -93,8 +94,17 @@ def test_typed_tables_and_links(spark):
     top, refs = node_table(nodes, "breadcrumb", {"num": "int"}), node_table(nodes, "refs", {"c": "string"})
     assert [r["num"] for r in top.orderBy("pre").collect()] == [1, 2]
     assert [r["c"] for r in refs.orderBy("pre").collect()] == ["r1", "r2"]
-    assert {(r["pre"], r["ancestor_pre"]) for r in link_by_containment(refs, top).collect()} == {(3, 1), (4, 1)}
-    assert {(r["pre"], r["ancestor_pre"]) for r in link_by_containment(top, top).collect()} == {(0, None), (1, 0)}
+    assert {(r["pre"], r["ancestor_pre"]) for r in link_by_containment(refs, top, "row_id").collect()} == {(3, 1), (4, 1)}
+    assert {(r["pre"], r["ancestor_pre"]) for r in link_by_containment(top, top, "row_id").collect()} == {(0, None), (1, 0)}
+
+
+def test_links_of_repeated_and_null_keys(spark):
+    """Trees under one key, or none, are linked each by itself."""
+    rows = [(1, '[{"a": {}, "b": {}}]', None), (1, "[{}, {}, {}]", None), (None, '[{"a": {}}]', None), (None, "[{}]", None)]
+    nodes = written(nested_nodes(spark.createDataFrame(rows, "row_id long, breadcrumb string, display_path string"), record="record"), "nodes")
+    linked = nodes.join(link_by_containment(nodes, nodes), ["record", "pre"])
+    assert linked.count() == 9 and linked.where("coalesce(ancestor_pre, -1) <> parent_pre").count() == 0
+    assert linked.select("record").distinct().count() == 4
 
 
 def test_values_of_arrays_are_kept(spark):
