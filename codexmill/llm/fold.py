@@ -25,12 +25,14 @@ from pyspark.sql import types as T
 from codexmill.llm.words import find_words
 from codexmill.operators.batches import by_bytes
 from codexmill.operators.skew import join_by_weight
-from codexmill.operators.workspace import written
+from codexmill.operators.workspace import discard, written
 
 #: Labels of the fields that may open a text. Their place is their column in tuples.
 LABELS = ("authority", "source", "effective", "agency")
 KEY, BODY, FIRST_FIELD = 0, 1, 2
 
+_LONGEST_LABEL = max(map(len, LABELS))
+_word = re.compile(r"[^\W_]+").finditer
 _BLANK_LINE = re.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:\r\n?|\n)")
 _SEPARATOR = re.compile(r"[|;\r\n]")
 _FIELD = re.compile(rf"\s*({'|'.join(LABELS)})\s*:(.*)", re.IGNORECASE | re.DOTALL)
@@ -75,7 +77,13 @@ def _text_entries(text: str | None, min_words: int) -> list[tuple[int, int, int]
 
 
 def _opening(text: str | None) -> bool:
-    return bool(text) and letters(text[:200]).startswith(LABELS)
+    """Whether the letters of a text begin with a label, whatever stands before and between them."""
+    first = ""
+    for m in _word(text or ""):
+        first += m[0].casefold()
+        if len(first) >= _LONGEST_LABEL:
+            break
+    return first.startswith(LABELS)
 
 
 _ENTRY = pa.list_(pa.struct([("column", pa.int32()), ("high", pa.int64()), ("low", pa.int64())]))
@@ -123,12 +131,16 @@ def encoded_records(df: DataFrame, row_id: str, key: str, text: str, min_words:
     if not loose.take(1):
         return records
     parsed = records.where(F.col("plain").isNotNull() & (F.col("fields") > 0)).groupBy("plain").agg(F.min("entries").alias("better"))
-    mended = loose.join(parsed, "plain", "left").withColumn("entries", F.coalesce("better", "entries")).drop("better")
-    return written(records.where(~(F.col("plain").isNotNull() & (F.col("fields") == 0))).unionByName(mended), "fold-mended")
+    # One row per digest with its number of rows, so that one that many have doesn't meet in one task.
+    known = written(loose.groupBy("plain").agg(F.count(F.lit(1)).alias("__n")).join(parsed, "plain", "left"), "fold-openings")
+    mended = join_by_weight(loose, known, ["plain"], "__n").withColumn("entries", F.coalesce("better", "entries")).drop("better", "__n")
+    out = written(records.where(~(F.col("plain").isNotNull() & (F.col("fields") == 0))).unionByName(mended), "fold-mended")
+    discard(records, known)
+    return out
 
 
 def record_tuples(records: DataFrame) -> DataFrame:
-    """(row_id, number, tuple) of the records all of whose values another record has too."""
+    """(row_id, number, tuple) of the records all of whose values another record has too, a written table."""
     values = records.select("number", F.explode("entries").alias("e")).select("number", "e.*")
     dictionary = written(
         values.groupBy("column", "high", "low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("id", F.monotonically_increasing_id()),
@@ -137,13 +149,15 @@ def record_tuples(records: DataFrame) -> DataFrame:
     coded = join_by_weight(values, dictionary, ["column", "high", "low"], "n").groupBy("number").agg(
         F.sort_array(F.collect_list(F.struct("column", "id"))).alias("tuple")
     )
-    return records.join(coded, "number").where(F.size("tuple") == F.size("entries")).select("row_id", "number", "tuple")
+    tuples = written(records.join(coded, "number").where(F.size("tuple") == F.size("entries")).select("row_id", "number", "tuple"), "fold-tuples")
+    discard(dictionary)
+    return tuples
 
 
 def formatting_groups(df: DataFrame, row_id: str = "row_id", key: str = "act_id", text: str = "text", min_words: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Records, tuples and groups (tuple, kept, copies) of two or more copies, all written tables."""
     records = encoded_records(df, row_id, key, text, min_words)
-    tuples = written(record_tuples(records), "fold-tuples")
+    tuples = record_tuples(records)
     groups = written(
         tuples.groupBy("tuple").agg(F.min(F.struct("row_id", "number")).alias("kept"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "fold-groups"
     )
@@ -157,7 +171,8 @@ def formatting_copies(df: DataFrame, row_id: str = "row_id", key: str = "act_id"
     one's copies. A null key has no letters. Repeated rows are copies of each other, also under one
     id. Other columns are never read. An empty table gives no rows.
     """
-    _, tuples, groups = formatting_groups(df, row_id, key, text, min_words)
+    records, tuples, groups = formatting_groups(df, row_id, key, text, min_words)
+    discard(records)
     return (
         join_by_weight(tuples, groups, ["tuple"], "copies")
         .where(F.col("number") != F.col("kept.number"))

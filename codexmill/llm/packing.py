@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codexmill.operators.batches import by_bytes
-from codexmill.operators.workspace import written
+from codexmill.operators.workspace import discard, written
 
 #: Fixed value: the published pattern that splits text before the merges of byte-level BPE ranks.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -37,11 +37,19 @@ DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 DIMENSIONS, BITS, BUCKETS, SEED = 3, 16, 4096, 20240229
 
 
-@functools.lru_cache(2)
-def tokenizer(ranks_file: str) -> tiktoken.Encoding:
-    """The byte-level BPE whose ranks the file lists."""
+def read_ranks(ranks_file: str, most: int = 64 << 20) -> bytes:
+    """The file of a tokenizer's ranks, which is broadcast; a file larger than that is none."""
     with open(ranks_file, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = f.read(most + 1)
+    if len(ranks) > most:
+        raise ValueError(f"{ranks_file} has more than {most} bytes")
+    return ranks
+
+
+@functools.lru_cache(2)
+def tokenizer(ranks_bytes: bytes) -> tiktoken.Encoding:
+    """The byte-level BPE with the given ranks, a token and its rank per line."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_bytes.splitlines())}
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -56,10 +64,11 @@ def _directions(tokens: int) -> np.ndarray:
 
 def measure_texts(df: DataFrame, doc_id: str, text: str, ranks_file: str) -> DataFrame:
     """(doc_id, n_tokens, point): tokens of each text and the mean projection of their buckets."""
+    ranks = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_file))
     schema = T.StructType([T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("n_tokens", T.LongType()), *(T.StructField(f"x{i}", T.FloatType()) for i in range(DIMENSIONS))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = tokenizer(ranks_file)
+        encoding = tokenizer(ranks.value)
         encode, towards = encoding.encode_ordinary, _directions(encoding.n_vocab)
         for batch in by_bytes(batches, 1):
             tokens = [np.array(encode(t), np.int64) if t else np.zeros(0, np.int64) for t in batch.column(1).to_pylist()]
@@ -159,15 +168,16 @@ def pack_texts(
     text: str = "text",
     ranks_file: str = DEFAULT_RANKS,
     range_items: int = 100_000,
-    stretch: int = 4096,
-    most_open: int = 1024,
+    stretch: int = 512,
+    most_open: int = 128,
     most_budgets: int = 1000,
 ) -> DataFrame:
     """A container for every text, or piece of one, under each budget.
 
     Columns: budget_id, container_id (unique within the result), doc_id, piece_no, start_token,
     n_tokens. The tokens of a container never exceed the budget's ``capacity_tokens``. A text is
-    cut only if it is longer than that, at multiples of the capacity.
+    cut only if it is longer than that, at multiples of the capacity. A longer ``stretch`` and more open
+    containers leave less unused space, and bring texts together that are farther apart on the curve.
 
     Defined cases: null and empty texts have no tokens and get a container like any other. Null or
     repeated ids are kept. Budgets with a null or non-positive capacity give no rows; more than
@@ -181,7 +191,9 @@ def pack_texts(
     schema = T.StructType([T.StructField("budget_id", budget_type), T.StructField("container_id", T.LongType()), T.StructField(doc_id, id_type), T.StructField("piece_no", T.IntegerType()), T.StructField("start_token", T.LongType()), T.StructField("n_tokens", T.LongType())])
     if not limits:
         return df.sparkSession.createDataFrame([], schema)
-    placed = written(place_on_curve(written(measure_texts(df, doc_id, text, ranks_file), "packing-sizes")).withColumn("number", F.monotonically_increasing_id()), "packing-places")
+    measured = written(measure_texts(df, doc_id, text, ranks_file), "packing-sizes")
+    placed = written(place_on_curve(measured).withColumn("number", F.monotonically_increasing_id()), "packing-places")
+    discard(measured)
     each = F.explode(F.array(*[F.struct(F.lit(b).cast(budget_type).alias("budget_id"), F.lit(c).cast("long").alias("capacity")) for b, c in limits]))
     items = placed.select("doc_id", "n_tokens", "place", "number", each.alias("b")).select("doc_id", "n_tokens", "place", "number", "b.*")
     ranges = max(1, math.ceil(placed.count() * len(limits) / range_items))
@@ -227,3 +239,36 @@ def pack_texts(
         .select("doc_id", "n_tokens", "budget_id", "capacity")
         .mapInArrow(run, schema)
     )
+
+
+def packing_report(packed: DataFrame, docs: DataFrame, budgets: DataFrame, kind: str, doc_id: str = "doc_id") -> DataFrame:
+    """Per budget what a packing must keep, and how good it is, from a written table of its containers.
+
+    Columns: budget_id, pieces, texts (first pieces), tokens, containers, least_containers (no packing
+    needs fewer), overfull containers, gaps (pieces that don't begin where the one before ends), split
+    (texts in pieces that would fit whole), and the share of pairs of texts in a container that are
+    alike in ``kind``, a column of ``docs``, beside that share among all pairs of texts.
+    """
+    capacity = budgets.select("budget_id", F.col("capacity_tokens").cast("long").alias("capacity"))
+    rows = packed.join(F.broadcast(capacity), "budget_id")
+    loads = rows.groupBy("budget_id", "container_id").agg(F.sum("n_tokens").alias("load"), F.max("capacity").alias("capacity")).groupBy("budget_id").agg(
+        F.count(F.lit(1)).alias("containers"), F.count(F.when(F.col("load") > F.col("capacity"), 1)).alias("overfull"), F.ceil(F.sum("load") / F.max("capacity")).alias("least_containers")
+    )
+    first, full = F.col("piece_no") == 0, F.col("n_tokens") == F.col("capacity")
+    pieces = rows.groupBy("budget_id").agg(
+        F.count(F.lit(1)).alias("pieces"),
+        F.count(F.when(first, 1)).alias("texts"),
+        F.sum("n_tokens").alias("tokens"),
+        F.count(F.when(F.col("start_token") != F.col("piece_no") * F.col("capacity"), 1)).alias("gaps"),
+        F.count(F.when(~first & (F.col("n_tokens") == 0), 1)).alias("split"),
+        F.count(F.when(~first, 1)).alias("__later"),
+        F.count(F.when(full, 1)).alias("__full"),
+    )
+    # A text has a later piece only after one that fills a container.
+    pieces = pieces.withColumn("split", F.col("split") + F.greatest(F.col("__later") - F.col("__full"), F.lit(0))).drop("__later", "__full")
+    kinds = docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.min(kind).alias("__kind"))
+    firsts = rows.where(first & F.col(doc_id).isNotNull()).select("budget_id", "container_id", doc_id).join(kinds, doc_id)
+    # The squares of counts less the counts are the ordered pairs of equal texts.
+    pairs = lambda by, name: firsts.groupBy(*by, "__kind").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy(*by).agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("same"), F.sum("n").alias("n")).groupBy("budget_id").agg((F.sum("same") / F.sum(F.col("n") * (F.col("n") - 1))).alias(name))
+    inside, among = pairs(["budget_id", "container_id"], "alike_inside"), pairs(["budget_id"], "alike_among_all")
+    return loads.join(pieces, "budget_id").join(inside, "budget_id", "left").join(among, "budget_id", "left")

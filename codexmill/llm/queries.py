@@ -5,12 +5,14 @@ from __future__ import annotations
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codexmill.llm.fold import collapsed_records, formatting_copies
 from codexmill.llm.leaks import find_leaks
-from codexmill.llm.packing import pack_texts
+from codexmill.llm.packing import pack_texts, packing_report
 from codexmill.llm.sentences import split_sentences
-from codexmill.llm.similar import similar_classes, similar_pairs
+from codexmill.llm.similar import class_links, similar_classes, similar_pairs
+from codexmill.operators.workspace import written
 from codexmill.sources.tables import table
 
 
@@ -26,10 +28,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(*similar_classes(table(spark, d, "source_records"), width=3, threshold=Fraction(3, 5), min_words=30))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every record's class and the links of its class, at five words and a similarity of 0.8."""
+    return class_links(*similar_classes(table(spark, d, "source_records")))
+
+
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(table(spark, d, "documents"), table(spark, d, "pack_budgets"))
 
 
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """What every packing must keep, per budget. Near the least number of containers means within 2 %;
+    neighbours are alike if texts in a container have one language a quarter more often than any two."""
+    docs, budgets = table(spark, d, "documents"), table(spark, d, "pack_budgets")
+    report = packing_report(written(pack_texts(docs, budgets), "packed"), docs, budgets, "lang")
+    near = F.col("containers") <= F.ceil(F.col("least_containers") * 1.02) + 1
+    return report.select("budget_id", "texts", "overfull", "gaps", "split", near.alias("near_least"), (F.col("alike_inside") > 1.25 * F.col("alike_among_all")).alias("neighbours_alike"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -53,6 +69,16 @@ SELECT a AS row_id_a, b AS row_id_b FROM o JOIN n x ON x.row_id = a JOIN n y ON
 WHERE o * 5 >= 3 * (x.n + y.n - o)
 """
 
+_CLASSES_SQL = """
+WITH w AS (SELECT row_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM source_records WHERE row_id IS NOT NULL),
+s AS (SELECT DISTINCT row_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT row_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+n AS (SELECT row_id, count(*) AS n, md5(string_agg(s, '|' ORDER BY s)) AS h FROM s GROUP BY 1),
+c AS (SELECT row_id, n, min(row_id) OVER (PARTITION BY h) AS class_id, count(*) OVER (PARTITION BY h) AS copies FROM n),
+k AS (SELECT s.row_id, s.s, c.n FROM s JOIN c USING (row_id) WHERE c.row_id = c.class_id),
+o AS (SELECT a.row_id AS a, b.row_id AS b FROM k a JOIN k b ON a.s = b.s AND a.row_id <> b.row_id GROUP BY 1, 2 HAVING count(*) * 5 >= 4 * (any_value(a.n) + any_value(b.n) - count(*)))
+SELECT row_id, class_id, copies, (SELECT count(*) FROM o WHERE o.a = c.class_id) AS links FROM c
+"""
+
 _BARE = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 _END = "(\\r\\n|\\r|\\n)[ \\t\\f\\v]*(\\r\\n|\\r|\\n)"
 _COPIES_SQL = f"""
@@ -64,8 +90,9 @@ f AS (SELECT *, list_filter(regexp_split_to_array(head, '[|;\\r\\n]'), lambda x:
 g AS (SELECT row_id, {_BARE.format("coalesce(act_id, '')")} AS k, b, rest, parts,
   len(parts) > 0 AND len(list_filter(parts, lambda x: NOT regexp_matches(x, '(?i)^\\s*(authority|source|effective|agency)\\s*:'))) = 0 AS ok FROM f),
 c AS (SELECT row_id, k, CASE WHEN ok THEN list_sort(list_transform(parts, lambda x: {_BARE.format("x")})) ELSE [] END AS fields, {_BARE.format("CASE WHEN ok THEN rest ELSE b END")} AS body FROM g)
-SELECT kept_row_id, row_id FROM (SELECT row_id, min(row_id) OVER (PARTITION BY k, fields, body) AS kept_row_id FROM c) WHERE row_id <> kept_row_id
 """
+_COLLAPSED_SQL = _COPIES_SQL + "SELECT min(row_id) AS row_id, count(*) AS copies FROM c GROUP BY k, fields, body"
+_COPIES_SQL += "SELECT kept_row_id, row_id FROM (SELECT row_id, min(row_id) OVER (PARTITION BY k, fields, body) AS kept_row_id FROM c) WHERE row_id <> kept_row_id"
 _HAN = "[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}]"
 _LEAKS_SQL = f"""
 WITH t AS (SELECT false AS held, doc_id AS id, text FROM documents UNION ALL SELECT true, item_id, text FROM eval_items),
@@ -74,5 +101,10 @@ g AS (SELECT held, id, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT held,
 SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.g = i.g WHERE NOT d.held AND i.held
 """
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_collapsed, p5_found, p6_pack, p7_found, p7_paraphrases, p8_found)}
-ORACLES = {"p4_found": _COPIES_SQL, "p5_found": _SIMILAR_SQL, "p7_found": _LEAKS_SQL}
+_PACKED_SQL = """
+SELECT budget_id, (SELECT count(*) FROM documents) AS texts, 0::BIGINT AS overfull, 0::BIGINT AS gaps, 0::BIGINT AS split, true AS near_least, true AS neighbours_alike
+FROM pack_budgets WHERE capacity_tokens > 0
+"""
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_collapsed, p5_found, p5_classes, p6_pack, p6_report, p7_found, p7_paraphrases, p8_found)}
+ORACLES = {"p4_found": _COPIES_SQL, "p4_collapsed": _COLLAPSED_SQL, "p5_found": _SIMILAR_SQL, "p5_classes": _CLASSES_SQL, "p6_report": _PACKED_SQL, "p7_found": _LEAKS_SQL}

@@ -467,6 +467,16 @@ def join_classes(sets: DataFrame, classes: DataFrame) -> DataFrame:
     return join_by_weight(sets.select("row_id", "high", "low"), classes.drop("size"), ["high", "low"], "copies").select("row_id", "kept", "copies")
 
 
+def class_links(membership: DataFrame, links: DataFrame) -> DataFrame:
+    """(row_id, class_id, copies, links): the class of each record, its size, and to how many other
+    classes it is similar. This holds the whole relation, with the links between classes, in as many
+    rows as there are records; :func:`similar_pairs` spells it out."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("kept")).groupBy("kept").agg(F.count(F.lit(1)).alias("links"))
+    classes = membership.groupBy("kept").agg(F.count(F.lit(1)).alias("copies")).join(ends, "kept", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
+    joined = join_by_weight(membership.select("row_id", "kept"), written(classes, "similar-links-of"), ["kept"], "copies")
+    return joined.select("row_id", F.col("kept").alias("class_id"), "copies", "links")
+
+
 def similar_pairs(membership: DataFrame, links: DataFrame, expand: int = 256) -> DataFrame:
     """(row_id_a, row_id_b), the first smaller: the linked pairs of records.
 

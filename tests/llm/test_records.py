@@ -162,6 +162,24 @@ def test_leaders_answer_for_close_sets():
     assert sorted(n for n in counted if n > 50) == [100] * 4  # the leader with 2, 3 and 5, and 4 with 5: not 2 with 3, nor 3 with 5
 
 
+def test_classes_hold_every_link(spark):
+    rows = similar_rows(120, 3) + [(None, "a", BODY), (800, "a", None)]
+    got = {r["row_id"]: r for r in similar.class_links(*similar_classes(frame(spark, rows), width=3, threshold=Fraction(3, 5))).collect()}
+    sets = {i: s for i, _, x in rows if i is not None and (s := shingles(x, 3, 1))}
+    kept = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    pairs = brute_pairs(rows, 3, Fraction(3, 5), 1)
+    linked = {frozenset((kept[a], kept[b])) for a, b in pairs if kept[a] != kept[b]}
+    assert {*got} == {*sets} and sum(map(len, linked)) > 20
+    for i, r in got.items():
+        assert (r["class_id"], r["copies"], r["links"]) == (kept[i], sum(kept[j] == kept[i] for j in sets), sum(kept[i] in p for p in linked))
+
+
+def test_openings_behind_marks(spark):
+    """However many marks stand before a label, the text is mended; one that all have doesn't break it."""
+    rows = [(5, "a", "Authority: 1 USC; Source: 2 FR\n\n" + BODY)] + [(10 + i, "a", "- \t" * 200 + "Authority: 1 USC, Source: 2 FR " + BODY) for i in range(50)]
+    assert {(r[0], r[1]) for r in formatting_copies(frame(spark, rows)).collect()} == {(5, 10 + i) for i in range(50)}
+
+
 def test_large_class_is_a_star(spark):
     rows = [(i, "a", BODY) for i in range(40)] + [(100, "a", BODY + " more")]
     members, links = similar_classes(frame(spark, rows), width=3, threshold=Fraction(3, 5))

@@ -12,10 +12,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from codexmill.llm import leaks
 from codexmill.llm.leaks import common_subsequence, find_leaks, passage_words
-from codexmill.llm.packing import DEFAULT_RANKS, Packer, hilbert_keys, pack_texts, tokenizer
+from codexmill.llm.packing import DEFAULT_RANKS, Packer, hilbert_keys, pack_texts, packing_report, read_ranks, tokenizer
 from codexmill.llm.sentences import Evidence, Verdicts, sentence_units, split_sentences
 
 needs_ranks = pytest.mark.skipif(not os.path.exists(DEFAULT_RANKS), reason="no tokenizer file")
@@ -61,7 +62,14 @@ def test_packing(spark):
     rows += [(1000, None), (1001, ""), (1002, "word " * 5000), (None, "a b c"), (1, "a b c"), (1003, "same text here")] + [(2000 + i, "same text here") for i in range(200)]
     limits = {1: 16, 2: 100}
     out = pack_texts(docs(spark, rows), budgets(spark, [(b, "n", c) for b, c in limits.items()] + [(3, "zero", 0), (4, None, None)]), range_items=150, stretch=50).collect()
-    enc = tokenizer(DEFAULT_RANKS)
+    enc = tokenizer(read_ranks(DEFAULT_RANKS))
+    some = docs(spark, rows)
+    packed = spark.createDataFrame(out, "budget_id int, container_id long, doc_id long, piece_no int, start_token long, n_tokens long")
+    limits_ = budgets(spark, [(b, "n", c) for b, c in limits.items()])
+    for r in packing_report(packed, some, limits_, "item_id").collect():
+        assert (r["texts"], r["overfull"], r["gaps"], r["split"], r["alike_inside"], r["alike_among_all"]) == (len(rows), 0, 0, 0, 1.0, 1.0) and r["least_containers"] <= r["containers"]
+    worse = packed.withColumn("container_id", F.lit(1).cast("long")).withColumn("start_token", F.col("start_token") + F.col("piece_no"))
+    assert all(r["overfull"] == 1 and r["gaps"] > 0 for r in packing_report(worse, some, limits_, "item_id").collect())
     for b, capacity in limits.items():
         mine = [r for r in out if r["budget_id"] == b]
         used, pieces = {}, {}
