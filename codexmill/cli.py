@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 import codexmill
+from codexmill.operators.workspace import scope
 from codexmill.plans import reports
 from codexmill.plans.shipping import ship
 from codexmill.sources import snapshot
@@ -35,12 +36,8 @@ def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     spark = SparkSession.builder.appName("codexmill").getOrCreate()
     ship(spark)
-    if a.command == "manifest":
-        text = json.dumps(snapshot.build_manifest(spark, a.files, a.snapshot), indent=2) + "\n"
-    elif a.command == "diff":
-        text = reports.difference_report(snapshot.scan_snapshot(spark, a.old, "old"), snapshot.scan_snapshot(spark, a.new, "new"))
-    else:
-        text = reports.file_report(spark, a.command, a.files, a.snapshot)
+    with scope(spark):
+        text = _text(spark, a)
     if a.out:
         Path(a.out).write_text(text)
     else:
@@ -48,5 +45,13 @@ def main(args: list[str] | None = None) -> int:
     return 0
 
 
+def _text(spark: SparkSession, a: argparse.Namespace) -> str:
+    if a.command == "manifest":
+        return json.dumps(snapshot.build_manifest(spark, a.files, a.snapshot), indent=2) + "\n"
+    if a.command == "diff":
+        return reports.difference_report(snapshot.scan_snapshot(spark, a.old, "old"), snapshot.scan_snapshot(spark, a.new, "new"))
+    return reports.file_report(spark, a.command, a.files, a.snapshot)
+
+
 if __name__ == "__main__":
     sys.exit(main())

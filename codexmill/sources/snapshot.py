@@ -1,13 +1,17 @@
 """Snapshot files: validated lossless scan, manifest, checksums and pinned revisions.
 
-Physical place is ``_metadata.row_index``, which filters and splits leave alone. Schemas are read
-from the footers on the driver, a file at a time; file bytes are hashed on the executors in chunks.
+Physical place is ``_metadata.row_index``, which filters and splits leave alone. Footers are read and
+file bytes are hashed on the executors, in chunks, one file per row. Paths may be local or URIs of any
+file system that pyarrow opens.
 """
 
 from __future__ import annotations
 
+import fnmatch
+import glob
 import hashlib
 import json
+import os
 import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -15,12 +19,14 @@ from pathlib import Path
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codexmill.functions import identity as I
 from codexmill.functions import text as X
+from codexmill.operators.skew import small_side
 from codexmill.schema import INTEGER_COLUMNS, SNAPSHOT_COLUMNS, SNAPSHOT_SCHEMA
 
 
@@ -45,71 +51,115 @@ def schema_problem(schema: pa.Schema) -> str | None:
     return None
 
 
-def schema_groups(paths: str | list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files by the columns that they have, in order; one group if all agree."""
-    out: dict[tuple[str, ...], list[str]] = {}
-    for p in expand(paths):
-        out.setdefault(tuple(pq.read_schema(p).names), []).append(Path(p).name)
-    return out
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def column_differences(paths: str | list[str]) -> dict[str, tuple[list[str], list[str]]]:
-    """Per file the columns of the contract that it lacks and those that it has besides."""
-    return {Path(p).name: ([c for c in SNAPSHOT_COLUMNS if c not in names], [c for c in names if c not in SNAPSHOT_COLUMNS]) for p in expand(paths) for names in [pq.read_schema(p).names]}
+def expand(pattern: str | list[str]) -> list[str]:
+    """Files of globs or literal paths, sorted, each once; a relative path starts from the working
+    directory. A pattern or path that no file fits is an error."""
+    found: set[str] = set()
+    for p in [pattern] if isinstance(pattern, str) else pattern:
+        hits = [h for h in _matches(p) if h.endswith(".parquet")]
+        if not hits:
+            raise FileNotFoundError(f"no Parquet file fits {p}")
+        found.update(hits)
+    return sorted(found)
 
 
-def crosswalk_columns(paths: str | list[str]) -> list[str]:
-    """Columns of any file that would state a predecessor or successor."""
-    found = {c for names in schema_groups(paths) for c in names}
-    return [c for c in X.CROSSWALK_COLUMNS if c in found]
+def _matches(pattern: str) -> list[str]:
+    wild = re.search(r"[*?\[]", pattern)
+    if "://" not in pattern:
+        return [os.path.abspath(x) for x in glob.glob(pattern, recursive=True)] if wild else [os.path.abspath(pattern)] * os.path.exists(pattern)
+    system, path = _opened(pattern[: wild.start()].rpartition("/")[0] if wild else pattern)
+    root = pattern[: pattern.index("://") + 3]
+    if not wild:
+        return [pattern] if system.get_file_info(path).type != fs.FileType.NotFound else []
+    tail = pattern[wild.start() :]
+    below = system.get_file_info(fs.FileSelector(path, recursive="/" in tail, allow_not_found=True))
+    named = {i.path: root + i.path for i in below if i.type == fs.FileType.File}
+    rest = pattern[len(pattern[: wild.start()].rpartition("/")[0]) + 1 :]
+    return [uri for at, uri in named.items() if fnmatch.fnmatchcase(at[len(path) :].lstrip("/"), rest)]
+
+
+_FOOTER = "path string, columns array<string>, problem string, n_rows bigint, row_groups int, checksum string"
 
 
-def file_checksums(spark: SparkSession, paths: list[str], chunk: int = 1 << 20) -> DataFrame:
-    """(path, checksum) of local or mounted files, hashed on the executors without loading any whole."""
+def read_footers(spark: SparkSession, paths: list[str], hashed: bool = True, chunk: int = 1 << 20) -> DataFrame:
+    """Per file its columns, what breaks the contract, rows, row groups and, if asked for, checksum."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sums = []
+            out = []
             for p in pdf["path"]:
+                system, at = _opened(p)
+                with system.open_input_file(at) as f:
+                    file = pq.ParquetFile(f)
+                    schema, meta = file.schema_arrow, file.metadata
+                    out.append((p, list(schema.names), schema_problem(schema), meta.num_rows, meta.num_row_groups))
                 digest = hashlib.sha256()
-                with open(p, "rb") as f:
-                    while block := f.read(chunk):
-                        digest.update(block)
-                sums.append(digest.hexdigest())
-            yield pdf.assign(checksum=sums)
+                if hashed:
+                    with system.open_input_stream(at) as f:
+                        while block := f.read(chunk):
+                            digest.update(block)
+                out[-1] += (digest.hexdigest() if hashed else None,)
+            yield pd.DataFrame(out, columns=["path", "columns", "problem", "n_rows", "row_groups", "checksum"])
 
     listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    return listed.repartition(max(1, len(paths)), "path").mapInPandas(run, "path string, checksum string")
+    return listed.repartition(max(1, min(len(paths), 10_000)), "path").mapInPandas(run, _FOOTER)
 
 
-def expand(pattern: str | list[str]) -> list[str]:
-    """Files of globs or literal paths, sorted, each once."""
-    found: set[str] = set()
-    for p in [pattern] if isinstance(pattern, str) else pattern:
-        hits = [str(x) for x in Path("/").glob(p.lstrip("/"))] if any(c in p for c in "*?[") else [p]
-        found |= {h for h in hits if h.endswith(".parquet")}
-    return sorted(found)
+def file_checksums(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, checksum) of files, hashed on the executors without loading any whole."""
+    return read_footers(spark, paths).select("path", "checksum")
+
+
+def _columns(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, list[str]]]:
+    return [(r["path"].rpartition("/")[2], r["columns"]) for r in read_footers(spark, expand(paths), hashed=False).orderBy("path").collect()]
+
+
+def schema_groups(spark: SparkSession, paths: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by the columns that they have, in order; one group if all agree."""
+    out: dict[tuple[str, ...], list[str]] = {}
+    for name, columns in _columns(spark, paths):
+        out.setdefault(tuple(columns), []).append(name)
+    return out
+
+
+def column_differences(spark: SparkSession, paths: str | list[str]) -> dict[str, tuple[list[str], list[str]]]:
+    """Per file the columns of the contract that it lacks and those that it has besides."""
+    return {name: ([c for c in SNAPSHOT_COLUMNS if c not in columns], [c for c in columns if c not in SNAPSHOT_COLUMNS]) for name, columns in _columns(spark, paths)}
+
+
+def crosswalk_columns(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """Columns of any file that would state a predecessor or successor."""
+    found = {c for _, columns in _columns(spark, paths) for c in columns}
+    return [c for c in X.CROSSWALK_COLUMNS if c in found]
 
 
 def scan_snapshot(spark: SparkSession, paths: str | list[str], snapshot: str, verify: dict[str, str] | None = None) -> DataFrame:
     """Every row of the files with file, checksum, ordinal, record id and digest of its text.
 
-    A file that breaks the contract, or whose checksum differs from ``verify``, is an error before
-    anything is read. Null and empty texts stay what they are.
+    A pattern that fits no file, a file that breaks the contract, two files of one name, or a checksum
+    that differs from ``verify`` is an error before anything is read. An empty list of paths gives an
+    empty table. Null and empty texts stay what they are.
     """
     files = expand(paths)
-    for p in files:
-        if problem := schema_problem(pq.read_schema(p)):
-            raise SchemaMismatch(f"{Path(p).name}: {problem}")
     if not files:
         return with_record_ids(spark.createDataFrame([], T.StructType([*SNAPSHOT_SCHEMA, *(T.StructField(n, k) for n, k in (("source_file", T.StringType()), ("ordinal", T.LongType()), ("checksum", T.StringType())))])), snapshot)
-    sums = {Path(r["path"]).name: r["checksum"] for r in file_checksums(spark, files).collect()}  # a row per file
+    read = read_footers(spark, files).orderBy("path").collect()  # a row per file
+    for r in read:
+        if r["problem"]:
+            raise SchemaMismatch(f"{r['path'].rpartition('/')[2]}: {r['problem']}")
+    sums = {r["path"].rpartition("/")[2]: r["checksum"] for r in read}
+    if len(sums) < len(read):
+        raise ValueError("two files of one name")
     for name, want in (verify or {}).items():
         if name in sums and sums[name] != want:
             raise ValueError(f"{name}: checksum differs")
     rows = spark.read.schema(SNAPSHOT_SCHEMA).parquet(*files).select("*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.row_index").alias("ordinal"))
     known = spark.createDataFrame(list(sums.items()), "source_file string, checksum string")
-    return with_record_ids(rows.join(known, "source_file"), snapshot)
+    return with_record_ids(rows.join(small_side(known), "source_file"), snapshot)
 
 
 def with_record_ids(rows: DataFrame, snapshot: str) -> DataFrame:
@@ -126,15 +176,14 @@ def with_record_ids(rows: DataFrame, snapshot: str) -> DataFrame:
 def build_manifest(spark: SparkSession, paths: str | list[str], snapshot: str) -> list[dict]:
     """Per file: rows, row groups, checksum, whether schema and listed checksum fit, first and last id."""
     files = expand(paths)
-    sums = {r["path"]: r["checksum"] for r in file_checksums(spark, files).collect()} if files else {}
     listed = listed_checksums(files)
     out = []
-    for p in files:
-        meta, name = pq.read_metadata(p), Path(p).name
-        ids = [_record_id(snapshot, sums[p], i) for i in ((0, meta.num_rows - 1) if meta.num_rows else ())]
+    for r in read_footers(spark, files).orderBy("path").collect() if files else []:
+        name, n = r["path"].rpartition("/")[2], r["n_rows"]
+        ids = [_record_id(snapshot, r["checksum"], i) for i in ((0, n - 1) if n else ())]
         out.append(
-            {"file": name, "rows": meta.num_rows, "row_groups": meta.num_row_groups, "checksum": sums[p], "schema_ok": schema_problem(pq.read_schema(p)) is None,
-             "checksum_ok": sums[p] == listed[name] if name in listed else None, "first_id": ids[0] if ids else None, "last_id": ids[-1] if ids else None}
+            {"file": name, "rows": n, "row_groups": r["row_groups"], "checksum": r["checksum"], "schema_ok": r["problem"] is None,
+             "checksum_ok": r["checksum"] == listed[name] if name in listed else None, "first_id": ids[0] if ids else None, "last_id": ids[-1] if ids else None}
         )
     return out
 
@@ -145,11 +194,12 @@ def _record_id(snapshot: str, checksum: str, ordinal: int) -> str:
 
 def listed_checksums(files: list[str]) -> dict[str, str]:
     """The first ``SHA256SUMS.json`` beside the files; none or a damaged one lists nothing."""
-    for p in files:
-        at = Path(p).parent / "SHA256SUMS.json"
-        if at.exists():
+    for folder in dict.fromkeys(p.rpartition("/")[0] for p in files):
+        system, at = _opened(f"{folder}/SHA256SUMS.json")
+        if system.get_file_info(at).type == fs.FileType.File:
             try:
-                return {e["file"]: e["sha256"] for e in json.loads(at.read_text())}
+                with system.open_input_stream(at) as f:
+                    return {e["file"]: e["sha256"] for e in json.loads(f.read())}
             except (ValueError, KeyError, TypeError):
                 return {}
     return {}

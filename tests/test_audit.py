@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -12,8 +14,9 @@ from pyspark.sql import types as T
 from codexmill.functions import identity as I
 from codexmill.functions import text as X
 from codexmill.operators import artifacts as A
-from codexmill.operators import audit, difference, hierarchy
+from codexmill.operators import audit, difference, hierarchy, workspace
 from codexmill.operators.skew import join_by_weight, numbered_in_group
+from codexmill.operators.workspace import written
 from codexmill.schema import INTEGER_COLUMNS, SNAPSHOT_COLUMNS, SNAPSHOT_SCHEMA
 from codexmill.sources import registry, snapshot
 
@@ -303,14 +306,46 @@ def test_scan(spark, tmp_path):
     assert "out of order" in snapshot.schema_problem(pa.schema([(c, pa.string()) for c in reversed(SNAPSHOT_COLUMNS)]))
 
 
-def test_columns_of_files(tmp_path):
+def test_paths(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in" / "us_a_statutes.parquet", [{"act_id": "a"}])
+    write(tmp_path / "in" / "us_b_statutes.parquet", [{"act_id": "b"}, {}])
+    monkeypatch.chdir(tmp_path)
+    both = [str(tmp_path / "in" / f"us_{x}_statutes.parquet") for x in "ab"]
+    assert snapshot.expand("in/*.parquet") == snapshot.expand(["in/us_?_statutes.parquet", both[0]]) == snapshot.expand("**/*.parquet") == both
+    uris = [f"file://{p}" for p in both]
+    assert snapshot.expand(f"file://{tmp_path}/in/*.parquet") == snapshot.expand(f"file://{tmp_path}/i*/us_*.parquet") == uris and snapshot.expand(uris[1]) == uris[1:]
+    assert snapshot.scan_snapshot(spark, uris, "v").count() == 3 and [m["rows"] for m in snapshot.build_manifest(spark, uris, "v")] == [1, 2]
+    for nothing in ("in/x*.parquet", "in/none.parquet", f"file://{tmp_path}/in/x*.parquet", f"file://{tmp_path}/none.parquet"):
+        with pytest.raises(FileNotFoundError):
+            snapshot.scan_snapshot(spark, nothing, "v")
+    assert snapshot.scan_snapshot(spark, [], "v").count() == 0
+
+
+def test_workspace(spark, tmp_path, monkeypatch):
+    kept = written(spark.range(5), "kept")
+    assert workspace.shared_dir(spark) in kept.inputFiles()[0] and kept.count() == 5
+    with workspace.scope(spark):
+        inner = written(spark.range(3), "inner")
+        path = inner.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+        assert inner.count() == 3 and os.path.isdir(path)
+    assert not os.path.exists(path)
+    path = kept.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    workspace.discard(kept, kept, spark.range(1))
+    assert not os.path.exists(path)
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        workspace.shared_dir(cluster)
+
+
+def test_columns_of_files(spark, tmp_path):
     write(tmp_path / "us_a_statutes.parquet", [{}])
     write(tmp_path / "us_b_statutes.parquet", [{}])
     pq.write_table(pa.table({"act_id": ["x"], "successor": ["y"]}), tmp_path / "us_c_statutes.parquet")
     at = str(tmp_path / "*.parquet")
-    assert sorted(map(sorted, snapshot.schema_groups(at).values())) == [["us_a_statutes.parquet", "us_b_statutes.parquet"], ["us_c_statutes.parquet"]]
-    assert snapshot.crosswalk_columns(at) == ["successor"]
-    lacks, besides = snapshot.column_differences(at)["us_c_statutes.parquet"]
+    assert sorted(map(sorted, snapshot.schema_groups(spark, at).values())) == [["us_a_statutes.parquet", "us_b_statutes.parquet"], ["us_c_statutes.parquet"]]
+    assert snapshot.crosswalk_columns(spark, at) == ["successor"]
+    lacks, besides = snapshot.column_differences(spark, at)["us_c_statutes.parquet"]
     assert len(lacks) == 23 and besides == ["successor"]
 
 
