@@ -29,6 +29,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--old", nargs="+", required=True)
     s.add_argument("--new", nargs="+", required=True)
     s.add_argument("--out")
+    for s in sub.choices.values():
+        s.add_argument("--rows", type=int, default=reports.SHOWN, help="most rows of a table")
     return p
 
 
@@ -36,6 +38,7 @@ def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     spark = SparkSession.builder.appName("codexmill").getOrCreate()
     ship(spark)
+    reports.SHOWN = a.rows
     with scope(spark):
         text = _text(spark, a)
     if a.out:

@@ -125,6 +125,21 @@ def level_histogram(rows: DataFrame, corpus: str) -> DataFrame:
     return each.groupBy(corpus, F.col("n.kind").alias("kind"), F.col("n.raw_kind").alias("raw_kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def leaf_kinds(rows: DataFrame, corpus: str) -> DataFrame:
+    """Breadcrumbs by the kind of their last level."""
+    return rows.where(F.size("levels") > 0).groupBy(corpus, F.element_at("levels", -1)["kind"].alias("leaf_kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def probe_paths(rows: DataFrame, corpus: str) -> DataFrame:
+    """Of the breadcrumbs that parse: rows, distinct keys and paths, and leaves that aren't numbers."""
+    return rows.where(F.size("levels") > 0).groupBy(corpus).agg(
+        F.count(F.lit(1)).alias("parsed"),
+        F.count_distinct("act_id").alias("act_ids"),
+        F.count_distinct(structural_path(F.col("levels"))).alias("paths"),
+        F.count(F.when(~X.numeric_id(F.element_at("levels", -1)["identifier"]), 1)).alias("nonnumeric_leaves"),
+    )
+
+
 def deepest_paths(rows: DataFrame, corpus: str, ordinal: str) -> DataFrame:
     """The first of the deepest breadcrumbs of each corpus."""
     first = F.struct(F.size("levels").alias("depth"), (-F.col(ordinal)).alias("order"))

@@ -39,15 +39,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder."""
-    spark = df.sparkSession
+def temporary_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed at the end of the scope, or when Python ends."""
     path = f"{shared_dir(spark)}/codexmill-{label}-{uuid.uuid4().hex}"
     if not _alive:
         atexit.register(_remove_all, spark)
     _alive.add(path)
     for made in _scopes[-1:]:
         made.append(path)
+    return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder."""
+    spark = df.sparkSession
+    path = temporary_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path

@@ -744,12 +744,23 @@ def sibling_order(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     _NODES
-    + r""" SELECT corpus, count(*) AS parsed, count(DISTINCT array_to_string(keys, '/')) AS paths, count(*) FILTER (WHERE NOT coalesce(regexp_matches(replace(replace(idents[depth], '.', ''), '-', ''), '^\d+$'), false)) AS nonnumeric_leaves FROM p GROUP BY 1"""
+    + r""" SELECT p.corpus, count(*) AS parsed, count(DISTINCT l.act_id) AS act_ids, count(DISTINCT array_to_string(keys, '/')) AS paths,
+  count(*) FILTER (WHERE NOT coalesce(regexp_matches(replace(replace(idents[depth], '.', ''), '-', ''), '^\d+$'), false)) AS nonnumeric_leaves FROM p JOIN law l USING (row_id) GROUP BY 1"""
 )
 def probe_paths(spark: SparkSession, d: str) -> DataFrame:
-    rows = levels(spark, d).where(F.size("levels") > 0)
-    return rows.groupBy("corpus").agg(
-        F.count(F.lit(1)).alias("parsed"),
-        F.count_distinct(hierarchy.structural_path(F.col("levels"))).alias("paths"),
-        F.count(F.when(~X.numeric_id(F.element_at("levels", -1)["identifier"]), 1)).alias("nonnumeric_leaves"),
-    )
+    return hierarchy.probe_paths(levels(spark, d), "corpus")
+
+
+@query(_NODES + " SELECT corpus, kinds[depth] AS leaf_kind, count(*) AS n FROM p GROUP BY 1, 2")
+def leaf_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.leaf_kinds(levels(spark, d), "corpus")
+
+
+@query(
+    _NODES
+    + """ SELECT corpus, kind, identifier IS NOT NULL AS identified, raw IS NOT NULL AS raw, CASE WHEN kind <> 'other' OR lower(trim(ty)) = 'other' THEN 1.0 WHEN coalesce(ty, '') = '' THEN 0.3 ELSE 0.5 END * CASE WHEN identifier IS NULL THEN 0.5 ELSE 1.0 END AS confidence,
+  count(*) AS n FROM (SELECT *, ident AS identifier FROM h) GROUP BY ALL"""
+)
+def level_confidences(spark: SparkSession, d: str) -> DataFrame:
+    each = levels(spark, d).select("corpus", F.explode("levels").alias("n"))
+    return each.groupBy("corpus", "n.kind", F.col("n.identifier").isNotNull().alias("identified"), F.col("n.raw_kind").isNotNull().alias("raw"), "n.confidence").agg(F.count(F.lit(1)).alias("n"))

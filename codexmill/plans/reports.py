@@ -1,7 +1,8 @@
 """Reports: small aggregates as Markdown, byte-stable for equal results.
 
 Only aggregates whose size is bounded by files, corpora, namespaces or steps are brought to the
-driver; a table of more than ``most`` rows is cut there and says so.
+driver; a table of more than ``most`` rows is cut there and says so. ``--rows`` of the command line
+sets that number.
 """
 
 from __future__ import annotations
@@ -9,31 +10,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codexmill.functions import text as X
 from codexmill.operators import artifacts, audit, difference, hierarchy
+from codexmill.schema import SNAPSHOT_COLUMNS
 from codexmill.sources import snapshot
 
 
-def cell(value: object) -> str:
+def cell(value: object, rate: bool = False) -> str:
     if value is None:
         return "—"
     if isinstance(value, bool):
         return "yes" if value else "no"
     if isinstance(value, float):
-        return f"{value:.4f}"
+        return f"{100 * value:.1f}%" if rate else f"{value:,.4g}"
     if isinstance(value, int):
         return f"{value:,}"
     return str(value).replace("|", "\\|").replace("\n", " ")
 
 
-def percent(part: int, whole: int) -> str:
-    return f"{100 * part / whole:.1f}%" if whole else "—"
+#: Rows of a table that are shown.
+SHOWN = 2000
 
 
-def table(title: str, df: DataFrame, order: list, most: int = 2000) -> str:
-    """A Markdown table of an aggregate, in a total order."""
+def table(title: str, df: DataFrame, order: list, most: int | None = None) -> str:
+    """A Markdown table of an aggregate, in a total order; columns named ``..._rate`` or ``..._share`` are
+    percentages."""
+    most = SHOWN if most is None else most
     rows = df.orderBy(*order).limit(most + 1).collect()
     lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    lines += ["| " + " | ".join(map(cell, r)) + " |" for r in rows[:most]]
+    rates = [c.endswith(("_rate", "_share")) for c in df.columns]
+    lines += ["| " + " | ".join(map(cell, r, rates)) + " |" for r in rows[:most]]
     if len(rows) > most:
         lines.append(f"\n_Only the first {most:,} rows are shown._")
     return "\n".join(lines) + "\n"
@@ -46,9 +52,19 @@ def report(title: str, *parts: str) -> str:
 FILE = ["source_file"]
 
 
+def schema_report(spark: SparkSession, paths: list[str]) -> str:
+    """The sets of columns that files have, what they lack of the contract or have besides, and columns
+    that would state a successor."""
+    footers = snapshot.read_footers(spark, snapshot.expand(paths), hashed=False)
+    name, contract = F.substring_index("path", "/", -1), F.array(*map(F.lit, SNAPSHOT_COLUMNS))
+    sets = footers.groupBy(F.array_join("columns", ", ").alias("columns")).agg(F.count(F.lit(1)).alias("files"), F.min(name).alias("first_file"))
+    odd = footers.select(name.alias("source_file"), F.array_join(F.array_except(contract, "columns"), ", ").alias("missing"), F.array_join(F.array_except("columns", contract), ", ").alias("besides")).where("missing <> '' OR besides <> ''")
+    cross = footers.select(name.alias("source_file"), F.explode("columns").alias("column_name")).where(F.col("column_name").isin(*X.CROSSWALK_COLUMNS))
+    return "\n".join([table("Sets of columns", sets, [F.desc("files"), "columns"]), table("Files off the contract", odd, FILE), table("Columns that state a successor", cross, [*FILE, "column_name"])])
+
+
 def profile_report(rows: DataFrame) -> str:
-    """Files, corpora, namespaces, statuses, pointers, examples and outliers."""
-    rows = rows.withColumn("corpus", F.col("corpus"))
+    """Files, corpora, namespaces, statuses, pointers, references, examples and outliers."""
     per_file = audit.file_profile(rows, ["corpus", *FILE])
     return report(
         "Snapshot profile",
@@ -57,6 +73,8 @@ def profile_report(rows: DataFrame) -> str:
         table("Namespaces", audit.prefix_counts(rows, []), [F.desc("n"), "prefix"]),
         table("Statuses", audit.status_counts(rows, ["corpus"]), ["corpus", F.desc("n"), "status"]),
         table("Statuses that point to a successor", audit.lineage_pointers(rows, ["corpus"]), ["corpus", "act_status"]),
+        table("Statuses of all corpora", audit.lineage_pointers(rows, []), ["act_status"]),
+        table("References", per_file.groupBy().agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_rows", "usc_rows", "usc_edges", "cfr_rows", "public_law_rows", "lineage_rows")]), ["n_rows"]),
         table("Examples of moved rows", audit.lineage_examples(rows, FILE, "ordinal"), [*FILE, "example_no"]),
         table("Citations", audit.citation_samples(rows, FILE, "ordinal", 1), FILE),
         table("Least complete hierarchies", audit.completeness_outliers(per_file, FILE), ["complete_rate", *FILE]),
@@ -112,7 +130,10 @@ def probe_report(rows: DataFrame) -> str:
     """Every producer over one corpus: classes, identity, assembly, paths, shared content."""
     rows = rows.withColumn("row_id", F.col("ordinal"))
     members = artifacts.identity_members(rows, FILE, "ordinal")
-    shared = audit.shared_content(rows).agg(F.count(F.lit(1)).alias("shared_texts"), F.sum("act_ids").alias("act_ids"))
+    texts = audit.shared_content(rows)
+    shared = texts.agg(F.count(F.lit(1)).alias("shared_texts"), F.sum("act_ids").alias("act_ids"), F.max_by("text_hash", F.struct("act_ids", "text_hash")).alias("most_shared"))
+    levelled = hierarchy.with_levels(rows.select("corpus", "ordinal", "act_id", "breadcrumb", "display_path"))
+    repealed = audit.first_with(rows, FILE, (F.col("act_status") == "repealed") & (F.col("text") != ""), "ordinal")
     count = lambda df, *by: df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     return report(
         "Probe",
@@ -121,6 +142,9 @@ def probe_report(rows: DataFrame) -> str:
         table("Identity", count(members, "strategy", "reject"), ["strategy", "reject"]),
         table("Assemblies", count(artifacts.assembled(rows), "status"), ["status"]),
         table("Texts under more than one key", shared, ["shared_texts"]),
+        table("Keys and paths", hierarchy.probe_paths(levelled, "corpus"), ["corpus"]),
+        table("Last levels", hierarchy.leaf_kinds(levelled, "corpus"), ["corpus", F.desc("n"), "leaf_kind"]),
+        table("Repealed records", repealed, FILE),
         hierarchy_report(rows),
     )
 
@@ -136,4 +160,5 @@ REPORTS = {"profile": profile_report, "collisions": collision_report, "segments"
 
 
 def file_report(spark: SparkSession, name: str, paths: list[str], version: str) -> str:
-    return REPORTS[name](snapshot.scan_snapshot(spark, paths, version))
+    text = REPORTS[name](snapshot.scan_snapshot(spark, paths, version))
+    return "\n".join([text, schema_report(spark, paths)]) if name == "profile" else text
