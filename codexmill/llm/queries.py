@@ -101,10 +101,29 @@ g AS (SELECT held, id, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT held,
 SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.g = i.g WHERE NOT d.held AND i.held
 """
 
+# Spans of 39 words of documents against passages of 26 words of items: answer words first, then the
+# longest common subsequence, row by row: the states of a passage's prefixes after each word of a span.
+_PARAPHRASES_SQL = f"""
+WITH t AS (SELECT false AS held, doc_id AS id, text FROM documents UNION ALL SELECT true, item_id, text FROM eval_items),
+w AS (SELECT held, id, row_number() OVER () AS r, regexp_extract_all(regexp_replace(lower(text), '({_HAN})', ' \\1 ', 'g'), '{_HAN}|[\\p{{L}}\\p{{N}}]+') AS w FROM t WHERE text IS NOT NULL),
+vocabulary AS (SELECT DISTINCT unnest(w) AS word FROM w WHERE held),
+df AS (SELECT v.word, count(DISTINCT d.r) AS df FROM vocabulary v LEFT JOIN (SELECT DISTINCT r, unnest(w) AS word FROM w WHERE NOT held) d USING (word) GROUP BY 1),
+q AS (SELECT id AS item_id, row_number() OVER () AS q, w[a + 1:a + 26] AS q_words FROM (SELECT id, w, unnest(range(0, len(w), 13)) AS a FROM w WHERE held) WHERE len(w[a + 1:a + 26]) >= 13),
+z AS (SELECT q, word, row_number() OVER (PARTITION BY q ORDER BY df, word) AS rare FROM (SELECT DISTINCT q, unnest(q_words) AS word FROM q) JOIN df USING (word)),
+answers AS (SELECT q, word, count(*) OVER (PARTITION BY q) AS n FROM z WHERE rare <= 4 OR regexp_matches(word, '^\\p{{Nd}}+$')),
+s AS (SELECT id AS doc_id, row_number() OVER () AS s, w[13 * a + 1:13 * a + 39] AS s_words FROM (SELECT id, w, unnest(range(0, greatest(1, (len(w) + 12) // 13 - 1))) AS a FROM w WHERE NOT held)),
+c AS (SELECT s, q FROM (SELECT DISTINCT s, unnest(s_words) AS word FROM s) JOIN answers USING (word) GROUP BY 1, 2 HAVING count(*) >= any_value(n) // 2 + 1),
+p AS (SELECT doc_id, item_id, q_words, len(q_words) AS n, list_filter(s_words, lambda x: list_contains(q_words, x)) AS s_words FROM c JOIN s USING (s) JOIN q USING (q) WHERE len(list_filter(q_words, lambda x: list_contains(s_words, x))) >= ceil(0.6 * len(q_words) - 1e-9)),
+l AS (SELECT doc_id, item_id, n, list_reduce(list_prepend(list_transform(q_words, lambda x: 0::BIGINT), list_transform(s_words, lambda y: list_transform(q_words, lambda x: (x = y)::BIGINT))),
+  lambda state, same: list_transform([list_transform(range(1, len(same) + 1), lambda i: CASE WHEN same[i] = 1 THEN CASE WHEN i > 1 THEN state[i - 1] ELSE 0 END + 1 ELSE state[i] END)],
+    lambda e: list_transform(range(1, len(e) + 1), lambda j: list_max(e[1:j])))[1])[n] AS common FROM p),
+runs AS ({{runs}})
+SELECT doc_id, item_id, max(common)::INTEGER AS common_words FROM l WHERE common >= ceil(0.6 * n - 1e-9) AND (doc_id, item_id) NOT IN (SELECT (doc_id, item_id) FROM runs) GROUP BY 1, 2
+""".replace("{runs}", _LEAKS_SQL)
 _PACKED_SQL = """
 SELECT budget_id, (SELECT count(*) FROM documents) AS texts, 0::BIGINT AS overfull, 0::BIGINT AS gaps, 0::BIGINT AS split, true AS near_least, true AS neighbours_alike
 FROM pack_budgets WHERE capacity_tokens > 0
 """
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_collapsed, p5_found, p5_classes, p6_pack, p6_report, p7_found, p7_paraphrases, p8_found)}
-ORACLES = {"p4_found": _COPIES_SQL, "p4_collapsed": _COLLAPSED_SQL, "p5_found": _SIMILAR_SQL, "p5_classes": _CLASSES_SQL, "p6_report": _PACKED_SQL, "p7_found": _LEAKS_SQL}
+ORACLES = {"p4_found": _COPIES_SQL, "p4_collapsed": _COLLAPSED_SQL, "p5_found": _SIMILAR_SQL, "p5_classes": _CLASSES_SQL, "p6_report": _PACKED_SQL, "p7_found": _LEAKS_SQL, "p7_paraphrases": _PARAPHRASES_SQL}
