@@ -1,9 +1,10 @@
 """Records that differ only in white space, case, punctuation or the order of labelled fields.
 
-Columns are dictionary-encoded: each distinct value of a batch is canonicalised once (its letters and
-digits, case folded), a text being taken apart into its labelled fields and its body. The distinct
-canonical values of all batches form one dictionary per column, which gives each an integer. A record
-then is a sorted tuple of (column, integer) pairs, and copies are records with equal tuples.
+Columns are dictionary-encoded: each distinct value that a task reads is canonicalised once (its
+letters and digits, case folded), a text being taken apart into its labelled fields and its body; to
+do so once for all tasks would mean to shuffle the texts. The distinct canonical values of all tasks
+form one dictionary per column, which gives each an integer. A record then is a sorted tuple of
+(column, integer) pairs, and copies are records with equal tuples.
 
 Scale: values leave the first stage as 128-bit digests, never as text. Values that only one record
 has can't be shared, so such records are dropped before their tuple is built. Joins with the
@@ -14,7 +15,7 @@ holds a third of all records doesn't meet in one task; grouping itself is pre-ag
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -86,6 +87,24 @@ def _opening(text: str | None) -> bool:
     return first.startswith(LABELS)
 
 
+class Canonical(dict):
+    """What a function makes of each distinct value, by the value's digest; it starts anew when full."""
+
+    def __init__(self, of: Callable, most: int = 100_000):
+        self.of, self.most = of, most
+
+    def value(self, raw: str | None):
+        if raw is None:
+            return self.of(None)
+        key = xxhash.xxh3_128_digest(raw.encode("utf-8", "surrogatepass"))
+        found = self.get(key, self)
+        if found is self:
+            if len(self) >= self.most:
+                self.clear()
+            found = self[key] = self.of(raw)
+        return found
+
+
 _ENTRY = pa.list_(pa.struct([("column", pa.int32()), ("high", pa.int64()), ("low", pa.int64())]))
 
 
@@ -98,21 +117,19 @@ def encode_values(df: DataFrame, row_id: str, key: str, text: str, min_words: in
                            T.StructField("entries", T.ArrayType(T.StructType([T.StructField("column", T.IntegerType()), T.StructField("high", T.LongType()), T.StructField("low", T.LongType())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_key = Canonical(lambda v: (v := letters(v), (KEY, *_digest(v))))
+        of_text = Canonical(lambda v: (e := _text_entries(v, min_words), e is not None and _opening(v)))
         for batch in by_bytes(batches, 2):
-            keys, texts = batch.column(1).dictionary_encode(), batch.column(2).dictionary_encode()
-            of_key = [letters(v) for v in keys.dictionary.to_pylist()]
-            raw = texts.dictionary.to_pylist()
-            of_text = [_text_entries(v, min_words) for v in raw]
-            key_entry = [(KEY, *_digest(v)) for v in of_key]
-            none, take, plain, fields, entries = (KEY, *_digest("")), [], [], [], []
-            opens = [e is not None and _opening(v) for v, e in zip(raw, of_text)]
-            for i, (k, t) in enumerate(zip(keys.indices.to_pylist(), texts.indices.to_pylist())):
-                if t is None or of_text[t] is None:
+            take, plain, fields, entries = [], [], [], []
+            for i, (k, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                parts, opens = of_text.value(t)
+                if parts is None:
                     continue
+                key, entry = of_key.value(k)
                 take.append(i)
-                entries.append([none if k is None else key_entry[k], *of_text[t]])
-                fields.append(len(of_text[t]) - 1)
-                plain.append(_digest(f"{'' if k is None else of_key[k]} {letters(raw[t])}")[0] if opens[t] else None)
+                entries.append([entry, *parts])
+                fields.append(len(parts) - 1)
+                plain.append(_digest(f"{key} {letters(t)}")[0] if opens else None)
             rows = [[{"column": c, "high": h, "low": low} for c, h, low in e] for e in entries]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(take, pa.int64())), pa.array(plain, pa.int64()), pa.array(fields, pa.int32()), pa.array(rows, _ENTRY)],
