@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ CROSSWALK_COLUMNS = ("formerly_cited_as", "renumbered_from", "renumbered_to", "t
 SHA256, SHA1, RECORD_HASH = "^[0-9a-f]{64}$", "^[0-9a-f]{40}$", "^sha256:[0-9a-f]{64}$"
 
 
+#: Decimal digits of all scripts but ASCII, and what they stand for.
+_DIGITS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isdecimal())
+_DIGIT_VALUES = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
+
+
 def namespace(act_id: Column) -> Column:
     """Leading letters; none gives an empty string, null stays null."""
     return F.regexp_extract(act_id, NAMESPACE, 0)
@@ -82,9 +89,10 @@ def natural_key(identifier: Column) -> Column:
     """Sort key under which 6.10 follows 6.9, digits precede letters, and null is last.
 
     Runs of digits become their length and their digits behind a 0, others stand behind a 1, so that
-    comparing arrays of strings compares them as numbers, however long, and as text.
+    comparing arrays of strings compares them as numbers, however long, and as text. Digits of all
+    scripts are digits.
     """
-    runs = F.regexp_extract_all(identifier, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+    runs = F.regexp_extract_all(F.translate(identifier, _DIGITS, _DIGIT_VALUES), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
     bare = lambda t: F.regexp_replace(t, "^0+(?=[0-9])", "")
     keyed = F.transform(runs, lambda t: F.when(F.rlike(t, F.lit("^[0-9]")), F.concat(F.lit("0"), F.lpad(F.length(bare(t)).cast("string"), 10, "0"), bare(t))).otherwise(F.concat(F.lit("1"), t)))
     return F.struct(identifier.isNull().alias("last"), keyed.alias("runs"))

@@ -512,8 +512,8 @@ def unlinked_members(members: DataFrame, groups: DataFrame, annotations: DataFra
     return both.select("group_id", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def incomplete_groups(groups: DataFrame, records: DataFrame) -> DataFrame:
-    """Members named by a group without a record, and records without a group: must be empty."""
-    named = groups.select(F.explode("members").alias("source_record_id")).withColumn("named", F.lit(1))
+def incomplete_groups(named: DataFrame, records: DataFrame) -> DataFrame:
+    """Members of groups, a row each, without a record, and records without a group: must be empty."""
+    named = named.select("source_record_id").withColumn("named", F.lit(1))
     there = records.select("source_record_id").withColumn("there", F.lit(1))
     return named.join(there, "source_record_id", "full_outer").where("named IS NULL OR there IS NULL")

@@ -200,7 +200,7 @@ def group_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Members without a record, those of omitted records being taken away, and records without a group."""
     rows = Q.records(spark, d)
     there = rows.where(~F.coalesce(F.col("act_status") == "omitted", F.lit(False)))
-    found = A.incomplete_groups(A.identity_groups(Q._members(spark, d), Q.FILE), there)
+    found = A.incomplete_groups(Q._members(spark, d).where("reject IS NULL"), there)
     return found.select("source_record_id", F.when(F.col("there").isNull(), "no record").otherwise("no group").alias("problem"))
 
 
