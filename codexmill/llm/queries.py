@@ -30,7 +30,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     """Every record's class and the links of its class, at five words and a similarity of 0.8."""
-    return class_links(*similar_classes(table(spark, d, "source_records")))
+    return class_links(*similar_classes(table(spark, d, "source_records"), family_members=500_000))
 
 
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:

@@ -230,6 +230,9 @@ def test_paraphrases_at_every_offset(spark):
 
 
 def test_no_leaks(spark):
+    words = " ".join(f"w{i}" for i in range(20))
+    assert find_leaks(docs(spark, [(1, None), (2, "")]), items(spark, [(1, words), (None, words)]), paraphrases=True).count() == 0
+    assert {(r["doc_id"], r["item_id"]) for r in find_leaks(docs(spark, [(None, words), (2, words)]), items(spark, [(1, words), (None, words), (3, None)]), paraphrases=True).collect()} == {(None, 1), (None, None), (2, 1), (2, None)}
     some = items(spark, [(1, "one two three")])
     assert find_leaks(docs(spark, []), some).count() == 0 and find_leaks(docs(spark, [(1, "a")]), some.limit(0)).count() == 0 and find_leaks(docs(spark, [(1, "one two three")]), some).count() == 0
 
