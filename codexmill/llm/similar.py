@@ -387,17 +387,30 @@ def _verify_family(pairs: list[tuple[int, int]], sets: dict[int, set], leader: i
     return out
 
 
-def _verified(pairs: DataFrame, members: DataFrame, t: Fraction, family_members: int) -> DataFrame:
+def _shipped(ships: DataFrame, members: DataFrame, led: DataFrame, most_families: int) -> DataFrame:
+    """``ships`` with the members of their records. A record of more than ``most_families`` families, or
+    1/4096 of all pairs if that is more, has its members in several copies, which share its families."""
+    of = led.select(F.explode(F.array("a", "b", "leader")).alias("row_id")).groupBy("row_id").agg(F.count(F.lit(1)).alias("n"))
+    bound = max(most_families, 3 * led.count() // 4096)
+    hot = of.where(F.col("n") > bound).select("row_id", F.ceil(F.col("n") / bound).alias("copies"))
+    if not hot.take(1):
+        return ships.join(members, "row_id")
+    hot = F.broadcast(hot)  # at most 4,096 rows
+    copies = F.coalesce("copies", F.lit(1).cast("long"))
+    spread = members.join(hot, "row_id", "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("copies")
+    return ships.join(hot, "row_id", "left").withColumn("copy", F.pmod(F.xxhash64("leader", "cut"), copies)).drop("copies").join(spread, ["row_id", "copy"])
+
+
+def _verified(pairs: DataFrame, members: DataFrame, t: Fraction, family_members: int, most_families: int) -> DataFrame:
     """(a, b) of row ids that are similar, from the candidates (a, b, members): both sets' sizes."""
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
     leaders = both.groupBy("x").agg(F.least("x", F.min("y")).alias("leader"))
     led = written(pairs.join(leaders.withColumnRenamed("x", "a"), "a"), "similar-families")
     crowded = led.groupBy("leader").agg(F.ceil(F.sum("members") / family_members).alias("cuts"))
     families = led.join(crowded, "leader").withColumn("cut", F.pmod(F.xxhash64("a", "b"), "cuts"))
-    # A record of many families is in as many rows; each brings its members there.
     ships = families.select("leader", "cut", F.explode(F.array("a", "b", "leader")).alias("row_id")).distinct()
     inside = families.groupBy("leader", "cut").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    there = ships.join(members, "row_id").groupBy("leader", "cut").agg(F.collect_list(F.struct("row_id", "members")).alias("sets"))
+    there = _shipped(ships, members, led, most_families).groupBy("leader", "cut").agg(F.collect_list(F.struct("row_id", "members")).alias("sets"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -423,6 +436,7 @@ def similar_classes(
     part_postings: int = 1_500_000,
     crowd: int = 20_000,
     family_members: int = 2_000_000,
+    most_families: int = 10_000,
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets and links between classes, both written tables.
 
@@ -456,7 +470,7 @@ def similar_classes(
     named = written(named, "similar-named")
     named_ids = named.select(F.explode(F.array("a", "b")).alias("id"))
     wanted = spark.sparkContext.broadcast(_id_filter(named_ids, "id", min(2 * named.count(), classes.count())))
-    links = written(_verified(named, _members(texts, width, min_words, wanted), threshold, family_members), "similar-links")
+    links = written(_verified(named, _members(texts, width, min_words, wanted), threshold, family_members, most_families), "similar-links")
     membership = written(join_classes(sets, classes), "similar-membership")
     discard(described, classes, found, named)
     return membership, links

@@ -113,7 +113,7 @@ def similar_rows(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("kw", [{}, {"part_postings": 500, "crowd": 2, "family_members": 100}])
+@pytest.mark.parametrize("kw", [{}, {"part_postings": 500, "crowd": 2, "family_members": 100, "most_families": 2}])
 def test_similar(spark, kw):
     rows = similar_rows(250, 5) + [(None, "a", BODY), (7000, "a", None), (7001, "a", ""), (7002, "a", BODY), (7003, "a", BODY), (7004, "a", BODY * 800), (7005, "a", BODY * 800 + " end")]
     df = frame(spark, rows)
